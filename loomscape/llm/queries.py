@@ -13,6 +13,19 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomscape.llm.near_duplicates import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomscape.llm.decontamination import contamination, digests
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return digests(contamination(docs, table(spark, sf_dir, "benchmark")))
+
+
 def op7_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loomscape.llm.token_output import round_trip
 
@@ -26,6 +39,8 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_minhash_near_dedup": op2_minhash_near_dedup,
+    "op5_benchmark_decontamination": op5_benchmark_decontamination,
     "op7_token_shards": op7_token_shards,
     "op9_best_fit_packing": op9_best_fit_packing,
 }

@@ -38,11 +38,18 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), end_id=1)
 
 
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomscape.llm.quality import quality_rules
+
+    return quality_rules(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
     "op5_benchmark_decontamination": op5_benchmark_decontamination,
     "op7_token_shards": op7_token_shards,
     "op9_best_fit_packing": op9_best_fit_packing,
+    "op10_quality_rules": op10_quality_rules,
 }
 
 ORACLE_SQL: dict[str, str] = {}

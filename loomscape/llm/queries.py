@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from loomscape.llm.common import table
 
@@ -13,12 +14,36 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+#: The rules of the URL query, and hosts whose pages are not wanted where no rule fits.
+URL_RULES = [
+    ("com", "/", "allow"),
+    ("example.com", "/en/", "block"),
+    ("www.example.com", "/en/", "allow"),
+    ("net", "/es/", "block"),
+    ("net", "/fr/", "block"),
+]
+BLOCKED_HOSTS = ["spam-farm.example.org", "cheap-pills.example.org", "casino-bonus.example.org"]
+
+
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomscape.llm.url_filter import filter_urls
+
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return filter_urls(pages, URL_RULES, BLOCKED_HOSTS).select("page_id", "host", "path", "rule", "verdict")
+
+
 def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loomscape.llm.near_duplicates import near_duplicates
 
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomscape.llm.html_text import extract_text
+
+    return extract_text(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loomscape.llm.decontamination import contamination, digests
 
@@ -26,6 +51,12 @@ def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return digests(contamination(docs, table(spark, sf_dir, "benchmark")))
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomscape.llm.licenses import scan_licenses
+
+    return scan_licenses(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+
+
 def op7_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loomscape.llm.token_output import round_trip
 
@@ -45,8 +76,11 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_url_filter": op1_url_filter,
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
+    "op4_html_text": op4_html_text,
     "op5_benchmark_decontamination": op5_benchmark_decontamination,
+    "op6_license_scan": op6_license_scan,
     "op7_token_shards": op7_token_shards,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_quality_rules": op10_quality_rules,

@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -87,3 +88,46 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     leaves = e.select(F.col("u").alias("id"), F.col("v").alias("component"))
     roots = e.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
     return leaves.unionByName(roots)
+
+
+def shared_keys(member: DataFrame) -> DataFrame:
+    """Of (key, id) those rows whose key several ids have, with the least of them as centre."""
+    shared = member.groupBy("key").agg(F.min("id").alias("centre"), F.max("id").alias("top")).where("centre < top").drop("top")
+    return materialize(member.join(shared, "key"), "members")
+
+
+def connect(members: DataFrame, verified: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Verified links (a, b) that connect all ids that verified links between any two
+    ids of one key connect; members are those of shared_keys().
+
+    No pairs are made at first: every member is held against its key's centre only.
+    Where members of a key stay in different components afterwards, further centres
+    follow, until the pairs between components that are left over are at most a few for
+    each member; those are then all checked. Members of one component need no pair, so
+    that nothing is lost, and no key's members are gathered in one task.
+    """
+    links = verified(members.where("id <> centre").select(F.col("id").alias("a"), F.col("centre").alias("b")).distinct())
+    left = members.where("id <> centre").drop("centre")
+    while True:
+        found = materialize(components(links), "found")
+        now = left.join(found, "id", "left").select("key", "id", F.coalesce("component", "id").alias("part"))
+        parts = now.groupBy("key", "part").agg(F.count("*").alias("n"), F.min("id").alias("low"))
+        stat = parts.groupBy("key").agg(F.count("*").alias("parts"), F.sum("n").alias("n"), F.min("low").alias("centre"), F.max_by("part", F.struct("n", "part")).alias("main")).where("parts > 1").drop("parts")
+        rest = materialize(now.join(stat, "key"), "left")
+        discard(found)
+        todo = rest.agg(F.count("*").alias("rows"), F.sum(F.when(F.col("part") != F.col("main"), F.col("n"))).alias("pairs")).first()
+        if not todo["rows"]:
+            return links
+        last = todo["pairs"] <= 8 * todo["rows"] + 10_000
+        if last:
+            one = rest.where("part <> main").select("key", F.col("id").alias("a"), F.col("part").alias("part_a"))
+            other = rest.select("key", F.col("id").alias("b"), F.col("part").alias("part_b"), "main")
+            pairs = one.join(other, "key").where("part_a <> part_b AND (part_b = main OR a < b)")
+        else:
+            own = F.max(F.when(F.col("id") == F.col("centre"), F.col("part"))).alias("own")
+            pairs = rest.join(rest.groupBy("key").agg(own), "key").where("part <> own").select(F.col("id").alias("a"), F.col("centre").alias("b"))
+        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        links = links.unionByName(verified(pairs))
+        if last:
+            return links
+        left = rest.where("id <> centre").select("key", "id")

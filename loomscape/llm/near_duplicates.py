@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomscape.llm.common import components, discard, materialize
+from loomscape.llm.common import components, connect, materialize, shared_keys
 from loomscape.llm.words import LANES, NON_SPACE, U, mix, shingle_set, word_blocks
 
 BANDS, ROWS = 28, 4
@@ -126,11 +126,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 75, bands: in
     Rows with one doc_id count as one linked document; a null doc_id has a component of
     its own kind and is kept as others are. An empty table gives an empty one.
 
-    Equal sets are one node from the start. Within a band no pairs are made at first:
-    every member is held against the band's smallest id only. Where members stay in
-    different components afterwards, further centres follow, until the pairs between
-    components that are left over are at most a few for each member; those are then all
-    checked. Nothing is dropped, and no group is gathered in one task.
+    Equal sets are one node from the start; see connect() for the pairs within a band.
     """
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sketched = materialize(source.mapInArrow(_sketcher(size, bands, rows), "doc_id long, n_shingles long, set_1 long, set_2 long, keys array<long>"), "sketches")
@@ -149,9 +145,7 @@ def _links(source: DataFrame, known: DataFrame, sets: DataFrame, size: int, perc
     again = known.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
     same = known.join(again, "doc_id").join(sets, ["set_1", "set_2", "n_shingles"]).select(F.col("doc_id").alias("a"), F.col("id").alias("b")).where("a <> b")
     heads = known.join(sets.select(F.col("id").alias("doc_id"), "set_1", "set_2"), ["doc_id", "set_1", "set_2"], "left_semi")
-    member = heads.select(F.explode("keys").alias("key"), F.col("doc_id").alias("id"))
-    shared = member.groupBy("key").agg(F.min("id").alias("centre"), F.max("id").alias("top")).where("centre < top").drop("top")
-    members = materialize(member.join(shared, "key"), "members")
+    members = shared_keys(heads.select(F.explode("keys").alias("key"), F.col("doc_id").alias("id")))
     wanted = members.select("id").distinct()
     slot = F.pmod(F.xxhash64("doc_id"), F.lit(_FILTER_BITS))
     likely = source.where("doc_id IS NOT NULL").withColumn("slot", slot).mapInArrow(_may_be_in(wanted), "doc_id long, text string")
@@ -162,33 +156,7 @@ def _links(source: DataFrame, known: DataFrame, sets: DataFrame, size: int, perc
         b = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
         return materialize(pairs.join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b").mapInArrow(_verifier(size, percent), "a long, b long"), "links")
 
-    links = verified(members.where("id <> centre").select(F.col("id").alias("a"), F.col("centre").alias("b")).distinct()).unionByName(same)
-    left = members.where("id <> centre").drop("centre")
-    while True:
-        found = materialize(components(links), "found")
-        now = left.join(found, "id", "left").select("key", "id", F.coalesce("component", "id").alias("part"))
-        parts = now.groupBy("key", "part").agg(F.count("*").alias("n"), F.min("id").alias("low"))
-        stat = parts.groupBy("key").agg(F.count("*").alias("parts"), F.sum("n").alias("n"), F.max("n").alias("most"), F.min("low").alias("centre"), F.max_by("part", F.struct("n", "part")).alias("main")).where("parts > 1").drop("parts")
-        rest = materialize(now.join(stat, "key"), "left")
-        discard(found)
-        todo = rest.agg(F.count("*").alias("rows"), F.sum(F.when(F.col("part") != F.col("main"), F.col("n"))).alias("pairs")).first()
-        if not todo["rows"]:
-            break
-        last = todo["pairs"] <= 8 * todo["rows"] + 10_000
-        if last:
-            one = rest.where("part <> main").select("key", F.col("id").alias("a"), F.col("part").alias("part_a"))
-            other = rest.select("key", F.col("id").alias("b"), F.col("part").alias("part_b"), "main")
-            pairs = one.join(other, "key").where("part_a <> part_b AND (part_b = main OR a < b)")
-        else:
-            own = F.max(F.when(F.col("id") == F.col("centre"), F.col("part"))).alias("own")
-            centres = rest.groupBy("key").agg(own)
-            pairs = rest.join(centres, "key").where("part <> own").select(F.col("id").alias("a"), F.col("centre").alias("b"))
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        links = links.unionByName(verified(pairs))
-        if last:
-            break
-        left = rest.where("id <> centre").select("key", "id")
-    return links
+    return connect(members, verified).unionByName(same)
 
 
 def drop_near_duplicates(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFrame:

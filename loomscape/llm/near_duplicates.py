@@ -166,6 +166,6 @@ def drop_near_duplicates(docs: DataFrame, size: int = 5, percent: int = 75) -> D
 
     kept = near_duplicates(docs, size, percent).where("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
     named = docs.where("doc_id IS NOT NULL").join(kept, "doc_id", "left_semi")
-    own = Window.partitionBy("doc_id").orderBy(*[c for c, t in docs.dtypes if c != "doc_id" and not t.startswith("map")])
+    own = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), F.length("text"))
     first = named.withColumn("_row", F.row_number().over(own)).where("_row = 1").drop("_row")
     return first.select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))

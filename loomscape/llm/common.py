@@ -96,18 +96,25 @@ def shared_keys(member: DataFrame) -> DataFrame:
     return materialize(member.join(shared, "key"), "members")
 
 
-def connect(members: DataFrame, verified: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def connect(members: DataFrame, verified: Callable[[DataFrame], DataFrame], finer: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Verified links (a, b) that connect all ids that verified links between any two
     ids of one key connect; members are those of shared_keys().
 
     No pairs are made at first: every member is held against its key's centre only.
-    Where members of a key stay in different components afterwards, further centres
-    follow, until the pairs between components that are left over are at most a few for
-    each member; those are then all checked. Members of one component need no pair, so
-    that nothing is lost, and no key's members are gathered in one task.
+    Where members of a key stay in different components afterwards, finer gives other
+    (key, id) rows for these ids, under which every two of them that are alike meet.
+    Further centres follow, until the pairs between components that are left over are
+    at most a few for each member; those are then all checked. Members of one component
+    need no pair, so that nothing is lost, and no key's members are gathered in one task.
     """
     links = verified(members.where("id <> centre").select(F.col("id").alias("a"), F.col("centre").alias("b")).distinct())
     left = members.where("id <> centre").drop("centre")
+    if finer:
+        found = materialize(components(links), "found")
+        now = left.join(found, "id", "left").select("key", "id", F.coalesce("component", "id").alias("part"))
+        mixed = now.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("key")
+        left = materialize(finer(materialize(now.join(mixed, "key").select("id").distinct(), "unsettled")), "finer")
+        discard(found)
     while True:
         found = materialize(components(links), "found")
         now = left.join(found, "id", "left").select("key", "id", F.coalesce("component", "id").alias("part"))

@@ -15,6 +15,7 @@ from loomscape.llm.words import LANES, NON_SPACE, U, mix, shingle_set, word_bloc
 BANDS, ROWS = 28, 4
 _ROUND = mix(np.arange(1, 4 * BANDS * ROWS, dtype=np.uint64))
 _LOW48 = U((1 << 48) - 1)
+_SLOTS = 1 << 18  # counters for the order of shingles
 _FILTER_BITS = 1 << 26  # of the prefilter on candidates: 8 MB
 
 
@@ -93,6 +94,43 @@ def _verifier(size: int, percent: int):
     return run
 
 
+def _shingle_slots(size: int):
+    """How often shingles of each slot stand in texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(_SLOTS, dtype=np.int64)
+        for batch in batches:
+            for b in word_blocks(batch.column("text"), NON_SPACE):
+                for k in range(len(b.at) - 1):
+                    np.add.at(total, (shingle_set(b.hashes[b.at[k] : b.at[k + 1]], size) % U(_SLOTS)).astype(np.int64), 1)
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some])], names=["slot", "n"])
+
+    return run
+
+
+def _prefixes(size: int, percent: int, often):
+    """The rarest shingles of each set, as many as any alike set must share one of.
+
+    Any fixed order of all shingles serves for that; rare ones first make sets that have
+    but a common passage in common meet nowhere."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column("doc_id").to_numpy()
+            keys, own_ids = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+            for b in word_blocks(batch.column("text"), NON_SPACE):
+                for k in range(len(b.at) - 1):
+                    own = shingle_set(b.hashes[b.at[k] : b.at[k + 1]], size)
+                    many = len(own) + 1 - -(-percent * len(own) // 100)
+                    order = np.lexsort((own, often.value[(own % U(_SLOTS)).astype(np.int64)]))[:many]
+                    keys.append(own[order])
+                    own_ids.append(np.full(len(order), ids[b.first + k]))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(own_ids))], names=["key", "id"])
+
+    return run
+
+
 def _may_be_in(ids: DataFrame):
     """A filter of fixed size that lets through every id of ids and few others."""
     slot = F.pmod(F.xxhash64("id"), F.lit(_FILTER_BITS))
@@ -156,7 +194,15 @@ def _links(source: DataFrame, known: DataFrame, sets: DataFrame, size: int, perc
         b = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
         return materialize(pairs.join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b").mapInArrow(_verifier(size, percent), "a long, b long"), "links")
 
-    return connect(members, verified).unionByName(same)
+    def finer(ids: DataFrame) -> DataFrame:
+        own = texts.join(ids, texts.doc_id == ids.id, "left_semi")
+        counts = own.select("text").mapInArrow(_shingle_slots(size), "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).collect()
+        often = np.zeros(_SLOTS, dtype=np.int64)
+        for r in counts:
+            often[r["slot"]] = r["n"]
+        return shared_keys(own.mapInArrow(_prefixes(size, percent, own.sparkSession.sparkContext.broadcast(often)), "key long, id long").distinct()).drop("centre")
+
+    return connect(members, verified, finer).unionByName(same)
 
 
 def drop_near_duplicates(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFrame:

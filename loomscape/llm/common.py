@@ -91,50 +91,67 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
 
 def shared_keys(member: DataFrame) -> DataFrame:
-    """Of (key, id) those rows whose key several ids have, with the least of them as centre."""
-    shared = member.groupBy("key").agg(F.min("id").alias("centre"), F.max("id").alias("top")).where("centre < top").drop("top")
+    """Of (key, id) those rows whose key several ids have."""
+    shared = member.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("key")
     return materialize(member.join(shared, "key"), "members")
 
 
-def connect(members: DataFrame, verified: Callable[[DataFrame], DataFrame], finer: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def _centres(rows: DataFrame) -> DataFrame:
+    """For each key of (key, id) the id that meets most others under all its keys: of
+    copies that are each like one original rather than like each other, the original."""
+    sizes = rows.groupBy("key").agg(F.count("*").alias("n"))
+    weight = rows.join(sizes, "key").groupBy("id").agg(F.sum("n").alias("w"))
+    return rows.join(weight, "id").groupBy("key").agg(F.max_by("id", F.struct("w", -F.col("id"))).alias("centre"))
+
+
+def _apart(rows: DataFrame, links: DataFrame) -> DataFrame:
+    """key, id and part (the id's component under links) of rows whose key's members are
+    in several parts."""
+    found = materialize(components(links), "found")
+    now = rows.select("key", "id").join(found, "id", "left").select("key", "id", F.coalesce("component", "id").alias("part"))
+    mixed = now.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("key")
+    out = materialize(now.join(mixed, "key"), "apart")
+    discard(found)
+    return out
+
+
+def connect(members: DataFrame, verified: Callable[[DataFrame], DataFrame], settle: Callable[[DataFrame, DataFrame], DataFrame] | None = None) -> DataFrame:
     """Verified links (a, b) that connect all ids that verified links between any two
     ids of one key connect; members are those of shared_keys().
 
-    No pairs are made at first: every member is held against its key's centre only.
-    Where members of a key stay in different components afterwards, finer gives other
-    (key, id) rows for these ids, under which every two of them that are alike meet.
-    Further centres follow, until the pairs between components that are left over are
-    at most a few for each member; those are then all checked. Members of one component
-    need no pair, so that nothing is lost, and no key's members are gathered in one task.
+    No pairs are made at first: every member is held against its key's centre only, the
+    id that meets most others. Where members of a key stay in different components
+    afterwards, further centres follow, until the pairs between components that are left
+    over are at most a few for each member; those are then all checked. Or settle gets
+    those ids (id, part) after two centres, and returns the links that are still needed.
+    Members of one component need no pair, so that nothing is lost, and no key's members
+    are gathered in one task.
     """
-    links = verified(members.where("id <> centre").select(F.col("id").alias("a"), F.col("centre").alias("b")).distinct())
-    left = members.where("id <> centre").drop("centre")
-    if finer:
-        found = materialize(components(links), "found")
-        now = left.join(found, "id", "left").select("key", "id", F.coalesce("component", "id").alias("part"))
-        mixed = now.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("key")
-        left = materialize(finer(materialize(now.join(mixed, "key").select("id").distinct(), "unsettled")), "finer")
-        discard(found)
+    left = materialize(members.join(_centres(members), "key").where("id <> centre"), "left")
+    links = verified(left.select(F.col("id").alias("a"), F.col("centre").alias("b")).distinct())
+    left = left.drop("centre")
+    rounds = 1
     while True:
-        found = materialize(components(links), "found")
-        now = left.join(found, "id", "left").select("key", "id", F.coalesce("component", "id").alias("part"))
-        parts = now.groupBy("key", "part").agg(F.count("*").alias("n"), F.min("id").alias("low"))
-        stat = parts.groupBy("key").agg(F.count("*").alias("parts"), F.sum("n").alias("n"), F.min("low").alias("centre"), F.max_by("part", F.struct("n", "part")).alias("main")).where("parts > 1").drop("parts")
+        now = _apart(left, links)
+        if settle and rounds == 2:
+            return links.unionByName(settle(now.select("id", "part").distinct(), links))
+        parts = now.groupBy("key", "part").agg(F.count("*").alias("n"))
+        stat = parts.groupBy("key").agg(F.sum("n").alias("n"), F.max_by("part", F.struct("n", "part")).alias("main"))
         rest = materialize(now.join(stat, "key"), "left")
-        discard(found)
         todo = rest.agg(F.count("*").alias("rows"), F.sum(F.when(F.col("part") != F.col("main"), F.col("n"))).alias("pairs")).first()
         if not todo["rows"]:
             return links
-        last = todo["pairs"] <= 8 * todo["rows"] + 10_000
+        last = not settle and todo["pairs"] <= 8 * todo["rows"] + 10_000
         if last:
             one = rest.where("part <> main").select("key", F.col("id").alias("a"), F.col("part").alias("part_a"))
             other = rest.select("key", F.col("id").alias("b"), F.col("part").alias("part_b"), "main")
             pairs = one.join(other, "key").where("part_a <> part_b AND (part_b = main OR a < b)")
         else:
+            rest = materialize(rest.join(_centres(rest.select("key", "id")), "key"), "left")
             own = F.max(F.when(F.col("id") == F.col("centre"), F.col("part"))).alias("own")
             pairs = rest.join(rest.groupBy("key").agg(own), "key").where("part <> own").select(F.col("id").alias("a"), F.col("centre").alias("b"))
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         links = links.unionByName(verified(pairs))
         if last:
             return links
-        left = rest.where("id <> centre").select("key", "id")
+        left, rounds = rest.where("id <> centre").select("key", "id"), rounds + 1

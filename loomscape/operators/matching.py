@@ -42,14 +42,18 @@ def match_descriptors(query: DataFrame, train: DataFrame, pair: str, ident: str,
     """
 
     def run(q: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
-        q, t = q.sort_values(ident), t.sort_values(ident)
-        key = (q if len(q) else t)[pair].iloc[0]
+        if not len(q) or not len(t):
+            return pd.DataFrame({"pair": [], "query_id": [], "train_id": [], "distance": []})
+        q, t = q.sort_values(ident), t.rename(columns={"_id": ident, "_vector": vector}).sort_values(ident)
+        key = q[pair].iloc[0]
         out = kernels.match(_matrix(q[vector]), _matrix(t[vector]), ratio, ceiling, cross_check, bits, block)
         return pd.DataFrame({"pair": key, "query_id": q[ident].to_numpy()[out[0]], "train_id": t[ident].to_numpy()[out[1]], "distance": out[2].astype(np.float64)})
 
     kinds = dict(query.dtypes)
+    # new names, as both sides may come from one table
+    other = train.select(F.col(pair).alias("_pair"), F.col(ident).alias("_id"), F.col(vector).alias("_vector"))
     schema = f"pair {kinds[pair]}, query_id {kinds[ident]}, train_id {kinds[ident]}, distance double"
-    return query.select(pair, ident, vector).groupBy(pair).cogroup(train.select(pair, ident, vector).groupBy(pair)).applyInPandas(run, schema)
+    return query.select(pair, ident, vector).groupBy(pair).cogroup(other.groupBy("_pair")).applyInPandas(run, schema)
 
 
 def _matrix(column: pd.Series) -> np.ndarray:

@@ -37,9 +37,12 @@ def project(splats: DataFrame, rotation: list[Column], shift: list[Column], foca
 
 def visible(projected: DataFrame, width: int, height: int, nearest: float = 0.2, least: float = 0.5, most: float = 512.0) -> DataFrame:
     """Primitives before the camera, of a size worth drawing, whose box meets the image."""
+    # predicates on computed columns would be rewritten in terms of the inputs, many times
+    # over; a row number keeps them above the projection
+    projected = projected.withColumn("_row", F.monotonically_increasing_id())
     r = F.col("radius")
     box = (F.col("u") + r >= 0) & (F.col("u") - r < width) & (F.col("v") + r >= 0) & (F.col("v") - r < height)
-    return projected.where((F.col("depth") > nearest) & (r >= least) & (r <= most) & (F.col("det") > 1e-12) & box)
+    return projected.where((F.col("depth") > nearest) & (r >= least) & (r <= most) & (F.col("det") > 1e-12) & box & (F.col("_row") >= 0)).drop("_row")
 
 
 def tiles(projected: DataFrame, width: int, height: int, size: int = TILE) -> DataFrame:
@@ -118,7 +121,7 @@ def nearest_radius(points: DataFrame, ident: str, names: list[str], cell: float,
         own = todo.withColumns(cells)
         spread = every.withColumns({f"_c{i}": F.floor(F.col(f"o_{n}") / cell) for i, n in enumerate(names)})
         for k in cells:
-            spread = spread.withColumn(k, F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d, k=k: F.col(k) + d)))
+            spread = spread.withColumn(k, F.explode(F.array(*(F.col(k) + d for d in (-1, 0, 1)))))
         d2 = sum(((F.col(n) - F.col(f"o_{n}")) ** 2 for n in names[1:]), (F.col(names[0]) - F.col(f"o_{names[0]}")) ** 2)
         met = own.join(spread, list(cells)).where("id <> other").withColumn("d", F.sqrt(d2))
         ranked = met.withColumn("r", F.row_number().over(Window.partitionBy("id").orderBy("d", "other"))).where(F.col("r") <= need)

@@ -11,11 +11,12 @@ from pyspark.sql import functions as F
 from loomscape.llm.common import components, connect, materialize, shared_keys
 from loomscape.llm.quality import let
 
-SHINGLE = 10  # characters
-KEYS = 5  # least hashes that make a signature, each a band of its own
+SHINGLE = 16  # characters
+KEYS = 4  # least hashes that make a signature, each a band of its own
 PERCENT = 75
 _SPACES = " \t\n\x0b\f\r"
 _LAST = (1 << 63) - 1
+_FILTER_BITS = 1 << 26  # of the prefilter on candidates: 8 MB
 
 
 def _shingles(line: Column, size: int) -> Column:
@@ -31,6 +32,22 @@ def _lines(docs: DataFrame) -> DataFrame:
     return named.withColumns({"place": place.cast("decimal(38,0)"), "h1": F.xxhash64("line"), "h2": F.xxhash64(F.lit("2"), "line")})
 
 
+def _may_be_in(lines: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Rows of lines whose h1 may be one of wanted's: all that are, and few others. The
+    filter's size is fixed; more candidates only make it let more through."""
+    slot = F.pmod("h1", F.lit(_FILTER_BITS))
+    maps = wanted.select((slot + 1).alias("slot")).groupBy(F.bitmap_bucket_number("slot").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits")).collect()
+    data = bytearray(_FILTER_BITS // 8)
+    for r in maps:
+        at = (r["bucket"] - 1) * 4096
+        data[at : at + 4096] = bytes(r["bits"]).ljust(4096, b"\0")
+    one = lines.sparkSession.createDataFrame([(1, bytes(data))], "_one int, _bits binary")
+    byte = F.conv(F.hex(F.substring("_bits", F.floor(slot / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    there = F.expr(f"shiftright(_byte, cast(pmod(h1, {_FILTER_BITS}) % 8 as int)) & 1") == 1
+    joined = lines.withColumn("_one", F.lit(1)).join(F.broadcast(one), "_one")
+    return joined.withColumn("_byte", byte).where(there).select(*lines.columns)
+
+
 def dropped_lines(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, keys: int = KEYS) -> DataFrame:
     """doc_id and dropped (ascending numbers of lines from 0) for every document of docs
     (doc_id, text) that loses lines.
@@ -40,22 +57,25 @@ def dropped_lines(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT,
     100 * intersection >= percent * union, and of each component of links the first
     line by doc_id and place stays, wherever it stands. A signature is the least few
     hashes of a line's distinct runs; each is a band, so that two lines that alike miss
-    each other with a chance below (1 - percent / 100) ** keys, 0.1 in 100 at the
+    each other with a chance below (1 - percent / 100) ** keys, 0.4 in 100 at the
     threshold. All pairs that bands suggest are confirmed on full sets of runs; see
     connect(). Rows that share a doc_id share its places; a null doc_id comes last.
     Null and empty texts have no lines; an empty table gives an empty one.
     """
     lines = _lines(docs)
     hashed = F.sort_array(F.array_distinct(F.transform(_shingles(F.col("line"), size), lambda s: F.xxhash64(s))))
-    signed = lines.withColumn("k", F.slice(hashed, 1, keys))
+    short = let(hashed, lambda h: F.struct(F.size(h).alias("runs"), F.slice(h, 1, keys).alias("k")))
+    signed = lines.withColumn("_s", short).select("h1", "h2", "place", "_s.runs", "_s.k")
     names = [f"k{i}" for i in range(keys)]
-    signed = signed.select("h1", "h2", "place", *(F.get("k", F.lit(i)).alias(n) for i, n in enumerate(names)))
-    classes = signed.groupBy("h1", "h2").agg(F.min("place").alias("place"), F.count("*").alias("n"), *(F.min(k).alias(k) for k in names))
+    signed = signed.select("h1", "h2", "place", F.col("runs"), *(F.get("k", F.lit(i)).alias(n) for i, n in enumerate(names)))
+    classes = signed.groupBy("h1", "h2").agg(F.min("place").alias("place"), F.count("*").alias("n"), F.min("runs").alias("runs"), *(F.min(k).alias(k) for k in names))
     classes = materialize(classes.withColumn("id", F.monotonically_increasing_id()), "classes")
     members = shared_keys(classes.select(F.explode(F.array_compact(F.array(*names))).alias("key"), "id"))
     wanted = classes.select("id", "h1", "h2", "place").join(members.select("id").distinct(), "id", "left_semi")
-    texts = lines.select("h1", "h2", "place", "line").join(wanted, ["h1", "h2", "place"]).select("id", "line").dropDuplicates(["id"])
+    likely = _may_be_in(lines.select("h1", "h2", "place", "line"), wanted.select("h1"))
+    texts = likely.join(wanted, ["h1", "h2", "place"]).select("id", "line").dropDuplicates(["id"])
     texts = materialize(texts, "texts")
+    sizes = classes.select("id", "runs")
 
     def verified(pairs: DataFrame) -> DataFrame:
         a = texts.select(F.col("id").alias("a"), F.col("line").alias("line_a"))
@@ -67,7 +87,10 @@ def dropped_lines(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT,
 
         sets = [F.array_distinct(_shingles(F.col(c), size)) for c in ("line_a", "line_b")]
         near = let(sets[0], lambda x: let(sets[1], lambda y: alike(x, y)))
-        joined = pairs.join(a, "a").join(b, "b")
+        # sets of too different sizes can't be alike
+        sized = pairs.join(sizes.toDF("a", "na"), "a").join(sizes.toDF("b", "nb"), "b")
+        sized = sized.where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")).select("a", "b")
+        joined = sized.join(a, "a").join(b, "b")
         return materialize(joined.where(near).select("a", "b"), "links")
 
     found = components(connect(members, verified))

@@ -100,4 +100,18 @@ QUERIES = {
     "op10_quality_rules": op10_quality_rules,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_URL_SQL = f"""
+WITH u AS (
+  SELECT page_id, CASE WHEN url LIKE '%://%' THEN url ELSE '' END AS url FROM pages),
+p AS (
+  SELECT page_id, translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM u),
+r(h, p, v) AS (VALUES {", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES)}),
+f AS (
+  SELECT p.page_id, p.host, p.path, r.h || r.p AS rule, r.v, row_number() OVER (PARTITION BY page_id ORDER BY length(r.h || r.p) DESC, length(r.h) DESC) AS best
+  FROM p JOIN r ON (p.host = r.h OR ends_with(p.host, '.' || r.h)) AND starts_with(p.path, r.p)),
+b AS (SELECT DISTINCT page_id FROM p, (SELECT unnest({BLOCKED_HOSTS!r}) AS h) x WHERE host = h OR ends_with(host, '.' || h))
+SELECT p.page_id, coalesce(p.host, '') AS host, coalesce(p.path, '') AS path, f.rule, coalesce(f.v, CASE WHEN b.page_id IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict
+FROM p LEFT JOIN f ON f.page_id = p.page_id AND best = 1 LEFT JOIN b ON b.page_id = p.page_id"""
+
+ORACLE_SQL: dict[str, str] = {"op1_url_filter": _URL_SQL}

@@ -279,7 +279,7 @@ def compact_moments(spark, sf):
 r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d, o) AS k FROM d) SELECT id, round(ln(greatest(avg(d), 1e-4)), 6) + 0.0 AS log_scale FROM r WHERE k <= 3 GROUP BY id""")
 def knn_init_radius(spark, sf):
     p = load(spark, sf, "supplier").select(F.col("s_suppkey").alias("pt"), (F.col("s_nationkey") * 1.0).alias("x"), (F.col("s_acctbal") / 500).alias("y"))
-    return S.nearest_radius(p, "pt", ["x", "y"], 2.0).select("id", tidy(F.log(F.greatest("radius", F.lit(1e-4)))).alias("log_scale"))
+    return S.nearest_radius(p, "pt", ["x", "y"], 8.0).select("id", tidy(F.log(F.greatest("radius", F.lit(1e-4)))).alias("log_scale"))
 
 
 @query(f"WITH p AS ({_sql(_POINTS)}), c AS (SELECT avg(x) AS mx, avg(y) AS my, avg(z) AS mz FROM p) SELECT round(greatest(max(sqrt((x - mx) * (x - mx) + (y - my) * (y - my) + (z - mz) * (z - mz))), 1e-6), 6) + 0.0 AS extent FROM p, c")

@@ -114,4 +114,35 @@ b AS (SELECT DISTINCT page_id FROM p, (SELECT unnest({BLOCKED_HOSTS!r}) AS h) x
 SELECT p.page_id, coalesce(p.host, '') AS host, coalesce(p.path, '') AS path, f.rule, coalesce(f.v, CASE WHEN b.page_id IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict
 FROM p LEFT JOIN f ON f.page_id = p.page_id AND best = 1 LEFT JOIN b ON b.page_id = p.page_id"""
 
-ORACLE_SQL: dict[str, str] = {"op1_url_filter": _URL_SQL}
+_LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+_DEDUP_SQL = f"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({_LOW}, '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, CASE WHEN len(w) < 5 THEN array_to_string(w, ' ') ELSE array_to_string(w[k : k + 4], ' ') END AS run
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS k FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y ON x.run = y.run AND x.doc_id < y.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN n i ON i.doc_id = a JOIN n j ON j.doc_id = b WHERE 100 * c >= 75 * (i.n + j.n - c)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r(id, other) AS (SELECT doc_id, doc_id FROM d UNION SELECT r.id, e.b FROM r JOIN e ON e.a = r.other),
+m AS (SELECT id, min(other) AS component_id FROM r GROUP BY id)
+SELECT id AS doc_id, coalesce(n.n, 0) AS n_shingles, component_id, id = component_id AS kept FROM m LEFT JOIN n ON n.doc_id = id"""
+
+_WORDS = f"regexp_extract_all({_LOW}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+_LEAK_SQL = f"""
+WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+i AS (SELECT item_id, w, least(10, len(w)) AS m FROM (SELECT item_id, {_WORDS} AS w FROM benchmark) WHERE len(w) > 0),
+u AS (SELECT DISTINCT item_id, m, w[k : k + m - 1] AS words FROM (SELECT *, unnest(range(1, len(w) - m + 2)) AS k FROM i)),
+g AS (SELECT doc_id, m, k, w[k : k + m - 1] AS words FROM (SELECT doc_id, w, m, unnest(range(1, len(w) - m + 2)) AS k FROM d, (SELECT DISTINCT m FROM u) x WHERE len(w) >= m)),
+h AS (SELECT g.doc_id, g.m, g.k, u.item_id FROM g JOIN u ON u.m = g.m AND u.words = g.words),
+p AS (SELECT doc_id, count(DISTINCT place) AS n_hit FROM (SELECT doc_id, unnest(range(k, k + m)) AS place FROM h) GROUP BY doc_id),
+t AS (SELECT doc_id, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS id FROM h) GROUP BY doc_id)
+SELECT d.doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN p ON p.doc_id = d.doc_id LEFT JOIN t ON t.doc_id = d.doc_id"""
+
+ORACLE_SQL: dict[str, str] = {
+    "op1_url_filter": _URL_SQL,
+    "op2_minhash_near_dedup": _DEDUP_SQL,
+    "op5_benchmark_decontamination": _LEAK_SQL,
+}

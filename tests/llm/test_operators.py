@@ -157,6 +157,7 @@ PAGES = [
     ("<html><body><nav><ul><li>Menu<li>Home</ul></nav><article><h1>T &amp; U</h1><p>One\n  two<br>three<p>four</article><footer>F</footer>", "T & U\nOne two three\nfour"),
     ("<main><p>m</p><div id='comments'><article class='comment'><p>no</p></article></div><aside>s</aside><p>n", "m\nn"),
     ("<article><p class='ad'>buy</p><p>x</p><script>if(a<b){'</p>'}</script><section class=comments><p>c</p></section><form>q</form><p>y &lt;b&gt;", "x\ny <b>"),
+    ("<article><p>a <b>bold</b> and <i>more</i> text<p>see <span class='ad'>buy</span> this <a class=share href='#'>share", "a bold and more text\nsee this"),
     ("<div class='cookie-notice'>ok?</div><div>only <i>text</i></div>", "only text"),
     (None, ""),
     ("", ""),

@@ -36,16 +36,15 @@ def _may_be_in(lines: DataFrame, wanted: DataFrame) -> DataFrame:
     """Rows of lines whose h1 may be one of wanted's: all that are, and few others. The
     filter's size is fixed; more candidates only make it let more through."""
     slot = F.pmod("h1", F.lit(_FILTER_BITS))
-    maps = wanted.select((slot + 1).alias("slot")).groupBy(F.bitmap_bucket_number("slot").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits")).collect()
-    data = bytearray(_FILTER_BITS // 8)
-    for r in maps:
-        at = (r["bucket"] - 1) * 4096
-        data[at : at + 4096] = bytes(r["bits"]).ljust(4096, b"\0")
-    one = lines.sparkSession.createDataFrame([(1, bytes(data))], "_one int, _bits binary")
-    byte = F.conv(F.hex(F.substring("_bits", F.floor(slot / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    there = F.expr(f"shiftright(_byte, cast(pmod(h1, {_FILTER_BITS}) % 8 as int)) & 1") == 1
-    joined = lines.withColumn("_one", F.lit(1)).join(F.broadcast(one), "_one")
-    return joined.withColumn("_byte", byte).where(there).select(*lines.columns)
+    bit = F.expr(f"shiftleft(1L, cast(pmod(h1, {_FILTER_BITS}) % 64 as int))")
+    words = wanted.select(F.floor(slot / 64).alias("word"), bit.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).collect()
+    data = [0] * (_FILTER_BITS // 64)
+    for r in words:
+        data[r["word"]] = r["bits"]
+    one = lines.sparkSession.createDataFrame([(1, data)], "_one int, _bits array<bigint>")
+    # an array's entry is read in place, where a binary value would be copied for each line
+    there = F.get("_bits", F.floor(slot / 64).cast("int")).bitwiseAND(bit) != 0
+    return lines.withColumn("_one", F.lit(1)).join(F.broadcast(one), "_one").where(there).select(*lines.columns)
 
 
 def dropped_lines(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, keys: int = KEYS) -> DataFrame:

@@ -10,13 +10,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomscape.llm.common import materialize
 from loomscape.llm.words import NON_SPACE, U, mix, word_blocks
 
-WORDS, BUCKETS = 96, 32  # classes: the most frequent words, and hashed buckets of all others
+WORDS, BUCKETS = 192, 64  # classes: the most frequent words at least, and hashed buckets of all others
+GROWTH = 2.0  # words that stand this often the root of all words' number have classes of their own too
 REACH = 2  # words seen on either side
-WIDTH = 16
+WIDTH = 24
 BATCH = 8192
-ROUNDS = 1
+ROUNDS = 2
 RATE = 0.15
 _OFFSETS = [o for o in range(-REACH, REACH + 1) if o]
 
@@ -73,6 +75,15 @@ class Network:
         return out
 
 
+@dataclass
+class Model:
+    """A network of classes, and each word's part of its class."""
+
+    network: Network
+    shares: DataFrame  # word, share: the log of its part of its bucket's words; none of the vocabulary
+    every: int  # words that it was trained on
+
+
 def new_network(vocabulary: np.ndarray, counts: np.ndarray, width: int = WIDTH, seed: int = 1) -> Network:
     """Untrained; its biases are the classes' own frequencies."""
     rng = np.random.default_rng(seed)
@@ -138,25 +149,33 @@ def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([words]), pa.array([total], pa.list_(pa.float64()))], names=["words", "sums"])
 
 
-def fit(docs: DataFrame, words: int = WORDS, buckets: int = BUCKETS, rounds: int = ROUNDS) -> Network:
-    """A network trained on every word of docs (text).
+def fit(docs: DataFrame, words: int = WORDS, buckets: int = BUCKETS, rounds: int = ROUNDS) -> Model:
+    """A model trained on every word of docs (text).
 
-    Frequent words are those of the counts over all documents. In each round every
+    Words are counted over all documents. The most frequent ones are classes of their
+    own: words of them, or all that stand GROWTH * sqrt(number of all words) times or more
+    where those are more, so that they grow with the corpus. The others share buckets,
+    each with its part of the bucket's count. In each round every
     partition trains from the shared parameters on all its words; the results are
     averaged by words in a tree of sums, so that the driver gets a bounded number of
     parameter vectors at any size.
     """
     spark = docs.sparkSession
     text = docs.select(F.col("text").cast("string").alias("text"))
-    counts = text.mapInArrow(_counted, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    counts = materialize(text.mapInArrow(_counted, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
+    every = counts.agg(F.sum("n")).first()[0] or 0
+    words = max(words, counts.where(F.col("n") >= GROWTH * every**0.5).count() if every else 0)
     top = counts.orderBy(F.desc("n"), "word").limit(words).collect()
     vocabulary = np.sort(np.array([r["word"] for r in top], dtype=np.int64).view(np.uint64))
     net = new_network(vocabulary, np.zeros(words + buckets))
     often = {int(np.int64(r["word"]).view(np.uint64)): r["n"] for r in top}
-    every = counts.agg(F.sum("n")).first()[0] or 0
-    share = np.full(words + buckets, (every - sum(often.values())) / buckets)
+    rare = _classed(counts, net).where(F.col("class") >= len(vocabulary))
+    held = rare.groupBy("class").agg(F.sum("n").alias("held"))
+    share = np.zeros(words + buckets)
     share[: len(vocabulary)] = [often[int(w)] for w in vocabulary]
-    share[len(vocabulary) : words] = 0
+    for r in held.collect():
+        share[r["class"]] = r["held"]
+    shares = rare.join(F.broadcast(held), "class").select("word", F.log(F.col("n") / F.col("held")).alias("share"))
     net = new_network(vocabulary, share)
     for _ in range(rounds if every else 0):
         shared = spark.sparkContext.broadcast(net)
@@ -183,13 +202,48 @@ def fit(docs: DataFrame, words: int = WORDS, buckets: int = BUCKETS, rounds: int
         rows = sums.collect()
         net = new_network(vocabulary, share)
         net.load(sum(np.array(r["sums"]) for r in rows) / sum(r["words"] for r in rows))
-    return net
+    return Model(net, shares, every)
+
 
+def _classed(counts: DataFrame, net: Network) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.append_column("class", pa.array(net.word_classes(batch.column("word").to_numpy().view(np.uint64))))
 
-def score(docs: DataFrame, net: Network) -> DataFrame:
+    return counts.mapInArrow(run, "word long, n long, class long")
+
+
+def _word_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The sum of the shares of each text's words; all rows of a block are in one task."""
+    sums: dict[int, np.ndarray] = {}
+    for batch in batches:
+        at = batch.column("at")
+        own, block = at.flatten().to_numpy(), np.repeat(batch.column("block").to_numpy(), at.value_lengths().to_numpy())
+        share = np.repeat(batch.column("share").to_numpy(), at.value_lengths().to_numpy())
+        order = np.argsort(block, kind="stable")
+        which, first = np.unique(block[order], return_index=True)
+        for k, part in zip(which.tolist(), np.split(order, first[1:]), strict=True):
+            new = np.bincount(own[part], share[part])
+            old = sums.get(k, new[:0])
+            if len(old) < len(new):
+                old, new = new, old
+            old[: len(new)] += new
+            sums[k] = old
+    for k, part in sums.items():
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), k)), pa.array(np.arange(len(part), dtype=np.int32)), pa.array(part)], names=["block", "pos", "rest"])
+
+
+def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, n_words, log_likelihood (the sum of the words' conditional log-probabilities,
-    each given the words on both sides) and mean_log_likelihood (null without words)."""
-    shared = docs.sparkSession.sparkContext.broadcast(net)
+    each given the words on both sides) and mean_log_likelihood (null without words).
+
+    A word's probability is that of its class times its part of the class. A block of texts
+    gives each of its words outside the vocabulary once, with the texts that hold it; those
+    meet the words' shares in a join, and the sums go back to the texts by block. A word
+    that the model has not seen counts as one among all.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(model.network)
+    kind = dict(docs.dtypes)["doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = shared.value
@@ -200,15 +254,36 @@ def score(docs: DataFrame, net: Network) -> DataFrame:
                 if len(c):
                     np.cumsum(net.log_probabilities(contexts(c, b.at, net.classes), c), out=total[1:])
                 n, sums = np.diff(b.at), total[b.at[1:]] - total[b.at[:-1]]
-                mean = pa.array(sums / np.maximum(n, 1), mask=n == 0)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(b.first, len(n)), pa.array(n), pa.array(sums), mean], names=["doc_id", "n_words", "log_likelihood", "mean_log_likelihood"])
-
-    kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, n_words long, log_likelihood double, mean_log_likelihood double")
+                block = batch.column("_row")[b.first].as_py()
+                id_ = batch.column("doc_id").slice(b.first, len(n))
+                yield rows(block, pos=pa.array(np.arange(len(n), dtype=np.int32)), doc_id=id_, n_words=pa.array(n), own=pa.array(sums))
+                rare = np.flatnonzero(c >= len(net.vocabulary))
+                if len(rare):
+                    order = rare[np.argsort(b.hashes[rare], kind="stable")]
+                    word, first = np.unique(b.hashes[order], return_index=True)
+                    text = np.repeat(np.arange(len(n), dtype=np.int32), n)[order]
+                    at = pa.ListArray.from_arrays(pa.array(np.append(first, len(order)).astype(np.int32)), pa.array(text))
+                    yield rows(block, doc_id=pa.nulls(len(word), id_.type), word=pa.array(word.view(np.int64)), at=at)
+
+    def rows(block: int, **given: pa.Array) -> pa.RecordBatch:
+        n = len(given["doc_id"])
+        kinds = {"block": pa.int64(), "pos": pa.int32(), "doc_id": None, "n_words": pa.int64(), "own": pa.float64(), "word": pa.int64(), "at": pa.list_(pa.int32())}
+        given["block"] = pa.array(np.full(n, block))
+        return pa.RecordBatch.from_arrays([given[k] if k in given else pa.nulls(n, t) for k, t in kinds.items()], names=list(kinds))
+
+    named = docs.select(F.monotonically_increasing_id().alias("_row"), "doc_id", F.col("text").cast("string").alias("text"))
+    found = materialize(named.mapInArrow(run, f"block long, pos int, doc_id {kind}, n_words long, own double, word long, at array<int>"), "scored")
+    share = F.coalesce("share", F.lit(-float(np.log(model.every + 1)))).alias("share")
+    parts = found.where("word IS NOT NULL").select("word", "block", "at").join(model.shares, "word", "left").select("block", "at", share)
+    rest = parts.repartition("block").mapInArrow(_word_parts, "block long, pos int, rest double")
+    out = found.where("pos IS NOT NULL").select("block", "pos", "doc_id", "n_words", "own").join(rest, ["block", "pos"], "left")
+    total = (F.col("own") + F.coalesce("rest", F.lit(0.0))).alias("log_likelihood")
+    out = out.select("doc_id", "n_words", total)
+    return out.withColumn("mean_log_likelihood", F.when(F.col("n_words") > 0, F.col("log_likelihood") / F.col("n_words")))
 
 
 def pseudo_likelihood(docs: DataFrame, **options) -> DataFrame:
-    """Scores of every row of docs (doc_id, text) by a network that is trained on docs.
+    """Scores of every row of docs (doc_id, text) by a model that is trained on docs.
 
     Words are runs of [^\\x20\\x09-\\x0D] of whole texts, A-Z lowered. Null, empty and
     wordless texts score 0 over 0 words; repeated rows are scored (and learnt) each; an

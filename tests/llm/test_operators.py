@@ -332,6 +332,28 @@ def test_lm_scores_order(spark):
     assert pseudo_likelihood(odd.where("false")).count() == 0
 
 
+def test_lm_scores_words_not_buckets(spark):
+    from loomscape.llm.lm_scoring import fit, score
+
+    rows = [(i, "the cat often" if i % 4 == 1 else f"the cat once{i}") for i in range(60)]
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    model = fit(table, words=2, buckets=1)
+    own = {r.doc_id: r.log_likelihood for r in score(table, model).collect()}
+    assert all(abs(own[1] - own[i] - np.log(15)) < 1e-4 for i in range(0, 60, 2)) and len(own) == 60
+    assert abs(sum(np.exp(r.share) for r in model.shares.collect()) - 1) < 1e-9
+    new = score(spark.createDataFrame([(1, "the cat gibberish"), (1, "the cat gibberish")], "doc_id int, text string"), model).collect()
+    assert len(new) == 2 and all(r.log_likelihood < min(own.values()) - 0.5 for r in new)
+
+
+def test_lm_vocabulary_grows(spark):
+    from loomscape.llm.lm_scoring import fit
+
+    text = " ".join(f"w{i}" for i in range(300))
+    small, large = (spark.createDataFrame([(text,)] * n, "text string") for n in (3, 1300))
+    assert fit(small, rounds=1).network.classes == 192 + 64
+    assert fit(large, rounds=1).network.classes == 300 + 64
+
+
 def test_lm_gradient():
     from loomscape.llm.lm_scoring import new_network, train
 

@@ -1,50 +1,88 @@
 """Fuzzy line deduplication by MinHash of character shingles.
 
-DataFrame functions only.
+Lines are signed and compared in Arrow batches; all else is DataFrame functions.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomscape.llm.common import components, connect, materialize, shared_keys
 from loomscape.llm.quality import let
+from loomscape.llm.words import BLOCK, U, _powers, mix, windows
 
-SHINGLE = 16  # characters
-KEYS = 4  # least hashes that make a signature, each a band of its own
+SHINGLE = 10  # characters
+KEYS = 5  # least hashes that make a signature, each a band of its own
 PERCENT = 75
 _SPACES = " \t\n\x0b\f\r"
 _LAST = (1 << 63) - 1
-_FILTER_BITS = 1 << 26  # of the prefilter on candidates: 8 MB
+_NONE = U((1 << 64) - 1)
 
 
-def _shingles(line: Column, size: int) -> Column:
+def _runs(line: str, size: int) -> set[str]:
     """All runs of size characters of a line; a shorter line is one run."""
-    return F.when(F.length(line) >= size, F.regexp_extract_all(line, F.lit(f"(?s)(?=(.{{{size}}}))"), F.lit(1))).otherwise(F.array(line))
-
-
-def _lines(docs: DataFrame) -> DataFrame:
-    """Lines that hold something: their place in document order, as compared, and hashed."""
-    split = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(F.split(F.col("text").cast("string"), "\n")).alias("pos", "line"))
-    named = split.select("doc_id", "pos", F.lower(F.btrim("line", F.lit(_SPACES))).alias("line")).where("line <> ''")
-    place = F.coalesce(F.col("doc_id"), F.lit(_LAST)).cast("decimal(38,0)") * F.lit(1 << 31) + F.col("pos")
-    return named.withColumns({"place": place.cast("decimal(38,0)"), "h1": F.xxhash64("line"), "h2": F.xxhash64(F.lit("2"), "line")})
-
-
-def _may_be_in(lines: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Rows of lines whose h1 may be one of wanted's: all that are, and few others. The
-    filter's size is fixed; more candidates only make it let more through."""
-    slot = F.pmod("h1", F.lit(_FILTER_BITS))
-    bit = F.expr(f"shiftleft(1L, cast(pmod(h1, {_FILTER_BITS}) % 64 as int))")
-    words = wanted.select(F.floor(slot / 64).alias("word"), bit.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).collect()
-    data = [0] * (_FILTER_BITS // 64)
-    for r in words:
-        data[r["word"]] = r["bits"]
-    one = lines.sparkSession.createDataFrame([(1, data)], "_one int, _bits array<bigint>")
-    # an array's entry is read in place, where a binary value would be copied for each line
-    there = F.get("_bits", F.floor(slot / 64).cast("int")).bitwiseAND(bit) != 0
-    return lines.withColumn("_one", F.lit(1)).join(F.broadcast(one), "_one").where(there).select(*lines.columns)
+    return {line[i : i + size] for i in range(max(1, len(line) - size + 1))}
+
+
+def _signed(size: int, keys: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Of batches of (doc_id, text) the lines that hold something, trimmed and in lower
+    case, with their number in the text, two hashes, and the least few hashes of their runs."""
+
+    def block(ids: pa.Array, texts: list[str]) -> pa.RecordBatch:
+        joined = "\n".join(texts).lower()
+        codes = np.frombuffer(joined.encode("utf-32-le"), dtype=np.uint32)
+        ends = np.append(np.flatnonzero(codes == 10), len(codes))
+        starts = np.append(0, ends[:-1] + 1)
+        many = np.array([t.count("\n") + 1 for t in texts])
+        text = np.repeat(np.arange(len(texts)), many)
+        pos = np.arange(len(text)) - np.repeat(np.cumsum(many) - many, many)
+        solid = np.flatnonzero((codes != 32) & ((codes < 9) | (codes > 13)))
+        lo, hi = np.searchsorted(solid, starts), np.searchsorted(solid, ends)
+        some = np.flatnonzero(lo < hi)
+        s, e = solid[lo[some]], solid[hi[some] - 1] + 1
+        v = mix(codes.astype(np.uint64) + U(1))
+        power, inverse = _powers(len(v) + 1)
+        h = []
+        for own in (v, mix(v)):
+            total = np.zeros(len(v) + 1, dtype=np.uint64)
+            np.cumsum(own * power[: len(v)], out=total[1:])
+            h.append(mix((total[e] - total[s]) * inverse[s]))
+        least = np.full((keys, len(s)), _NONE)
+        least[0] = mix(h[0] + U(1))  # of a line that is one run
+        runs = np.ones(len(s), dtype=np.int32)  # distinct ones
+        long = np.flatnonzero(e - s >= size)
+        if len(long):
+            n = e[long] - s[long] - (size - 1)
+            at = np.cumsum(n) - n
+            run = windows(v, size)[np.arange(int(n.sum())) + np.repeat(s[long] - at, n)]
+            runs[long] = [len(np.unique(own)) for own in np.split(run, at[1:])]
+            for k in range(keys):
+                low = np.minimum.reduceat(run, at)
+                least[k, long] = low
+                run[run == np.repeat(low, n)] = _NONE
+        columns = {"doc_id": ids.take(pa.array(text[some])), "pos": pa.array(pos[some].astype(np.int32)), "line": pa.array([joined[i:j] for i, j in zip(s.tolist(), e.tolist(), strict=True)], pa.string())}
+        columns |= {"h1": pa.array(h[0].view(np.int64)), "h2": pa.array(h[1].view(np.int64)), "runs": pa.array(runs)}
+        columns |= {f"k{k}": pa.array(least[k].view(np.int64), mask=least[k] == _NONE) for k in range(keys)}
+        return pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, first, held, length = batch.column("doc_id"), 0, [], 0
+            for i, text in enumerate(batch.column("text").to_pylist()):
+                held.append(text or "")
+                length += len(held[-1])
+                if length >= BLOCK // 4:
+                    yield block(ids.slice(first, len(held)), held)
+                    first, held, length = i + 1, [], 0
+            if held:
+                yield block(ids.slice(first, len(held)), held)
+
+    return run
 
 
 def dropped_lines(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, keys: int = KEYS) -> DataFrame:
@@ -56,48 +94,46 @@ def dropped_lines(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT,
     100 * intersection >= percent * union, and of each component of links the first
     line by doc_id and place stays, wherever it stands. A signature is the least few
     hashes of a line's distinct runs; each is a band, so that two lines that alike miss
-    each other with a chance below (1 - percent / 100) ** keys, 0.4 in 100 at the
+    each other with a chance below (1 - percent / 100) ** keys, 0.1 in 100 at the
     threshold. All pairs that bands suggest are confirmed on full sets of runs; see
     connect(). Rows that share a doc_id share its places; a null doc_id comes last.
     Null and empty texts have no lines; an empty table gives an empty one.
     """
-    lines = _lines(docs)
-    hashed = F.sort_array(F.array_distinct(F.transform(_shingles(F.col("line"), size), lambda s: F.xxhash64(s))))
-    short = let(hashed, lambda h: F.struct(F.size(h).alias("runs"), F.slice(h, 1, keys).alias("k")))
-    signed = lines.withColumn("_s", short).select("h1", "h2", "place", "_s.runs", "_s.k")
     names = [f"k{i}" for i in range(keys)]
-    signed = signed.select("h1", "h2", "place", F.col("runs"), *(F.get("k", F.lit(i)).alias(n) for i, n in enumerate(names)))
-    classes = signed.groupBy("h1", "h2").agg(F.min("place").alias("place"), F.count("*").alias("n"), F.min("runs").alias("runs"), *(F.min(k).alias(k) for k in names))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    signed = rows.mapInArrow(_signed(size, keys), f"doc_id long, pos int, line string, h1 long, h2 long, runs int, {', '.join(f'{k} long' for k in names)}")
+    place = F.coalesce(F.col("doc_id"), F.lit(_LAST)).cast("decimal(38,0)") * F.lit(1 << 31) + F.col("pos")
+    lines = materialize(signed.withColumn("place", place.cast("decimal(38,0)")), "lines")
+    classes = lines.groupBy("h1", "h2").agg(F.min("place").alias("place"), F.count("*").alias("n"), *(F.min(k).alias(k) for k in names))
     classes = materialize(classes.withColumn("id", F.monotonically_increasing_id()), "classes")
     members = shared_keys(classes.select(F.explode(F.array_compact(F.array(*names))).alias("key"), "id"))
     wanted = classes.select("id", "h1", "h2", "place").join(members.select("id").distinct(), "id", "left_semi")
-    likely = _may_be_in(lines.select("h1", "h2", "place", "line"), wanted.select("h1"))
-    texts = likely.join(wanted, ["h1", "h2", "place"]).select("id", "line").dropDuplicates(["id"])
+    texts = lines.select("h1", "h2", "place", "line", "runs").join(wanted, ["h1", "h2", "place"]).select("id", "line", "runs").dropDuplicates(["id"])
     texts = materialize(texts, "texts")
-    sizes = classes.select("id", "runs")
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        a = texts.select(F.col("id").alias("a"), F.col("line").alias("line_a"))
-        b = texts.select(F.col("id").alias("b"), F.col("line").alias("line_b"))
+    def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own: dict[str, set[str]] = {}  # a centre's line comes again and again
+            near = []
+            for x, y in zip(batch.column("line_a").to_pylist(), batch.column("line_b").to_pylist(), strict=True):
+                p, q = (own[t] if t in own else own.setdefault(t, _runs(t, size)) for t in (x, y))
+                both = len(p & q)
+                near.append(100 * both >= percent * (len(p) + len(q) - both))
+            yield batch.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
 
-        def alike(x: Column, y: Column) -> Column:
-            both = F.size(F.array_intersect(x, y))
-            return 100 * both >= percent * (F.size(x) + F.size(y) - both)
-
-        sets = [F.array_distinct(_shingles(F.col(c), size)) for c in ("line_a", "line_b")]
-        near = let(sets[0], lambda x: let(sets[1], lambda y: alike(x, y)))
+    def verified(pairs: DataFrame) -> DataFrame:
+        a = texts.select(F.col("id").alias("a"), F.col("line").alias("line_a"), F.col("runs").alias("na"))
+        b = texts.select(F.col("id").alias("b"), F.col("line").alias("line_b"), F.col("runs").alias("nb"))
         # sets of too different sizes can't be alike
-        sized = pairs.join(sizes.toDF("a", "na"), "a").join(sizes.toDF("b", "nb"), "b")
-        sized = sized.where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")).select("a", "b")
-        joined = sized.join(a, "a").join(b, "b")
-        return materialize(joined.where(near).select("a", "b"), "links")
+        sized = pairs.join(a, "a").join(b, "b").where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
+        return materialize(sized.select("a", "b", "line_a", "line_b").mapInArrow(alike, "a long, b long"), "links")
 
     found = components(connect(members, verified))
     sized = classes.select("h1", "h2", "place", "n", "id").join(found, "id", "left")
     grouped = sized.where("n > 1 OR component IS NOT NULL").withColumn("part", F.coalesce("component", "id"))
     first = grouped.groupBy("part").agg(F.min("place").alias("first"))
     rule = materialize(grouped.join(first, "part").select("h1", "h2", "first"), "rule")
-    gone = _lines(docs).select("doc_id", "pos", "place", "h1", "h2").join(rule, ["h1", "h2"]).where("place <> first")
+    gone = lines.select("doc_id", "pos", "place", "h1", "h2").join(rule, ["h1", "h2"]).where("place <> first")
     return gone.groupBy("doc_id").agg(F.sort_array(F.collect_set("pos")).alias("dropped"))
 
 

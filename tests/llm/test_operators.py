@@ -143,6 +143,29 @@ def test_line_dedup_brute_force(spark, docs):
     assert got == {r["doc_id"]: want[r["doc_id"]] for r in docs}
 
 
+def test_line_dedup_short_runs(spark, docs):
+    from loomscape.llm.line_dedup import KEYS, SHINGLE, dropped_lines
+
+    assert SHINGLE <= 10 and KEYS >= 5
+    line = "the quick brown fox jumps over the lazy dog again and then goes home through the dark old wood"
+    assert 79 <= len(line) < 127  # one changed character leaves it alike by runs of 10, not of 16
+    odd = ["Ein Wort über die Größe der Bäume im Wald", "ein wort ÜBER die größe der bäume im wald", "日本語の行は短い", "\u3000日本語の行は短い", "ab", "AB ", "abc", " ", "\U0001f600" * 7, "\U0001f600" * 9]
+    texts = {r["doc_id"]: r["text"] or "" for r in docs} | {10**6: "\n".join(odd), 10**6 + 1: line, 10**6 + 2: "x\n" + line.replace("dog", "dig")}
+    places = [(i, k, t) for i in sorted(texts) for k, x in enumerate(texts[i].split("\n")) if (t := x.strip(" \t\n\x0b\f\r").lower())]
+    lines = list(dict.fromkeys(t for _, _, t in places))
+    runs = [{t[i : i + SHINGLE] for i in range(max(1, len(t) - SHINGLE + 1))} for t in lines]
+    pairs = [(j, i) for i, s in enumerate(runs) for j in range(i) if 100 * min(len(s), len(runs[j])) >= 75 * max(len(s), len(runs[j])) and 100 * len(s & runs[j]) >= 75 * len(s | runs[j])]
+    part, seen, want = groups(pairs, range(len(lines))), set(), collections.defaultdict(list)
+    number = {t: i for i, t in enumerate(lines)}
+    for doc, k, t in places:
+        if part[number[t]] in seen:
+            want[doc].append(k)
+        seen.add(part[number[t]])
+    table = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    assert {r.doc_id: r.dropped for r in dropped_lines(table).collect()} == want
+    assert want[10**6 + 2] == [1]
+
+
 def test_line_dedup_awkward(spark, awkward):
     from loomscape.llm.line_dedup import dedup_lines
 

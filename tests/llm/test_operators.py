@@ -207,6 +207,20 @@ def test_html_repeated_runs(spark):
     assert got[6] == "all pages of this site say the very same words down here always"
 
 
+def test_html_menus_and_copies(spark):
+    from loomscape.llm.html_text import extract_text
+
+    menu = "<nav>" + " ".join(f"menu{k}" for k in range(20)) + "</nav>"
+    foot = "<div>all pages of this site say the very same words down here always</div>"
+    own = [" ".join(f"p{i}w{k}" for k in range(12)) for i in range(4)]
+    rows = [(i, f"http://one.org/{i}", f"{menu}<div>{t}</div>{foot}") for i, t in enumerate(own)]
+    rows += [(10 + i, "http://two.org/copy", f"<div>{own[0]}</div>") for i in range(5)]
+    rows += [(20 + i, "http://three.org/", f"<article>{t}</article>{foot}") for i, t in enumerate(own[:2])]
+    rows.append((22, "http://three.org/", f"<div>{own[2]}</div>{foot}"))
+    got = {r.page_id: r.text for r in extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {**dict(enumerate(own)), **{10 + i: own[0] for i in range(5)}, **{20 + i: own[i] for i in range(3)}}
+
+
 def test_html_pages(spark):
     import html
 

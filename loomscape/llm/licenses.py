@@ -45,6 +45,7 @@ class Template:
     tokens: list[int]  # distinct, from the rarest
     need: int  # tokens that a block must share
     prefix: int  # of which any block that shares so many holds one
+    length: int  # words, repeated ones too
 
 
 def hashed_words(text: str) -> np.ndarray:
@@ -53,7 +54,8 @@ def hashed_words(text: str) -> np.ndarray:
 
 def order_templates(docs: DataFrame, templates: dict[str, str], threshold: float) -> list[Template]:
     """Templates with their tokens by frequency over all documents."""
-    sets = {text: np.unique(hashed_words(text)) for text in templates}
+    words = {text: hashed_words(text) for text in templates}
+    sets = {text: np.unique(own) for text, own in words.items()}
     sets = {text: own for text, own in sets.items() if len(own)}
     if not sets:
         return []
@@ -64,7 +66,37 @@ def order_templates(docs: DataFrame, templates: dict[str, str], threshold: float
     out = []
     for text, own in sets.items():
         need = max(1, int(np.ceil(threshold * len(own) - 1e-9)))
-        out.append(Template(templates[text], sorted(own.tolist(), key=lambda w: (often[w], w)), need, len(own) - need + 1))
+        out.append(Template(templates[text], sorted(own.tolist(), key=lambda w: (often[w], w)), need, len(own) - need + 1, len(words[text])))
+    return out
+
+
+def _windowed(h: np.ndarray, text_at: np.ndarray, at: np.ndarray, tokens: np.ndarray, length: int) -> dict[int, int]:
+    """By text: the most distinct tokens that a run of length consecutive words holds; only
+    runs that hold one of the words at at are looked at."""
+    out: dict[int, int] = {}
+    if not len(at):
+        return out
+    text = np.searchsorted(text_at, at, side="right") - 1
+    lo, hi = np.maximum(at - (length - 1), text_at[text]), np.minimum(at + length, text_at[text + 1])
+    # stretches of words around those; overlapping ones of a text are one
+    new = np.ones(len(at), dtype=bool)
+    new[1:] = (text[1:] != text[:-1]) | (lo[1:] > hi[:-1])
+    first = np.flatnonzero(new)
+    for i, a, z in zip(text[first].tolist(), lo[first].tolist(), hi[np.append(first[1:], len(at)) - 1].tolist(), strict=True):
+        which = np.searchsorted(tokens, h[a:z])
+        hit = np.flatnonzero(tokens[np.minimum(which, len(tokens) - 1)] == h[a:z])
+        held: dict[int, int] = {}  # of the words in the run that ends here
+        start = 0
+        places, which = hit.tolist(), which[hit].tolist()
+        for p, w in zip(places, which, strict=True):
+            held[w] = held.get(w, 0) + 1
+            while places[start] <= p - length:
+                gone = which[start]
+                held[gone] -= 1
+                if not held[gone]:
+                    del held[gone]
+                start += 1
+            out[i] = max(out.get(i, 0), len(held))
     return out
 
 
@@ -73,14 +105,14 @@ def scan_licenses(docs: DataFrame, phrases: dict[str, str] = PHRASES, templates:
 
     Words are lower-case runs of [^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F] of whole texts; null and
     wordless texts have none. Base places are where a phrase's words stand in a row,
-    overlapping ones included. A block is a line; a template's label is given where a
-    block holds at least threshold of its distinct words, and score is the highest
+    overlapping ones included. Blocks are lines, and all runs of as many consecutive words
+    as the template has, wherever lines end; a template's label is given where a block holds at least threshold of its distinct words, and score is the highest
     share of a template that a block holds where that is so, else 0. Columns of those
     names are replaced.
 
     Tokens are ordered by their frequency over all documents. A block that shares
     enough tokens with a template holds one of the template's rarest (its prefix); only
-    those blocks are looked at, and only where their own number of words (length) and
+    those lines, and the runs around such words, are looked at, and only where their own number of words (length) and
     the tokens from that one on (position) can still suffice. Shares are then counted
     on full sets.
     """
@@ -98,6 +130,7 @@ def scan_licenses(docs: DataFrame, phrases: dict[str, str] = PHRASES, templates:
                 prefixes.setdefault(template.tokens[place], []).append((t, place))
         rare = np.array(sorted(prefixes), dtype=np.uint64)
         sets = [frozenset(t.tokens) for t in ordered]
+        own_tokens = [(np.array(sorted(t.tokens), dtype=np.uint64), np.array(t.tokens[: t.prefix], dtype=np.uint64)) for t in ordered]
         for batch in batches:
             n = batch.num_rows
             n_words, n_base = np.zeros(n, np.int64), np.zeros(n, np.int64)
@@ -146,6 +179,13 @@ def scan_licenses(docs: DataFrame, phrases: dict[str, str] = PHRASES, templates:
                         if both >= template.need:
                             more[b.first + i].add(template.label)
                             score[b.first + i] = max(score[b.first + i], both / len(template.tokens))
+                rare_words = h[place]
+                for template, (tokens, prefix) in zip(ordered, own_tokens, strict=True):
+                    at = place[np.isin(rare_words, prefix)]
+                    for i, best in _windowed(h, b.at, at, tokens, template.length).items():
+                        if best >= template.need:
+                            more[b.first + i].add(template.label)
+                            score[b.first + i] = max(score[b.first + i], best / len(tokens))
             out = dict(zip(batch.schema.names, batch.columns, strict=True))
             out |= {
                 "n_words": pa.array(n_words),

@@ -297,6 +297,22 @@ def test_license_templates(spark, awkward):
     assert scan_licenses(awkward).count() == awkward.count()
 
 
+def test_license_wrapped(spark):
+    from loomscape.llm.licenses import TEMPLATES, scan_licenses
+
+    rows, want = [], {}
+    for text, label in TEMPLATES.items():
+        w = text.split()
+        for width in (3, 5, 8):
+            want[len(rows)] = label
+            rows.append((len(rows), "some words before\n# " + "\n# ".join(" ".join(w[k : k + width]) for k in range(0, len(w), width)) + "\nand more behind"))
+    half = "Redistribution and use in source and binary forms, with or".split()
+    rows += [(1000, "\n".join(half)), (1001, "\n".join(half[:5] + ["far"] * 40 + "modification are permitted provided that the following conditions are met".split()))]
+    got = {r.doc_id: (r.labels.split(","), r.score) for r in scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(label in got[i][0] and got[i][1] == 1.0 for i, label in want.items())
+    assert got[1000] == got[1001] == ([""], 0.0)
+
+
 def ids_of(name, texts, end):
     from tokenizers import Tokenizer
 

@@ -17,9 +17,8 @@ _SYMBOLS = "#*$%&|<>"
 _CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 WINDOW = 8
 
-CUT = 60.0  # of the squared Mahalanobis distance
-HALF = 0.75  # share of a group that the determinant is minimal over
-STEPS = 3
+CUT = 45.79  # of the squared Mahalanobis distance: the quantile of 1 - 1e-8 in 5 dimensions
+MOST_STEPS = 30  # a determinant that still falls then is near enough
 LEAST_GROUP = 50
 
 
@@ -84,15 +83,17 @@ def _features() -> list[tuple[str, Column, float]]:
     ]
 
 
-def judge(measured: DataFrame, cut: float = CUT, half: float = HALF, steps: int = STEPS) -> DataFrame:
+def judge(measured: DataFrame, cut: float = CUT, most_steps: int = MOST_STEPS) -> DataFrame:
     """Adds base_failed, distance (null where base_failed) and kept to the rows of
     measure(), which hold lang and source.
 
     Base: fewer than 20 words, or more than 30 in 100 of them in repeated windows. The
     others are outliers where their statistics' squared Mahalanobis distance from their
     language and source exceeds cut. Centre and scatter minimise the covariance
-    determinant over half of the group: from medians and quartiles, each step takes the
-    half that is nearest and its mean and covariance. Scatter is scaled by the median
+    determinant over half of the group, (n + p + 1) / 2 of n: from medians, with quartiles
+    and with the least scales, each step takes the half that is nearest and its mean and
+    covariance until the determinant falls no more; the start with the smaller one counts.
+    Scatter is scaled by the median
     distance, and no direction is narrower than the statistics' least scales, so that
     groups of equal documents reject nothing for trifles. Groups of fewer than
     LEAST_GROUP documents are joined by language, and then altogether; a null language
@@ -118,19 +119,31 @@ def judge(measured: DataFrame, cut: float = CUT, half: float = HALF, steps: int
     zero = F.lit(0.0)
     centre = {f"m{i}": F.col(f"x{i}")[1] for i in range(p)}
     spread = {f"c{i}{j}": F.greatest((F.col(f"x{i}")[2] - F.col(f"x{i}")[0]) / 1.349, F.lit(least[i])) ** 2 if i == j else zero for i in range(p) for j in range(i + 1)}
-    model = materialize(quart.select("_group", *(c.alias(n) for n, c in (centre | spread).items())), "model")
-    for _ in range(steps):
-        far = _with_distance(rows, model, "_group")
-        bound = far.groupBy("_group").agg(F.percentile_approx("distance", half, 1000).alias("bound"))
-        near = far.join(bound, "_group").where("distance <= bound")
+    narrow = {f"c{i}{j}": F.lit(least[i] ** 2 if i == j else 0.0) for i in range(p) for j in range(i + 1)}
+    starts = [quart.select("_group", F.lit(k).alias("_start"), *(c.alias(n) for n, c in (centre | own).items())) for k, own in enumerate((spread, narrow))]
+    model = materialize(starts[0].unionByName(starts[1]), "model")
+    last, key = None, ["_group", "_start"]
+    shares = [k / 100 for k in range(50, 101)]
+    for _ in range(most_steps):
+        far = _with_distance(rows, model, "_group", extra=["_start"])
+        bound = far.groupBy(*key).agg(F.count("*").alias("n"), F.percentile_approx("distance", shares, 1000).alias("b"))
+        share = F.ceil(100 * F.least((F.col("n") + p + 1) / (2 * F.col("n")), F.lit(1.0)) - 1e-9).cast("int")
+        near = far.join(bound.select(*key, F.get("b", share - 50).alias("bound")), key).where("distance <= bound")
         means = [F.avg(x).alias(f"m{i}") for i, x in enumerate(names)]
         # sums of products about the former centre keep their digits
         about = [F.avg((F.col(f"x{i}") - F.col(f"o{i}")) * (F.col(f"x{j}") - F.col(f"o{j}"))).alias(f"p{i}{j}") for i in range(p) for j in range(i + 1)]
         shift = [F.avg(F.col(f"x{i}") - F.col(f"o{i}")).alias(f"s{i}") for i in range(p)]
-        new = near.groupBy("_group").agg(*means, *about, *shift)
+        new = near.groupBy(*key).agg(*means, *about, *shift)
         ridge = lambda i, j: F.lit((0.1 * least[i]) ** 2 if i == j else 0.0)
         cov = [(F.col(f"p{i}{j}") - F.col(f"s{i}") * F.col(f"s{j}") + ridge(i, j)).alias(f"c{i}{j}") for i in range(p) for j in range(i + 1)]
-        model = materialize(new.select("_group", *(f"m{i}" for i in range(p)), *cov), "model")
+        model = materialize(new.select(*key, *(f"m{i}" for i in range(p)), *cov), "model")
+        now = _factored(model).select(*key, sum((F.log(f"l{i}{i}") for i in range(1, p)), F.log("l00")).alias("det"))
+        fall = last and last.join(now.withColumnRenamed("det", "new"), key).agg(F.max(F.col("det") - F.col("new"))).first()[0]
+        if last is not None and (fall is None or fall < 1e-4):
+            break
+        last = materialize(now, "determinants")
+    best = now.groupBy("_group").agg(F.min_by("_start", F.struct("det", "_start")).alias("_start"))
+    model = materialize(model.join(best, key).drop("_start"), "model")
     middle = _with_distance(rows, model, "_group").groupBy("_group").agg((F.percentile_approx("distance", 0.5, 1000) / 4.351).alias("wide"))  # the median for 5 dimensions
     scaled = [(F.col(f"c{i}{j}") * F.greatest("wide", F.lit(1.0)) + F.lit(least[i] ** 2 if i == j else 0.0)).alias(f"c{i}{j}") for i in range(p) for j in range(i + 1)]
     final = model.join(middle, "_group").select("_group", *(f"m{i}" for i in range(p)), *scaled)
@@ -141,9 +154,8 @@ def judge(measured: DataFrame, cut: float = CUT, half: float = HALF, steps: int
     return out.withColumn("kept", kept).drop("_lang", "_source", *names, *(f"o{i}" for i in range(p)))
 
 
-def _with_distance(rows: DataFrame, model: DataFrame, on, how: str = "inner") -> DataFrame:
-    """Adds distance, the squared Mahalanobis distance of x0.. from the group's model, and
-    the centre as o0..; the scatter's Cholesky factor is worked out for each group."""
+def _factored(model: DataFrame) -> DataFrame:
+    """Adds l00.., the scatter's Cholesky factor."""
     p = 5
     for j in range(p):
         for i in range(j, p):
@@ -151,8 +163,16 @@ def _with_distance(rows: DataFrame, model: DataFrame, on, how: str = "inner") ->
             for k in range(j):
                 inner = inner - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
             model = model.withColumn(f"l{i}{j}", F.sqrt(F.greatest(inner, F.lit(1e-12))) if i == j else inner / F.col(f"l{j}{j}"))
+    return model
+
+
+def _with_distance(rows: DataFrame, model: DataFrame, on, how: str = "inner", extra: list[str] | None = None) -> DataFrame:
+    """Adds distance, the squared Mahalanobis distance of x0.. from the group's model, and
+    the centre as o0..; the scatter's Cholesky factor is worked out for each group. extra
+    are columns of the model that the rows get too."""
+    p = 5
     keys = [on] if isinstance(on, str) else on
-    model = model.select(*keys, *(F.col(f"m{i}").alias(f"o{i}") for i in range(p)), *(f"l{i}{j}" for i in range(p) for j in range(i + 1)))
+    model = _factored(model).select(*keys, *(extra or []), *(F.col(f"m{i}").alias(f"o{i}") for i in range(p)), *(f"l{i}{j}" for i in range(p) for j in range(i + 1)))
     out = rows.join(model, keys, how)
     for i in range(p):
         inner = F.col(f"x{i}") - F.col(f"o{i}")

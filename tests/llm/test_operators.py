@@ -476,6 +476,21 @@ def test_quality_keeps_clean_and_rejects_junk(spark):
     assert sum(junk) <= 0.15 * len(junk)
 
 
+def test_quality_outliers_do_not_mask(spark):
+    from loomscape.llm.quality import quality_rules
+
+    rng = np.random.default_rng(7)
+    rows = []
+    for i in range(200):
+        w = ["".join(rng.choice(list("abcdefghij"), int(rng.integers(3, 9)))) for _ in range(120)]
+        if i >= 120:  # two in five
+            for k in range(int(rng.integers(20, 60))):
+                w[k] = "#" * int(rng.integers(1, 4)) + w[k].upper()
+        rows.append((i, " ".join(w), "en", "s"))
+    got = {r.doc_id: r.kept for r in quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert all(got[i] for i in range(120)) and not any(got[i] for i in range(120, 200))
+
+
 def test_quality_awkward(spark, awkward):
     from loomscape.llm.quality import keep_good, quality_rules
 

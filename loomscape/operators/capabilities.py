@@ -17,7 +17,10 @@ VENDOR_WORDS = {
 # Share of the working set that may be used; most primitives; most and per GiB.
 SHARES = {"nvidia": 0.6, "amd": 0.7}
 CEILINGS = {"nvidia": 1_000_000, "intel": 750_000, "unknown": 500_000}
-SCALED = {"amd": (2_000_000, 150_000), "apple": (5_000_000, 250_000)}
+SCALED = {"amd": (4_000_000, 1_000_000), "apple": (6_000_000, 750_000)}
+TILES = {"nvidia": 16, "amd": 32, "intel": 16, "apple": 32, "unknown": 16}
+# Precision of stored and of computed numbers.
+PRECISIONS = {"nvidia": ("fp16", "fp32"), "amd": ("fp16", "fp32"), "intel": ("fp16", "fp32"), "apple": ("fp16", "fp16"), "unknown": ("fp32", "fp32")}
 
 
 def vendor(name: Column) -> Column:
@@ -38,7 +41,8 @@ def pick_device(devices: DataFrame, host: str) -> DataFrame:
 
 
 def decide(devices: DataFrame) -> DataFrame:
-    """Adds vendor, budget in bytes and the most primitives that a device should hold."""
+    """Adds vendor, budget in bytes, the most primitives that a device should hold, the
+    side of its tiles, and the precisions that it stores and computes with."""
     out = devices.withColumn("vendor", vendor(F.col("name")))
     v, ws = F.col("vendor"), F.col("working_set")
     share, ceiling = F, F
@@ -48,7 +52,14 @@ def decide(devices: DataFrame) -> DataFrame:
         ceiling = ceiling.when(v == k, n)
     for k, (most, each) in SCALED.items():
         ceiling = ceiling.when(v == k, F.least(F.lit(most), F.greatest(F.lit(250_000), F.floor(ws / float(1 << 30) * each))))
-    return out.withColumns({"budget": F.floor(ws * share.otherwise(0.5)), "ceiling": ceiling.cast("long")})
+    def of(table: dict) -> Column:
+        pick = F
+        for k, x in table.items():
+            pick = pick.when(v == k, F.lit(x))
+        return pick
+
+    own = {"budget": F.floor(ws * share.otherwise(0.5)), "ceiling": ceiling.cast("long"), "tile": of(TILES)}
+    return out.withColumns(own | {"stored": of({k: a for k, (a, _) in PRECISIONS.items()}), "computed": of({k: b for k, (_, b) in PRECISIONS.items()})})
 
 
 def older(version: Column, than: tuple[int, int, int]) -> Column:

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomscape.functions import kernels
+from loomscape.operators.graph import components
 
 
 def nearest_two(pairs: DataFrame, query: list[str], train: str, distance: str) -> DataFrame:
@@ -96,24 +95,14 @@ def seed_pool(pairs: DataFrame, gap: str, score: str, least: int, each: int = 3,
     return pairs.withColumn("rank", rank).where((F.col("rank") <= each) & (F.col(score) >= least)).drop("rank").orderBy(F.desc(gap), F.desc(score), "a", "b").limit(most)
 
 
-def tracks(edges: DataFrame, cut: Callable[[DataFrame], DataFrame], least: int = 2) -> DataFrame:
-    """(id, track): connected components of edges (a, b), named by their smallest id; cut
-    writes a table and reads it again. Components of fewer than least members go."""
-    e = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct()
-    both = cut(e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"))))
-    label = cut(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("id"), F.least("a", "m").alias("track")))
-    last = None
-    while True:
-        near = both.join(label, both.b == label.id).groupBy("a").agg(F.min("track").alias("near"))
-        low = label.join(near, label.id == near.a).select("id", F.least("track", "near").alias("track"))
-        # a label's own label is reachable too: paths halve
-        up = low.select(F.col("id").alias("track"), F.col("track").alias("up"))
-        label = cut(low.join(up, "track", "left").select("id", F.least("track", F.coalesce("up", "track")).alias("track")))
-        state = label.agg(F.sum(F.xxhash64("id", "track").cast("decimal(20,0)"))).first()[0]
-        if state == last:
-            sizes = label.groupBy("track").agg(F.count("*").alias("n")).where(F.col("n") >= least)
-            return label.join(sizes.select("track"), "track", "left_semi").select("id", "track")
-        last = state
+def tracks(edges: DataFrame, least: int = 2) -> DataFrame:
+    """(id, track): connected components of edges (a, b), named by their smallest id.
+    Components of fewer than least members go."""
+    label = components(edges).withColumnRenamed("component", "track")
+    if least <= 2:  # a link has two ends
+        return label
+    sizes = label.groupBy("track").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    return label.join(sizes.select("track"), "track", "left_semi").select("id", "track")
 
 
 def first_of(rows: DataFrame, keys: list[str], order: list) -> DataFrame:

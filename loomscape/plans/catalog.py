@@ -13,7 +13,6 @@ from loomscape.operators import frames as FR
 from loomscape.operators import matching as M
 from loomscape.operators import pixels as P
 from loomscape.session import load
-from loomscape.sources.work import cut
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -250,13 +249,13 @@ _LANES = "SELECT vec_id, label, " + ", ".join(f"list_sum(list_transform(range(16
 
 
 @query(f"""WITH d AS ({_LANES}), p AS (SELECT a.vec_id AS a, b.vec_id AS b, bit_count(xor(a.d0, b.d0)) + bit_count(xor(a.d1, b.d1)) + bit_count(xor(a.d2, b.d2)) + bit_count(xor(a.d3, b.d3)) AS distance
-FROM d a JOIN d b ON a.label % 2 = 0 AND b.label = a.label + 1),
+FROM d a JOIN d b ON b.label = a.label + 1),
 r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY distance, b) AS rn, lead(distance) OVER (PARTITION BY a ORDER BY distance, b) AS second FROM p)
 SELECT a, b, distance::BIGINT AS distance FROM r WHERE rn = 1 AND (second IS NULL OR distance < 0.95 * second)""")
 def hamming_match(spark, sf):
     bit = lambda k: F.aggregate(F.sequence(F.lit(0), F.lit(15)), F.lit(0).cast("long"), lambda s, i: s + F.when(F.get("embedding", i + 16 * k) > 0, F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(0))
     d = load(spark, sf, "embeddings").select("vec_id", "label", *(bit(k).alias(f"d{k}") for k in range(4)))
-    a = d.where("label % 2 = 0").select(F.col("vec_id").alias("a"), (F.col("label") + 1).alias("pair"), *(F.col(f"d{k}").alias(f"a{k}") for k in range(4)))
+    a = d.select(F.col("vec_id").alias("a"), (F.col("label") + 1).alias("pair"), *(F.col(f"d{k}").alias(f"a{k}") for k in range(4)))
     b = d.select(F.col("vec_id").alias("b"), F.col("label").alias("pair"), *(f"d{k}" for k in range(4)))
     apart = V.hamming([F.col(f"a{k}") for k in range(4)], [F.col(f"d{k}") for k in range(4)])
     pairs = a.join(b, "pair").select("a", "b", apart.alias("distance"))
@@ -264,7 +263,7 @@ def hamming_match(spark, sf):
 
 
 _L2 = """WITH e AS (SELECT vec_id, label, list_transform(embedding, lambda x: floor(x::DOUBLE * 255)::BIGINT) AS v FROM embeddings),
-p AS (SELECT a.vec_id AS a, b.vec_id AS b, list_sum(list_transform(range(1, 65), lambda i: (a.v[i] - b.v[i]) * (a.v[i] - b.v[i])))::DOUBLE AS distance FROM e a JOIN e b ON a.label % 2 = 0 AND b.label = a.label + 1),
+p AS (SELECT a.vec_id AS a, b.vec_id AS b, list_sum(list_transform(range(1, 65), lambda i: (a.v[i] - b.v[i]) * (a.v[i] - b.v[i])))::DOUBLE AS distance FROM e a JOIN e b ON b.label = a.label + 1),
 f AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY distance, b) AS rn, lead(distance) OVER (PARTITION BY a ORDER BY distance, b) AS second,
   row_number() OVER (PARTITION BY b ORDER BY distance, a) AS back FROM p)"""
 
@@ -272,7 +271,7 @@ f AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY distance, b) AS rn, l
 def _descriptors(spark, sf):
     v = F.transform("embedding", lambda x: F.floor(x.cast("double") * 255).cast("long"))
     d = load(spark, sf, "embeddings").select("vec_id", "label", v.alias("v"))
-    return d.where("label % 2 = 0").withColumn("pair", F.col("label") + 1), d.withColumn("pair", F.col("label"))
+    return d.withColumn("pair", F.col("label") + 1), d.withColumn("pair", F.col("label"))
 
 
 @query(f"{_L2} SELECT a, b, distance FROM f WHERE rn = 1 AND (second IS NULL OR distance < 0.81 * second) AND distance <= 120000")
@@ -299,14 +298,14 @@ def guided_greedy_match(spark, sf):
 
 
 _BAND = """WITH e AS (SELECT vec_id, label, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y, embedding[3]::DOUBLE AS c FROM embeddings)
-SELECT a.vec_id AS a, b.vec_id AS b, round(abs(a.x * b.x + a.y * b.y + a.c) / sqrt(a.x * a.x + a.y * a.y), 6) + 0.0 AS off FROM e a JOIN e b ON a.label % 2 = 0 AND b.label = a.label + 1
+SELECT a.vec_id AS a, b.vec_id AS b, round(abs(a.x * b.x + a.y * b.y + a.c) / sqrt(a.x * a.x + a.y * a.y), 6) + 0.0 AS off FROM e a JOIN e b ON b.label = a.label + 1
 WHERE abs(a.x * b.x + a.y * b.y + a.c) / sqrt(a.x * a.x + a.y * a.y) < 0.05"""
 
 
 @query(_BAND)
 def epipolar_candidates(spark, sf):
     e = load(spark, sf, "embeddings").select("vec_id", "label", *(F.get("embedding", F.lit(i)).cast("double").alias(n) for i, n in enumerate("xyc")))
-    a = e.where("label % 2 = 0").select(F.col("vec_id").alias("a"), (F.col("label") + 1).alias("pair"), F.col("x").alias("la"), F.col("y").alias("lb"), F.col("c").alias("lc"))
+    a = e.select(F.col("vec_id").alias("a"), (F.col("label") + 1).alias("pair"), F.col("x").alias("la"), F.col("y").alias("lb"), F.col("c").alias("lc"))
     b = e.select(F.col("vec_id").alias("b"), F.col("label").alias("pair"), "x", "y")
     off = F.abs(F.col("la") * F.col("x") + F.col("lb") * F.col("y") + F.col("lc")) / F.sqrt(F.col("la") * F.col("la") + F.col("lb") * F.col("lb"))
     return a.join(b, "pair").withColumn("off", off).where("off < 0.05").select("a", "b", tidy(F.col("off")).alias("off"))
@@ -346,16 +345,15 @@ def seed_pool(spark, sf):
     return M.seed_pool(_wide(spark, sf), "gap", "score", 30)
 
 
-_EDGES = "SELECT DISTINCT least(a, b) AS a, greatest(a, b) AS b FROM (SELECT l_partkey AS a, (l_partkey * 7 + l_suppkey) % 1500 AS b FROM lineitem WHERE l_quantity >= 49 AND l_discount >= 0.08) WHERE a <> b"
+# each order of a customer is linked with the next one
+_EDGES = "SELECT o_orderkey AS a, next AS b FROM (SELECT o_orderkey, lead(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS next FROM orders) WHERE next IS NOT NULL"
 _TRACK = f"""WITH RECURSIVE e AS ({_EDGES}), s AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
 reach(id, other) AS (SELECT a, a FROM s UNION SELECT r.id, s.b FROM reach r JOIN s ON s.a = r.other)
 SELECT id, min(other) AS track FROM reach GROUP BY id"""
 
 
 def _tracks(spark, sf):
-    strong = load(spark, sf, "lineitem").where("l_quantity >= 49 AND l_discount >= 0.08")
-    edges = strong.select(F.col("l_partkey").alias("a"), ((F.col("l_partkey") * 7 + F.col("l_suppkey")) % 1500).alias("b"))
-    return M.tracks(edges, cut)
+    return M.tracks(M.window_pairs(load(spark, sf, "orders"), "o_custkey", ["o_orderdate", "o_orderkey"], "o_orderkey", 1))
 
 
 @query(_TRACK)

@@ -318,11 +318,12 @@ def gpu_pick(spark, sf):
     return C.pick_device(_devices(spark, sf), "host").select("host", "id", "name")
 
 
-@query(f"""SELECT id, vendor, floor(working_set * CASE vendor WHEN 'nvidia' THEN 0.6 WHEN 'amd' THEN 0.7 ELSE 0.5 END)::BIGINT AS budget,
-CASE vendor WHEN 'nvidia' THEN 1000000 WHEN 'intel' THEN 750000 WHEN 'unknown' THEN 500000 WHEN 'amd' THEN least(2000000, greatest(250000, floor(working_set / 1073741824e0 * 150000)::BIGINT)) ELSE least(5000000, greatest(250000, floor(working_set / 1073741824e0 * 250000)::BIGINT)) END::BIGINT AS ceiling
+@query(f"""SELECT id, vendor, floor(working_set * CASE vendor WHEN 'nvidia' THEN 0.6e0 WHEN 'amd' THEN 0.7e0 ELSE 0.5e0 END)::BIGINT AS budget,
+CASE vendor WHEN 'nvidia' THEN 1000000 WHEN 'intel' THEN 750000 WHEN 'unknown' THEN 500000 WHEN 'amd' THEN least(4000000, greatest(250000, floor(working_set / 1073741824e0 * 1000000)::BIGINT)) ELSE least(6000000, greatest(250000, floor(working_set / 1073741824e0 * 750000)::BIGINT)) END::BIGINT AS ceiling,
+CASE WHEN vendor IN ('amd', 'apple') THEN 32 ELSE 16 END AS tile, CASE vendor WHEN 'unknown' THEN 'fp32' ELSE 'fp16' END AS stored, CASE vendor WHEN 'apple' THEN 'fp16' ELSE 'fp32' END AS computed
 FROM (SELECT *, {_VENDOR} AS vendor FROM ({_DEV.format(supplier='supplier')}))""")
 def tier_decision(spark, sf):
-    return C.decide(_devices(spark, sf)).select("id", "vendor", "budget", "ceiling")
+    return C.decide(_devices(spark, sf)).select("id", "vendor", "budget", "ceiling", "tile", "stored", "computed")
 
 
 @query("SELECT a.o_orderkey AS k, CASE WHEN (o_custkey % 3, o_orderkey % 5, o_orderkey % 7) < (1, 2, 3) THEN true ELSE false END AS older FROM orders a")

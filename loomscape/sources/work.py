@@ -5,10 +5,12 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def work_folder(spark) -> str:
+def work_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir, the folder that driver and executors share. Where the session
+    has none (tests, local mode) a temporary folder is made and put into its setting."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         if not spark.sparkContext.master.startswith("local"):
@@ -18,8 +20,24 @@ def work_folder(spark) -> str:
     return f"{found.rstrip('/')}/loomscape"
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df written as Parquet and read again."""
-    path = f"{work_folder(df.sparkSession)}/cut-{uuid.uuid4().hex[:12]}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def work_path(spark: SparkSession, name: str) -> str:
+    return f"{work_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def cut(df: DataFrame, name: str = "cut") -> DataFrame:
+    """df written to the shared folder as Parquet and read again: cuts the lineage and
+    survives the loss of executors."""
+    path = work_path(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._cut_path = path
+    return out
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Deletes the files of tables that cut() wrote and nothing reads any more."""
+    for df in tables:
+        if path := getattr(df, "_cut_path", None):
+            context = df.sparkSession.sparkContext
+            p = context._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(context._jsc.hadoopConfiguration()).delete(p, True)

@@ -151,10 +151,22 @@ def test_reconstruction(spark):
 def test_keyframe_stream(spark, tmp_path):
     from loomscape.streaming.keyframes import keyframes
 
-    rows = [(1, i, float(i % 4), 0.006 * i) for i in range(20)]
-    schema = "session long, frame_id long, blur double, signature double"
-    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "in"))
-    stream = keyframes(spark.readStream.schema(schema).parquet(str(tmp_path / "in")))
-    q = stream.writeStream.format("memory").queryName("kept").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
-    q.awaitTermination(60)
-    assert spark.table("kept").count() == 9
+    frames = [(0.006 * i, float(i % 4)) for i in range(20)]
+    schema = "session long, frame_id long, blur double, signature array<double>"
+    batches = [[(1, i, b, [s, s, s, s]) for i, (s, b) in enumerate(frames)][:11], [(1, i, b, [s, s, s, s]) for i, (s, b) in enumerate(frames)][11:] + [(1, None, None, None)], [(1, 100, 1.0, [5.0] * 4)]]
+    got = []
+    for k, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = keyframes(spark.readStream.schema(schema).parquet(str(tmp_path / "in")))
+        q = stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+        q.awaitTermination(60)
+        got = sorted(r.frame_id for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    want, anchor, run = [], None, []
+    for i, (s, b) in enumerate(frames):  # the runs by hand
+        if anchor is None or s - anchor >= 0.01:
+            want += [max(run, key=lambda x: (x[1], -x[0]))[0]] if run else []
+            anchor, run = s, []
+        run.append((i, b))
+    want.append(max(run, key=lambda x: (x[1], -x[0]))[0])  # the session was ended; the next one has not
+    assert got == want and len(want) == 10
+

@@ -1,99 +1,38 @@
-"""Shared plumbing of the training-data operators: the shared work folder, tables
-cut from their lineage, and distributed union-find."""
+"""Shared plumbing of the training-data operators: links that connect what shares keys."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomscape.operators.graph import components
+from loomscape.session import load
+from loomscape.sources.work import cut as materialize
+from loomscape.sources.work import discard, work_path
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir.
+__all__ = ["components", "connect", "discard", "materialize", "prefix_pairs", "shared_keys", "small", "table", "work_path"]
 
-    Where the session has none (tests, local mode) a temporary folder is made and
-    put into the session's setting.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="loomscape-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def work_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/loomscape/{name}-{uuid.uuid4().hex[:12]}"
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """df written to the shared folder as Parquet and read again: cuts the lineage
-    and survives the loss of executors."""
-    spark = df.sparkSession
-    path = work_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._loom_path = path
-    return out
-
-
-def discard(*tables: DataFrame | None) -> None:
-    """Deletes the files of tables that materialize() wrote and nothing reads any more."""
-    for df in tables:
-        path = getattr(df, "_loom_path", None)
-        if path:
-            delete_path(df.sparkSession, path)
 
-
-def delete_path(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+def small(df: DataFrame, most: int = 200_000) -> DataFrame:
+    """df to be broadcast where it has at most this many (narrow) rows; beyond them the
+    join deals out both sides by its keys. df is best a table of materialize(), whose
+    rows are counted from its files."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-
-
-def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """Distributed union-find: (id, component) for every id in edges, component being
-    the smallest id that is reachable.
-
-    Alternates large-star and small-star steps; each is an aggregation and a join on
-    the edges, so that no component is gathered anywhere. Hubs are minima with
-    map-side combination, and the joins are ones that AQE can split. Self-links count
-    as nothing; null ends are ignored; an empty table gives an empty table.
-    """
-    e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u > v").distinct()
-    e = materialize(e, "edges")
-    last = None
-    while True:
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where("u > v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        new = materialize(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
-        state = new.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
-        discard(e)
-        e = new
-        if state == last:
-            break
-        last = state
-    leaves = e.select(F.col("u").alias("id"), F.col("v").alias("component"))
-    roots = e.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
-    return leaves.unionByName(roots)
+    return load(spark, sf_dir, name)
 
 
 def shared_keys(member: DataFrame) -> DataFrame:
     """Of (key, id) those rows whose key several ids have."""
     shared = member.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("key")
-    return materialize(member.join(shared, "key"), "members")
+    shared = materialize(shared, "keys")
+    out = materialize(member.join(small(shared), "key"), "members")
+    discard(shared)
+    return out
 
 
 def _centres(rows: DataFrame) -> DataFrame:
@@ -115,7 +54,7 @@ def _apart(rows: DataFrame, links: DataFrame) -> DataFrame:
     return out
 
 
-def connect(members: DataFrame, verified: Callable[[DataFrame], DataFrame], settle: Callable[[DataFrame, DataFrame], DataFrame] | None = None) -> DataFrame:
+def connect(members: DataFrame, verified: Callable[[DataFrame], DataFrame], settle: Callable[[DataFrame], DataFrame] | None = None, centres: int = 2) -> DataFrame:
     """Verified links (a, b) that connect all ids that verified links between any two
     ids of one key connect; members are those of shared_keys().
 
@@ -123,7 +62,8 @@ def connect(members: DataFrame, verified: Callable[[DataFrame], DataFrame], sett
     id that meets most others. Where members of a key stay in different components
     afterwards, further centres follow, until the pairs between components that are left
     over are at most a few for each member; those are then all checked. Or settle gets
-    those ids (id, part) after two centres, and returns the links that are still needed.
+    those ids (id, part) after so many centres, and returns the links that are still
+    needed; rounds are bounded then.
     Members of one component need no pair, so that nothing is lost, and no key's members
     are gathered in one task.
     """
@@ -133,8 +73,8 @@ def connect(members: DataFrame, verified: Callable[[DataFrame], DataFrame], sett
     rounds = 1
     while True:
         now = _apart(left, links)
-        if settle and rounds == 2:
-            return links.unionByName(settle(now.select("id", "part").distinct(), links))
+        if settle and rounds == centres:
+            return links.unionByName(settle(now.groupBy("id").agg(F.min("part").alias("part"))))
         parts = now.groupBy("key", "part").agg(F.count("*").alias("n"))
         stat = parts.groupBy("key").agg(F.sum("n").alias("n"), F.max_by("part", F.struct("n", "part")).alias("main"))
         rest = materialize(now.join(stat, "key"), "left")
@@ -155,3 +95,29 @@ def connect(members: DataFrame, verified: Callable[[DataFrame], DataFrame], sett
         if last:
             return links
         left, rounds = rest.where("id <> centre").select("key", "id"), rounds + 1
+
+
+def prefix_pairs(prefixes: DataFrame) -> DataFrame:
+    """Pairs (a, b) of ids of different parts that may be alike: the last step of a
+    positional prefix join.
+
+    prefixes has the first few entries of each id's set in an order that all sets share,
+    as many as an alike set must share one of: key, id, part, n (the set's size) and most
+    (the largest set that can be alike if this is the first entry shared). The smaller set
+    of a pair must leave room for one of its own size there, so that sets that have but a
+    common passage in common make no pair at all.
+    """
+    rows = materialize(prefixes, "prefixes")
+    mixed = rows.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.max(F.col("most") >= F.col("n")).alias("room")).where("low < high AND room").select("key")
+    held = rows.join(small(materialize(mixed, "mixed")), "key")
+    of_part = held.groupBy("key", "part").agg(F.count("*").alias("c"))
+    main = of_part.groupBy("key").agg(F.max_by("part", F.struct("c", "part")).alias("main"))
+    held = materialize(held.join(main, "key"), "prefixes")
+    discard(rows)
+    low = held.where("most >= n").select("key", F.col("id").alias("a"), F.col("part").alias("pa"), F.col("n").alias("na"), F.col("most").alias("ma"), "main")
+    high = held.select("key", F.col("id").alias("b"), F.col("part").alias("pb"), F.col("n").alias("nb"), F.col("most").alias("mb"), F.col("main").alias("main_b"))
+    fits = "pa <> pb AND na <= nb AND nb <= ma AND na <= mb"
+    one = low.where("pa <> main").join(high, "key").where(fits)
+    two = low.where("pa = main").join(high.where("pb <> main_b"), "key").where(fits)
+    pairs = one.select("a", "b").unionByName(two.select("a", "b"))
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct()

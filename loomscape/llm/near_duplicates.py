@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomscape.llm.common import components, connect, materialize, shared_keys
+from loomscape.llm.common import components, connect, materialize, prefix_pairs, shared_keys
 from loomscape.llm.words import LANES, NON_SPACE, U, mix, shingle_set, word_blocks
 
 BANDS, ROWS = 28, 4
@@ -199,34 +199,16 @@ def _links(source: DataFrame, known: DataFrame, sets: DataFrame, size: int, perc
         b = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
         return materialize(pairs.join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b").mapInArrow(_verifier(size, percent), "a long, b long"), "links")
 
-    def settle(ids: DataFrame, _: DataFrame) -> DataFrame:
-        """Links between the parts of ids: a positional prefix join.
-
-        Shingles are ordered by rarity; alike sets share one of their first few, and at
-        the first that they share enough others are still to come in both. The smaller
-        set of a pair must leave room for one of its own size there, so that sets which
-        have but a common passage in common make no pair at all.
-        """
-        parts = ids.groupBy("id").agg(F.min("part").alias("part"))
-        own = texts.join(parts, texts.doc_id == parts.id).select("doc_id", "text", "part")
+    def settle(ids: DataFrame) -> DataFrame:
+        """Links between the parts of ids by a positional prefix join; shingles are
+        ordered by rarity."""
+        own = texts.join(ids, texts.doc_id == ids.id).select("doc_id", "text", "part")
         counts = own.select("text").mapInArrow(_shingle_slots(size), "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).collect()
         often = np.zeros(_SLOTS, dtype=np.int64)
         for r in counts:
             often[r["slot"]] = r["n"]
         shared = own.sparkSession.sparkContext.broadcast(often)
-        rows = materialize(own.mapInArrow(_prefixes(size, percent, shared), "key long, id long, part long, n int, most int"), "prefixes")
-        mixed = rows.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.max(F.col("most") >= F.col("n")).alias("room")).where("low < high AND room").select("key")
-        rows = rows.join(mixed, "key")
-        of_part = rows.groupBy("key", "part").agg(F.count("*").alias("c"))
-        main = of_part.groupBy("key").agg(F.max_by("part", F.struct("c", "part")).alias("main"))
-        rows = materialize(rows.join(main, "key"), "prefixes")
-        small = rows.where("most >= n").select("key", F.col("id").alias("a"), F.col("part").alias("pa"), F.col("n").alias("na"), F.col("most").alias("ma"), "main")
-        large = rows.select("key", F.col("id").alias("b"), F.col("part").alias("pb"), F.col("n").alias("nb"), F.col("most").alias("mb"))
-        fits = "pa <> pb AND na <= nb AND nb <= ma AND na <= mb"
-        one = small.where("pa <> main").join(large, "key").where(fits)
-        two = small.where("pa = main").join(large.join(main, "key").where("pb <> main").drop("main"), "key").where(fits)
-        pairs = one.select("a", "b").unionByName(two.select("a", "b"))
-        return verified(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct())
+        return verified(prefix_pairs(own.mapInArrow(_prefixes(size, percent, shared), "key long, id long, part long, n int, most int")))
 
     return connect(members, verified, settle).unionByName(same)
 

@@ -3,11 +3,13 @@
 Texts are cut where the tokenizer's own splitting is certain to cut (between letters,
 digits, punctuation and single spaces of the common ranges); each distinct piece is
 given to the library once and its ids are kept, so that ids are those of the whole
-text. Where a cut isn't certain, the piece simply stays longer.
+text. Where a cut isn't certain, the piece simply stays longer. A text that spells a
+special token goes to the library as a whole.
 """
 
 from __future__ import annotations
 
+import hashlib
 import os
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -15,7 +17,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-from loomscape.llm.words import _BASE, _BYTE, _LOWER, U, _powers, mix, text_blocks, text_buffers  # noqa: F401
+from loomscape.llm.words import _BYTE, _LOWER, BLOCK, U, _powers, mix, text_blocks, text_buffers
 
 _L, _D, _P, _S, _N, _X = 1, 2, 3, 4, 5, 6
 _KIND = np.full(256, _X, dtype=np.uint8)
@@ -59,7 +61,10 @@ class _Table:
         return rows
 
     def add(self, keys: np.ndarray, first_row: int) -> None:
-        """Distinct keys that aren't there yet get the rows from first_row on."""
+        """Distinct keys that aren't there yet get the rows from first_row on. No more than
+        half of the slots are ever taken."""
+        if 2 * (self.count + len(keys)) > len(self.rows):
+            raise ValueError("more keys than the table is meant for")
         rows = np.arange(first_row, first_row + len(keys), dtype=np.int32)
         slot = (keys & self.mask).astype(np.int64)
         left = np.arange(len(keys))
@@ -103,7 +108,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         if self.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("ids must fit into 16 bits")
         self.word_ends = self.tokenizer.encode("a b", add_special_tokens=False).ids == [
@@ -162,8 +167,6 @@ class Encoder:
 
     def _learn(self, raw: np.ndarray, keys: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
         """Asks the library for the ids of new pieces (distinct keys)."""
-        if self.known.count + len(keys) > self.most and self.known.count:
-            self._reset()
         data = raw.tobytes().lower() if self.word_ends else raw.tobytes()
         tokenize, spelled = self.tokenizer.model.tokenize, self.spelled
         is_letter = (_KIND[raw] == _L) | ((raw >= 0x80) & (not self.word_ends))
@@ -207,35 +210,74 @@ class Encoder:
         self.used = end
         self.known.add(keys, row)
 
+    def _rows(self, raw: np.ndarray, keys: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """The rows of pieces, at most self.most of them, that are learnt where they are new."""
+        rows = self.known.find(keys)
+        missing = np.flatnonzero(rows < 0)
+        if not len(missing):
+            return rows
+        once = np.unique(keys[missing], return_index=True)[1]
+        if self.known.count + len(once) > self.most:
+            self._reset()
+            missing = np.arange(len(keys))
+            once = np.unique(keys, return_index=True)[1]
+        new = missing[once]
+        self._learn(raw, keys[new], starts[new], ends[new])
+        return self.known.find(keys)
+
+    def _encoded(self, raw: np.ndarray, text_at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of concatenated texts, and where each text's begin."""
+        starts, ends = self._cuts(raw, text_at)
+        power, inverse = _powers(len(raw) + 1)
+        total = np.zeros(len(raw) + 1, dtype=np.uint64)
+        np.cumsum(self.value[raw] * power[: len(raw)], out=total[1:])
+        keys = mix((total[ends] - total[starts]) * inverse[starts])
+        data = raw.tobytes()
+        odd = [i for i in range(len(text_at) - 1) if any(x in data[text_at[i] : text_at[i + 1]] for x in self.special)] if any(x in data for x in self.special) else []
+        if odd:
+            inside = np.isin(np.searchsorted(text_at, starts, side="right") - 1, odd)
+            own = [hashlib.blake2b(data[text_at[i] : text_at[i + 1]], digest_size=8).digest() for i in odd]
+            starts, ends = np.append(starts[~inside], text_at[odd]), np.append(ends[~inside], text_at[np.array(odd) + 1])
+            keys = np.append(keys[~inside], np.frombuffer(b"".join(own), dtype=np.uint64))
+            order = np.argsort(starts, kind="stable")
+            starts, ends, keys = starts[order], ends[order], keys[order]
+        counts, ids = [np.zeros(0, np.int64)], [np.zeros(0, np.uint16)]
+        for lo in range(0, len(keys), self.most):  # so that the table holds every slice
+            part = slice(lo, lo + self.most)
+            rows = self._rows(raw, keys[part], starts[part], ends[part])
+            begin = self.at[rows]
+            counts.append(self.at[rows + 1] - begin)
+            upto = np.cumsum(counts[-1])
+            ids.append(self.flat[np.repeat(begin - upto + counts[-1], counts[-1]) + np.arange(int(upto[-1]))])
+        upto = np.concatenate([[0], np.cumsum(np.concatenate(counts))])
+        return upto[np.searchsorted(starts, text_at)], np.concatenate(ids)
+
+    def _long(self, raw: np.ndarray) -> np.ndarray:
+        """The ids of one long text, some BLOCK bytes at a time up to a certain cut."""
+        out, at, step = [], 0, BLOCK
+        while at < len(raw):
+            part = raw[at : at + step]
+            if len(part) == step:
+                starts = self._cuts(part, np.array([0, step]))[0]
+                starts = starts[starts < step - 8]  # what follows is known there
+                if not len(starts) or not starts[-1]:
+                    step *= 2
+                    continue
+                part = part[: starts[-1]]
+            out.append(self._encoded(part, np.array([0, len(part)]))[1])
+            at, step = at + len(part), BLOCK
+        return np.concatenate(out)
+
     def blocks(self, column: pa.Array) -> Iterator[TokenBlock]:
-        """The ids of every text, by blocks of texts; a null is an empty text."""
+        """The ids of every text, by blocks of texts; a null is an empty text. A text of
+        any length gives all its ids; pieces are learnt and held a bounded number at once."""
         data, at = text_buffers(column)
         for i, j in text_blocks(at):
-            text_at = at[i : j + 1] - at[i]
             raw = data[at[i] : at[j]]
-            if not len(raw):
+            if len(raw) > 2 * BLOCK and j == i + 1 and not any(x in raw.tobytes() for x in self.special):
+                ids = self._long(raw)
+                yield TokenBlock(i, np.array([0, len(ids)]), ids)
+            elif len(raw):
+                yield TokenBlock(i, *self._encoded(raw, at[i : j + 1] - at[i]))
+            else:
                 yield TokenBlock(i, np.zeros(j - i + 1, np.int64), np.zeros(0, np.uint16))
-                continue
-            starts, ends = self._cuts(raw, text_at)
-            power, inverse = _powers(len(raw) + 1)
-            total = np.zeros(len(raw) + 1, dtype=np.uint64)
-            np.cumsum(self.value[raw] * power[: len(raw)], out=total[1:])
-            keys = mix((total[ends] - total[starts]) * inverse[starts])
-            rows = self.known.find(keys)
-            if (rows < 0).any():
-                missing = np.flatnonzero(rows < 0)
-                _, once = np.unique(keys[missing], return_index=True)
-                new = missing[once]
-                held = self.known.count
-                self._learn(raw, keys[new], starts[new], ends[new])
-                if self.known.count <= len(new) and held:  # it began anew
-                    _, once = np.unique(keys, return_index=True)
-                    once = once[self.known.find(keys[once]) < 0]
-                    self._learn(raw, keys[once], starts[once], ends[once])
-                rows = self.known.find(keys)
-            begin = self.at[rows]
-            counts = self.at[rows + 1] - begin
-            upto = np.zeros(len(rows) + 1, dtype=np.int64)
-            np.cumsum(counts, out=upto[1:])
-            ids = self.flat[np.repeat(begin - upto[:-1], counts) + np.arange(upto[-1])]
-            yield TokenBlock(i, upto[np.searchsorted(starts, text_at)], ids)

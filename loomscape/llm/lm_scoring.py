@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from loomscape.llm.common import materialize
 from loomscape.llm.words import NON_SPACE, U, mix, word_blocks
 
-WORDS, BUCKETS = 192, 64  # classes: the most frequent words at least, and hashed buckets of all others
+WORDS, BUCKETS = 960, 64  # classes: the most frequent words at least, and hashed buckets of all others
 GROWTH = 2.0  # words that stand this often the root of all words' number have classes of their own too
 REACH = 2  # words seen on either side
 WIDTH = 24
@@ -21,24 +21,43 @@ BATCH = 8192
 ROUNDS = 2
 RATE = 0.15
 _OFFSETS = [o for o in range(-REACH, REACH + 1) if o]
+_NEVER = np.float32(-60.0)  # the bias of numbers that fill the last group up
+
+
+def _ordered(numbers: np.ndarray) -> np.ndarray:
+    """A stable order of small numbers; of 16 bits they are sorted by radix."""
+    return np.argsort(numbers.astype(np.int16) if numbers.max(initial=0) < 1 << 15 else numbers, kind="stable")
+
+
+def _exponents(logits: np.ndarray) -> np.ndarray:
+    """In place. Logits are sums of few bounded terms; the bound is far from any of them."""
+    return np.exp(np.minimum(logits, np.float32(80), out=logits), out=logits)
 
 
 @dataclass
 class Network:
-    """tanh of a sum of one vector for each neighbour, then a softmax over classes."""
+    """tanh of a sum of one vector for each neighbour, then a softmax over classes in two
+    levels: over groups of classes, and over the classes of the group. Class k is number
+    k % size of group k // size."""
 
     vocabulary: np.ndarray  # sorted word hashes of the frequent words
+    classes: int  # the vocabulary's, and buckets
     seen: np.ndarray  # (neighbours, classes + 1, width); the last class stands for beyond the text
     shift: np.ndarray  # (width)
-    out: np.ndarray  # (width, classes)
-    bias: np.ndarray  # (classes)
+    top: np.ndarray  # (width, groups)
+    top_bias: np.ndarray  # (groups)
+    low: np.ndarray  # (groups, width, size)
+    low_bias: np.ndarray  # (groups, size)
 
     @property
-    def classes(self) -> int:
-        return len(self.bias)
+    def size(self) -> int:
+        return self.low_bias.shape[1]
 
     def parameters(self) -> list[np.ndarray]:
-        return [self.seen, self.shift, self.out, self.bias]
+        return [self.seen, self.shift, self.top, self.top_bias, self.low, self.low_bias]
+
+    def copy(self) -> Network:
+        return Network(self.vocabulary, self.classes, *(p.copy() for p in self.parameters()))
 
     def flat(self) -> np.ndarray:
         return np.concatenate([p.ravel() for p in self.parameters()])
@@ -64,14 +83,33 @@ class Network:
             total += self.seen[k][neighbours[k]]
         return np.tanh(total, out=total)
 
+    def grouped(self, target: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+        """An order of targets by group, and (group, first, end) of each that is met."""
+        own = target // self.size
+        order = _ordered(own)
+        at = np.searchsorted(own[order], np.arange(len(self.top_bias) + 1))
+        return order, [(g, a, z) for g, (a, z) in enumerate(zip(at[:-1].tolist(), at[1:].tolist(), strict=True)) if z > a]
+
+    def lower(self, hidden: np.ndarray, runs: list[tuple[int, int, int]]) -> np.ndarray:
+        """Logits within their groups of targets that stand by group."""
+        out = np.empty((len(hidden), self.size), dtype=hidden.dtype)
+        for g, a, z in runs:
+            np.matmul(hidden[a:z], self.low[g], out=out[a:z])
+            out[a:z] += self.low_bias[g]
+        return out
+
     def log_probabilities(self, neighbours: np.ndarray, target: np.ndarray) -> np.ndarray:
         out = np.empty(len(target))
         for i in range(0, len(target), BATCH):
             own = target[i : i + BATCH]
-            logits = self.hidden(neighbours[:, i : i + BATCH]) @ self.out + self.bias
-            top = logits.max(axis=1)
-            norm = np.exp(logits - top[:, None]).sum(axis=1)
-            out[i : i + BATCH] = logits[np.arange(len(own)), own] - top - np.log(norm)
+            order, runs = self.grouped(own)
+            own, every = own[order], np.arange(len(own))
+            hidden = self.hidden(neighbours[:, i : i + BATCH])[order]
+            total = np.zeros(len(own))
+            for logits, k in ((hidden @ self.top + self.top_bias, own // self.size), (self.lower(hidden, runs), own % self.size)):
+                chosen = logits[every, k]
+                total += chosen - np.log(_exponents(logits) @ np.ones(logits.shape[1], np.float32))
+            out[i + order] = total
         return out
 
 
@@ -88,10 +126,18 @@ def new_network(vocabulary: np.ndarray, counts: np.ndarray, width: int = WIDTH,
     """Untrained; its biases are the classes' own frequencies."""
     rng = np.random.default_rng(seed)
     classes = len(counts)
+    size = max(1, int(np.ceil(np.sqrt(classes))))
+    groups = -(-classes // size)
     seen = rng.normal(0, 0.1, (len(_OFFSETS), classes + 1, width)).astype(np.float32)
-    out = rng.normal(0, 0.1, (width, classes)).astype(np.float32)
-    bias = np.log((counts + 1.0) / (counts.sum() + classes)).astype(np.float32)
-    return Network(vocabulary, seen, np.zeros(width, np.float32), out, bias)
+    top = rng.normal(0, 0.1, (width, groups)).astype(np.float32)
+    low = rng.normal(0, 0.1, (groups, width, size)).astype(np.float32)
+    often = np.zeros(groups * size)
+    often[:classes] = counts + 1.0
+    often = often.reshape(groups, size)
+    of_group = often.sum(axis=1, keepdims=True)
+    low_bias = np.where(often > 0, np.log(np.maximum(often, 1e-9) / of_group), _NEVER).astype(np.float32)
+    top_bias = np.log(of_group[:, 0] / of_group.sum()).astype(np.float32)
+    return Network(vocabulary, classes, seen, np.zeros(width, np.float32), top, top_bias, low, low_bias)
 
 
 def contexts(classes: np.ndarray, at: np.ndarray, beyond: int) -> np.ndarray:
@@ -108,27 +154,46 @@ def train(net: Network, blocks: Iterator[tuple[np.ndarray, np.ndarray]], rate: f
     (neighbours, targets); the number of words seen."""
     sums = [np.full(p.shape, 1e-3, dtype=np.float32) for p in net.parameters()]
     words = 0
+
+    def wrongs(logits: np.ndarray, right: np.ndarray) -> np.ndarray:
+        every = np.float32(len(right))
+        _exponents(logits)
+        logits *= (1 / (every * (logits @ np.ones(logits.shape[1], np.float32))))[:, None]
+        logits[np.arange(len(right)), right] -= 1 / every
+        return logits
+
+    def down(values: np.ndarray) -> np.ndarray:
+        return np.ones(len(values), np.float32) @ values
+
     for neighbours, target in blocks:
         for i in range(0, len(target), BATCH):
             near, own = neighbours[:, i : i + BATCH], target[i : i + BATCH]
-            n = len(own)
+            order, runs = net.grouped(own)
+            near, own = near[:, order], own[order]
             hidden = net.hidden(near)
-            wrong = hidden @ net.out + net.bias
-            wrong -= wrong.max(axis=1)[:, None]
-            np.exp(wrong, out=wrong)
-            wrong /= wrong.sum(axis=1)[:, None]
-            wrong[np.arange(n), own] -= 1
-            wrong /= n
-            back = wrong @ net.out.T * (1 - hidden * hidden)
-            seen = np.zeros_like(net.seen)
-            for k in range(len(_OFFSETS)):
-                order = np.argsort(near[k], kind="stable")
-                which, first = np.unique(near[k][order], return_index=True)
-                seen[k][which] = np.add.reduceat(back[order], first, axis=0)
-            for p, s, g in zip(net.parameters(), sums, (seen, back.sum(axis=0), hidden.T @ wrong, wrong.sum(axis=0)), strict=True):
+            above = wrongs(hidden @ net.top + net.top_bias, own // net.size)
+            below = wrongs(net.lower(hidden, runs), own % net.size)
+            back = above @ net.top.T
+            low, low_bias = np.zeros_like(net.low), np.zeros_like(net.low_bias)
+            for g, a, z in runs:
+                back[a:z] += below[a:z] @ net.low[g].T
+                np.matmul(hidden[a:z].T, below[a:z], out=low[g])
+                low_bias[g] = down(below[a:z])
+            slopes = [None, None, hidden.T @ above, down(above), low, low_bias]
+            hidden *= hidden
+            back *= 1 - hidden
+            slopes[1] = down(back)
+            for k in range(len(_OFFSETS)):  # of the vectors of classes that were seen
+                place = _ordered(near[k])
+                which = near[k][place]
+                first = np.flatnonzero(np.diff(which, prepend=-1))
+                which, g = which[first], np.add.reduceat(back[place], first, axis=0)
+                sums[0][k][which] += g * g
+                net.seen[k][which] -= rate * g / np.sqrt(sums[0][k][which])
+            for p, s, g in list(zip(net.parameters(), sums, slopes, strict=True))[1:]:
                 s += g * g
                 p -= rate * g / np.sqrt(s)
-            words += n
+            words += len(own)
     return words
 
 
@@ -181,7 +246,7 @@ def fit(docs: DataFrame, words: int = WORDS, buckets: int = BUCKETS, rounds: int
         shared = spark.sparkContext.broadcast(net)
 
         def learn(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            own = Network(shared.value.vocabulary, *(p.copy() for p in shared.value.parameters()))
+            own = shared.value.copy()
 
             def blocks() -> Iterator[tuple[np.ndarray, np.ndarray]]:
                 for batch in batches:
@@ -213,34 +278,14 @@ def _classed(counts: DataFrame, net: Network) -> DataFrame:
     return counts.mapInArrow(run, "word long, n long, class long")
 
 
-def _word_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The sum of the shares of each text's words; all rows of a block are in one task."""
-    sums: dict[int, np.ndarray] = {}
-    for batch in batches:
-        at = batch.column("at")
-        own, block = at.flatten().to_numpy(), np.repeat(batch.column("block").to_numpy(), at.value_lengths().to_numpy())
-        share = np.repeat(batch.column("share").to_numpy(), at.value_lengths().to_numpy())
-        order = np.argsort(block, kind="stable")
-        which, first = np.unique(block[order], return_index=True)
-        for k, part in zip(which.tolist(), np.split(order, first[1:]), strict=True):
-            new = np.bincount(own[part], share[part])
-            old = sums.get(k, new[:0])
-            if len(old) < len(new):
-                old, new = new, old
-            old[: len(new)] += new
-            sums[k] = old
-    for k, part in sums.items():
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), k)), pa.array(np.arange(len(part), dtype=np.int32)), pa.array(part)], names=["block", "pos", "rest"])
-
-
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, n_words, log_likelihood (the sum of the words' conditional log-probabilities,
     each given the words on both sides) and mean_log_likelihood (null without words).
 
-    A word's probability is that of its class times its part of the class. A block of texts
+    A word's probability is that of its class times its part of the class. A batch of texts
     gives each of its words outside the vocabulary once, with the texts that hold it; those
-    meet the words' shares in a join, and the sums go back to the texts by block. A word
-    that the model has not seen counts as one among all.
+    meet the words' shares in a join, and shares are added up by text before they are
+    shuffled. A word that the model has not seen counts as one among all.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model.network)
     kind = dict(docs.dtypes)["doc_id"]
@@ -248,22 +293,30 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = shared.value
         for batch in batches:
+            if not batch.num_rows:
+                continue
+            block = batch.column("_row")[0].as_py()
+            names = batch.column("doc_id")
+            words, texts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int32)]
             for b in word_blocks(batch.column("text"), NON_SPACE):
                 c = net.word_classes(b.hashes)
                 total = np.zeros(len(c) + 1)
                 if len(c):
                     np.cumsum(net.log_probabilities(contexts(c, b.at, net.classes), c), out=total[1:])
                 n, sums = np.diff(b.at), total[b.at[1:]] - total[b.at[:-1]]
-                block = batch.column("_row")[b.first].as_py()
-                id_ = batch.column("doc_id").slice(b.first, len(n))
-                yield rows(block, pos=pa.array(np.arange(len(n), dtype=np.int32)), doc_id=id_, n_words=pa.array(n), own=pa.array(sums))
-                rare = np.flatnonzero(c >= len(net.vocabulary))
-                if len(rare):
-                    order = rare[np.argsort(b.hashes[rare], kind="stable")]
-                    word, first = np.unique(b.hashes[order], return_index=True)
-                    text = np.repeat(np.arange(len(n), dtype=np.int32), n)[order]
-                    at = pa.ListArray.from_arrays(pa.array(np.append(first, len(order)).astype(np.int32)), pa.array(text))
-                    yield rows(block, doc_id=pa.nulls(len(word), id_.type), word=pa.array(word.view(np.int64)), at=at)
+                pos = np.arange(b.first, b.first + len(n), dtype=np.int32)
+                yield rows(block, pos=pa.array(pos), doc_id=names.slice(b.first, len(n)), n_words=pa.array(n), own=pa.array(sums))
+                rare = c >= len(net.vocabulary)
+                words.append(b.hashes[rare])
+                texts.append(np.repeat(pos, n)[rare])
+            every, held = np.concatenate(words), np.concatenate(texts)
+            order = np.argsort(every, kind="stable")
+            every, held = every[order], held[order]
+            for i in range(0, len(every), 1 << 20):  # a word may go on in the next part
+                word, first = np.unique(every[i : i + (1 << 20)], return_index=True)
+                own = held[i : i + (1 << 20)]
+                at = pa.ListArray.from_arrays(pa.array(np.append(first, len(own)).astype(np.int32)), pa.array(own))
+                yield rows(block, doc_id=pa.nulls(len(word), names.type), word=pa.array(word.view(np.int64)), at=at)
 
     def rows(block: int, **given: pa.Array) -> pa.RecordBatch:
         n = len(given["doc_id"])
@@ -274,8 +327,8 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     named = docs.select(F.monotonically_increasing_id().alias("_row"), "doc_id", F.col("text").cast("string").alias("text"))
     found = materialize(named.mapInArrow(run, f"block long, pos int, doc_id {kind}, n_words long, own double, word long, at array<int>"), "scored")
     share = F.coalesce("share", F.lit(-float(np.log(model.every + 1)))).alias("share")
-    parts = found.where("word IS NOT NULL").select("word", "block", "at").join(model.shares, "word", "left").select("block", "at", share)
-    rest = parts.repartition("block").mapInArrow(_word_parts, "block long, pos int, rest double")
+    parts = found.where("word IS NOT NULL").select("word", "block", "at").join(model.shares, "word", "left").select("block", F.explode("at").alias("pos"), share)
+    rest = parts.groupBy("block", "pos").agg(F.sum("share").alias("rest"))
     out = found.where("pos IS NOT NULL").select("block", "pos", "doc_id", "n_words", "own").join(rest, ["block", "pos"], "left")
     total = (F.col("own") + F.coalesce("rest", F.lit(0.0))).alias("log_likelihood")
     out = out.select("doc_id", "n_words", total)

@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomscape.llm.common import materialize
+from loomscape.llm.common import discard, materialize, small
 
 _SPACES = " \t\n\x0b\f\r"
 _SYMBOLS = "#*$%&|<>"
@@ -19,7 +19,7 @@ WINDOW = 8
 
 CUT = 45.79  # of the squared Mahalanobis distance: the quantile of 1 - 1e-8 in 5 dimensions
 MOST_STEPS = 30  # a determinant that still falls then is near enough
-LEAST_GROUP = 50
+SHRINK = 50  # documents that the estimate of a wider group counts as
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -95,10 +95,13 @@ def judge(measured: DataFrame, cut: float = CUT, most_steps: int = MOST_STEPS) -
     covariance until the determinant falls no more; the start with the smaller one counts.
     Scatter is scaled by the median
     distance, and no direction is narrower than the statistics' least scales, so that
-    groups of equal documents reject nothing for trifles. Groups of fewer than
-    LEAST_GROUP documents are joined by language, and then altogether; a null language
-    or source counts as empty. All sums and quantiles are combined before they are
-    shuffled; only groups' estimates are joined to the rows.
+    groups of equal documents reject nothing for trifles. Estimates are made for each
+    language and source, for each language and for all documents; a group of n documents
+    counts with n parts and the wider group's estimate with SHRINK, all the way up, so
+    that groups of any size are handled alike. A null language or source counts as empty.
+    All sums and quantiles are combined before they are shuffled; only groups' estimates
+    are joined to the rows, and broadcast while they are few. An empty table gives an
+    empty one; null and wordless texts fail the base rules.
     """
     p = 5
     names = [f"x{i}" for i in range(p)]
@@ -109,11 +112,8 @@ def judge(measured: DataFrame, cut: float = CUT, most_steps: int = MOST_STEPS) -
     lang, source = F.coalesce("lang", F.lit("")).alias("_lang"), F.coalesce("source", F.lit("")).alias("_source")
     table = materialize(measured.withColumn("base_failed", failed).withColumns({n: c for n, c, _ in found}), "measured")
     keyed = table.where(~F.col("base_failed")).select(lang, source, *names)
-    sizes = keyed.groupBy("_lang", "_source").agg(F.count("*").alias("n"))
-    of_lang = sizes.where(F.col("n") < LEAST_GROUP).groupBy("_lang").agg(F.sum("n").alias("n_lang"))
-    group = F.when(F.col("n") >= LEAST_GROUP, F.to_json(F.array("_lang", "_source"))).when(F.col("n_lang") >= LEAST_GROUP, F.to_json(F.array("_lang"))).otherwise(F.lit("*"))
-    groups = materialize(sizes.join(of_lang, "_lang", "left").select("_lang", "_source", group.alias("_group")), "groups")
-    rows = materialize(keyed.join(groups, ["_lang", "_source"]).select("_group", *names), "vectors")
+    level = [F.to_json(F.array("_lang", "_source")), F.to_json(F.array("_lang")), F.lit("*")]
+    rows = materialize(keyed.select(F.explode(F.array(*level)).alias("_group"), *names), "vectors")
 
     quart = rows.groupBy("_group").agg(*(F.percentile_approx(x, [0.25, 0.5, 0.75], 1000).alias(x) for x in names))
     zero = F.lit(0.0)
@@ -128,7 +128,8 @@ def judge(measured: DataFrame, cut: float = CUT, most_steps: int = MOST_STEPS) -
         far = _with_distance(rows, model, "_group", extra=["_start"])
         bound = far.groupBy(*key).agg(F.count("*").alias("n"), F.percentile_approx("distance", shares, 1000).alias("b"))
         share = F.ceil(100 * F.least((F.col("n") + p + 1) / (2 * F.col("n")), F.lit(1.0)) - 1e-9).cast("int")
-        near = far.join(bound.select(*key, F.get("b", share - 50).alias("bound")), key).where("distance <= bound")
+        bound = materialize(bound.select(*key, F.get("b", share - 50).alias("bound")), "bounds")
+        near = far.join(small(bound), key).where("distance <= bound")
         means = [F.avg(x).alias(f"m{i}") for i, x in enumerate(names)]
         # sums of products about the former centre keep their digits
         about = [F.avg((F.col(f"x{i}") - F.col(f"o{i}")) * (F.col(f"x{j}") - F.col(f"o{j}"))).alias(f"p{i}{j}") for i in range(p) for j in range(i + 1)]
@@ -144,16 +145,35 @@ def judge(measured: DataFrame, cut: float = CUT, most_steps: int = MOST_STEPS) -
         last = materialize(now, "determinants")
     best = now.groupBy("_group").agg(F.min_by("_start", F.struct("det", "_start")).alias("_start"))
     model = materialize(model.join(best, key).drop("_start"), "model")
-    middle = _with_distance(rows, model, "_group").groupBy("_group").agg((F.percentile_approx("distance", 0.5, 1000) / 4.351).alias("wide"))  # the median for 5 dimensions
+    middle = _with_distance(rows, model, "_group").groupBy("_group").agg(F.count("*").alias("n"), (F.percentile_approx("distance", 0.5, 1000) / 4.351).alias("wide"))  # the median for 5 dimensions
     scaled = [(F.col(f"c{i}{j}") * F.greatest("wide", F.lit(1.0)) + F.lit(least[i] ** 2 if i == j else 0.0)).alias(f"c{i}{j}") for i in range(p) for j in range(i + 1)]
-    final = model.join(middle, "_group").select("_group", *(f"m{i}" for i in range(p)), *scaled)
-    final = groups.join(final, "_group").drop("_group")
+    final = materialize(model.join(middle, "_group").select("_group", "n", *(f"m{i}" for i in range(p)), *scaled), "final")
+    wider = _shrunk(final, final.where("_group = '*'").withColumnRenamed("_group", "_wider"), F.lit("*"))
+    narrow_groups = materialize(table.select(lang, source).distinct(), "groups").select("_lang", "_source", level[0].alias("_group"), level[1].alias("_above"))
+    own = narrow_groups.join(final, "_group", "left").drop("_group")
+    final = materialize(_shrunk(own, wider.withColumnRenamed("_group", "_wider"), F.col("_above")).drop("_above", "n"), "models")
     out = table.withColumns({"_lang": F.coalesce("lang", F.lit("")), "_source": F.coalesce("source", F.lit(""))})
     out = _with_distance(out, final, ["_lang", "_source"], "left").withColumn("distance", F.when(~F.col("base_failed"), F.col("distance")))
     kept = ~F.col("base_failed") & (F.coalesce("distance", zero) <= cut)
     return out.withColumn("kept", kept).drop("_lang", "_source", *names, *(f"o{i}" for i in range(p)))
 
 
+def _shrunk(own: DataFrame, wider: DataFrame, name: Column) -> DataFrame:
+    """own's centres and scatters mixed with those of the wider group of that name, which
+    counts as SHRINK documents; groups without documents have the wider one's."""
+    p = 5
+    fields = [*(f"m{i}" for i in range(p)), *(f"c{i}{j}" for i in range(p) for j in range(i + 1))]
+    above = wider.select("_wider", *(F.col(c).alias(f"w_{c}") for c in fields))
+    both = own.join(small(materialize(above, "wider")), name == F.col("_wider"), "left")
+    n = F.coalesce("n", F.lit(0))
+    w = n / (n + SHRINK)
+    a, b = (lambda c: F.coalesce(c, f"w_{c}")), (lambda c: F.coalesce(f"w_{c}", c))
+    apart = [a(f"m{i}") - b(f"m{i}") for i in range(p)]
+    mixed = [(w * a(c) + (1 - w) * b(c)).alias(c) for c in fields[:p]]
+    mixed += [(w * a(f"c{i}{j}") + (1 - w) * b(f"c{i}{j}") + w * (1 - w) * apart[i] * apart[j]).alias(f"c{i}{j}") for i in range(p) for j in range(i + 1)]
+    return both.select(*(c for c in own.columns if c not in fields), *mixed)
+
+
 def _factored(model: DataFrame) -> DataFrame:
     """Adds l00.., the scatter's Cholesky factor."""
     p = 5
@@ -173,7 +193,7 @@ def _with_distance(rows: DataFrame, model: DataFrame, on, how: str = "inner", ex
     p = 5
     keys = [on] if isinstance(on, str) else on
     model = _factored(model).select(*keys, *(extra or []), *(F.col(f"m{i}").alias(f"o{i}") for i in range(p)), *(f"l{i}{j}" for i in range(p) for j in range(i + 1)))
-    out = rows.join(model, keys, how)
+    out = rows.join(small(model), keys, how)
     for i in range(p):
         inner = F.col(f"x{i}") - F.col(f"o{i}")
         for k in range(i):

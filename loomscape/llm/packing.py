@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import bisect
 import zlib
 from collections.abc import Iterator
 
@@ -53,59 +52,96 @@ def token_pieces(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(cut, schema)
 
 
-def sweep(counts: dict[int, int], capacity: int = CAPACITY) -> np.ndarray:
-    """Best-fit placement of runs of equal lengths into runs of equal gaps.
+_LEFT, _GAP, _MATCH, _STATE = range(4)
+_RUNS = "kind int, size long, first long, n long, length long, copies long, rank long"
 
-    counts has how many pieces there are of each length: at most capacity entries,
-    whatever the input. Runs are taken from the longest; each finds its successor, the
-    smallest gap that holds it. As many of the run's ranks as the gap's sequences hold
-    are matched at once, those beyond go on to the next gap or open new sequences, and
-    the gaps are put back at their new size. That is what best-fit decreasing does to
-    one piece after another.
 
-    A row for each match: length, first rank, sequences m, copies k in each, first
-    sequence, offset. Rank r of the run stands in sequence first + q % m at
-    offset + q // m * length, where q = r - first rank.
+def _match_runs(batches: Iterator[pa.RecordBatch], floor: int, capacity: int) -> Iterator[pa.RecordBatch]:
+    """One sweep over runs of pieces (size, first rank, n) and of sequences of equal room
+    (size, first sequence, n) that stand by size, pieces before gaps of their size.
+
+    Each gap takes the longest pieces that wait below it, so that every piece has the
+    smallest gap that no longer piece needs more: conflicts go by rank. A sequence takes
+    as many copies as it holds. Pieces of at most floor wait for a later sweep. Rows:
+    matches, the runs that are left, the gaps at their new size, and a last one with the
+    number of longer pieces that are left (n) and how many empty sequences those need
+    that no gap holds (first): at least as many as their tokens fill, and one for each
+    that is longer than half of one.
     """
-    gaps: list[int] = []  # sizes, ascending
-    open_: dict[int, list[tuple[int, int]]] = {}  # size: runs of sequences (first, how many)
-    rows: list[tuple[int, int, int, int, int, int]] = []
-    new = 0
+    waiting: list[list[int]] = []
+    out: list[tuple[int, ...]] = []
 
     def put(gap: int, first: int, many: int) -> None:
         if gap and many:
-            if gap not in open_:
-                bisect.insort(gaps, gap)
-                open_[gap] = []
-            open_[gap].append((first, many))
-
-    for length in sorted(counts, reverse=True):
-        left, rank = counts[length], 0
-        while left:
-            i = bisect.bisect_left(gaps, length)
-            if i < len(gaps):
-                gap = gaps[i]
-                first, many = open_[gap].pop()
-                if not open_[gap]:
-                    del open_[gap]
-                    gaps.pop(i)
-            else:
-                gap, first, many = capacity, new, -(-left // (capacity // length))
-                new += many
-            k = gap // length
-            full = min(many, left // k)
-            if full:
-                rows.append((length, rank, full, k, first, capacity - gap))
-                put(gap - k * length, first, full)
-                rank, left = rank + full * k, left - full * k
-            if full < many:
-                rest = left if left < k else 0  # the last ranks share one sequence
-                if rest:
-                    rows.append((length, rank, 1, rest, first + full, capacity - gap))
-                    put(gap - rest * length, first + full, 1)
-                    rank, left, full = rank + rest, 0, full + 1
-                put(gap, first + full, many - full)
-    return np.array(rows, dtype=np.int64).reshape(-1, 6)
+            out.append((_GAP, gap, first, many, 0, 0, 0))
+
+    for batch in batches:
+        for kind, size, first, n in zip(*(batch.column(c).to_pylist() for c in ("kind", "size", "first", "n")), strict=True):
+            if kind == _LEFT:
+                if size > floor:
+                    waiting.append([size, first, n])
+                else:
+                    out.append((_LEFT, size, first, n, 0, 0, 0))
+                continue
+            while n and waiting:
+                length, rank, pieces = waiting[-1]
+                k = size // length
+                for many, copies in ((min(n, pieces // k), k), (1, pieces % k)):  # the last pieces share a sequence
+                    if many and copies and n and (copies == k or pieces < k):
+                        out.append((_MATCH, size, first, many, length, copies, rank))
+                        put(size - copies * length, first, many)
+                        first, n, rank, pieces = first + many, n - many, rank + many * copies, pieces - many * copies
+                if pieces:
+                    waiting[-1] = [length, rank, pieces]
+                else:
+                    waiting.pop()
+            put(size, first, n)
+    out += [(_LEFT, length, rank, n, 0, 0, 0) for length, rank, n in waiting]
+    widest = max((x[1] for x in out if x[0] == _GAP), default=0)
+    homeless = [(length, n) for length, _, n in waiting if length > widest]
+    new = max(-(-sum(length * n for length, n in homeless) // capacity), sum(n for length, n in homeless if 2 * length > capacity))
+    out.append((_STATE, 0, new, sum(n for _, _, n in waiting), 0, 0, 0))
+    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if i == 0 else pa.int64()) for i, c in enumerate(zip(*out, strict=True))], names=["kind", "size", "first", "n", "length", "copies", "rank"])
+
+
+def sweep(counts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """Best-fit placement by bulk-synchronous sweeps: for each match its gap (size), length,
+    rank of the first piece, n sequences from first on, and copies in each. Piece r of a
+    length stands in sequence first + q % n at offset capacity - gap + q // n * length,
+    where q = r - rank.
+
+    counts has how many pieces there are of each length. Pieces of one length are alike,
+    and so are sequences of equal room: the tables of a sweep have a row for each run of
+    them, a few for each length at any size of input, and are sorted and matched in one
+    task; see _match_runs(). Pieces of more than half a sequence go first, then those of
+    more than an eighth, and so on, so that short ones are left to fill what is open.
+    Sweeps go on until no piece is left; before each, the empty sequences are opened that
+    the last one asked for.
+    """
+    spark = counts.sparkSession
+    zero = F.lit(0).cast("long")
+    runs = counts.select(F.lit(_LEFT).alias("kind"), F.col("length").cast("long").alias("size"), zero.alias("first"), F.col("n").cast("long").alias("n"))
+    opened, done = 0, spark.createDataFrame([], _RUNS)
+    floor, new = capacity, 0
+    while True:
+        if new:
+            runs = runs.unionByName(spark.createDataFrame([(_GAP, capacity, opened, new)], "kind int, size long, first long, n long"))
+            opened += new
+        ordered = runs.coalesce(1).sortWithinPartitions("size", "kind", "first")
+        swept = materialize(ordered.mapInArrow(lambda batches, floor=floor: _match_runs(batches, floor, capacity), _RUNS), "sweep")
+        done = done.unionByName(swept.where(F.col("kind") == _MATCH))
+        runs = swept.where(F.col("kind") <= _GAP).select("kind", "size", "first", "n")
+        state = swept.where(F.col("kind") == _STATE).first()
+        if state is None:  # an empty table
+            break
+        new = state["first"]
+        if not state["n"]:  # nothing longer is left
+            longest = runs.where(F.col("kind") == _LEFT).agg(F.max("size")).first()[0]
+            if not longest:
+                break
+            while floor >= longest:
+                floor //= 4 if floor < capacity else 2
+    return done
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
@@ -113,30 +149,33 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
     Pieces are range-sorted by length and id over all executors, so that a common length
     spreads over many tasks; the place in its part gives a piece its rank among those of
-    its length once the parts' counts are summed. Only counts by length and part reach
-    the driver: at most one for each part and each length up to capacity. Lengths stand
-    from 1 to capacity; an empty table gives an empty one.
+    its length once the parts' counts are summed. Only counts by length and part, and the
+    matches of sweep(), reach the driver: a few for each part and each length up to
+    capacity. Lengths stand from 1 to capacity; equal pieces are told apart by their place
+    in the sort; an empty table gives an empty one.
     """
     spark = pieces.sparkSession
+    # written first: the range sort samples its input, which would be tokenised twice
+    pieces = materialize(pieces, "pieces")
     ordered = pieces.repartitionByRange("length", "doc_id", "piece").sortWithinPartitions("length", "doc_id", "piece")
     ordered = materialize(ordered.withColumn("_at", F.monotonically_increasing_id()), "ranked")
     part = F.shiftright("_at", 33).alias("part")
     runs = ordered.groupBy(part, "length").agg(F.min("_at").alias("first"), F.count("*").alias("n")).collect()
     runs = sorted((r["length"], r["part"], r["first"], r["n"]) for r in runs)
-    counts: dict[int, int] = {}
-    base = []
+    base: list[int] = []
+    held: dict[int, int] = {}
     for length, _, _, n in runs:
-        base.append(counts.get(length, 0))
-        counts[length] = counts.get(length, 0) + n
-    rows = sweep(counts, capacity)
+        base.append(held.get(length, 0))
+        held[length] = base[-1] + n
+    matches = sweep(ordered.groupBy("length").agg(F.count("*").alias("n")), capacity).collect()
+    rows = np.array([(r["length"], r["rank"], r["n"], r["copies"], r["first"], capacity - r["size"]) for r in matches], dtype=np.int64).reshape(-1, 6)
     rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
-    begin = {length: int(i) for length, i in zip(*np.unique(rows[:, 0], return_index=True), strict=True)} if len(rows) else {}
     first_at = np.array([r[2] for r in runs], dtype=np.int64)
     by_at = np.argsort(first_at)
-    plan = spark.sparkContext.broadcast((first_at[by_at], np.array(base, dtype=np.int64)[by_at], rows, begin))
+    plan = spark.sparkContext.broadcast((first_at[by_at], np.array(base, dtype=np.int64)[by_at], rows))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first, ranks, rows, begin = plan.value
+        first, ranks, rows = plan.value
         key = rows[:, 0] * (1 << 40) + rows[:, 1]
         for batch in batches:
             if not batch.num_rows:

@@ -22,7 +22,7 @@ URL_RULES = [
     ("net", "/es/", "block"),
     ("net", "/fr/", "block"),
 ]
-BLOCKED_HOSTS = ["spam-farm.example.org", "cheap-pills.example.org", "casino-bonus.example.org"]
+BLOCKED_HOSTS = [f"{name}.example.{end}" for name in ("adult-x", "ads-track", "casino-win", "cheap-pills", "free-bets", "spam-farm") for end in ("com", "net", "org")]
 
 
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

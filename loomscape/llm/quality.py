@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomscape.llm.common import discard, materialize, small
+from loomscape.llm.common import materialize, small
 
 _SPACES = " \t\n\x0b\f\r"
 _SYMBOLS = "#*$%&|<>"
@@ -19,6 +19,7 @@ WINDOW = 8
 
 CUT = 45.79  # of the squared Mahalanobis distance: the quantile of 1 - 1e-8 in 5 dimensions
 MOST_STEPS = 30  # a determinant that still falls then is near enough
+MOST_GROUPS = 20_000  # whose models are broadcast, some 250 bytes each; more are joined by key
 SHRINK = 50  # documents that the estimate of a wider group counts as
 
 
@@ -115,7 +116,9 @@ def judge(measured: DataFrame, cut: float = CUT, most_steps: int = MOST_STEPS) -
     level = [F.to_json(F.array("_lang", "_source")), F.to_json(F.array("_lang")), F.lit("*")]
     rows = materialize(keyed.select(F.explode(F.array(*level)).alias("_group"), *names), "vectors")
 
-    quart = rows.groupBy("_group").agg(*(F.percentile_approx(x, [0.25, 0.5, 0.75], 1000).alias(x) for x in names))
+    quart = materialize(rows.groupBy("_group").agg(*(F.percentile_approx(x, [0.25, 0.5, 0.75], 1000).alias(x) for x in names)), "quartiles")
+    few = quart.limit(MOST_GROUPS + 1).count() <= MOST_GROUPS  # models and bounds have two rows for each group
+    hint = F.broadcast if few else (lambda df: df)
     zero = F.lit(0.0)
     centre = {f"m{i}": F.col(f"x{i}")[1] for i in range(p)}
     spread = {f"c{i}{j}": F.greatest((F.col(f"x{i}")[2] - F.col(f"x{i}")[0]) / 1.349, F.lit(least[i])) ** 2 if i == j else zero for i in range(p) for j in range(i + 1)}
@@ -125,11 +128,11 @@ def judge(measured: DataFrame, cut: float = CUT, most_steps: int = MOST_STEPS) -
     last, key = None, ["_group", "_start"]
     shares = [k / 100 for k in range(50, 101)]
     for _ in range(most_steps):
-        far = _with_distance(rows, model, "_group", extra=["_start"])
+        far = _with_distance(rows, hint(_factored(model)), "_group", extra=["_start"])
         bound = far.groupBy(*key).agg(F.count("*").alias("n"), F.percentile_approx("distance", shares, 1000).alias("b"))
         share = F.ceil(100 * F.least((F.col("n") + p + 1) / (2 * F.col("n")), F.lit(1.0)) - 1e-9).cast("int")
         bound = materialize(bound.select(*key, F.get("b", share - 50).alias("bound")), "bounds")
-        near = far.join(small(bound), key).where("distance <= bound")
+        near = far.join(hint(bound), key).where("distance <= bound")
         means = [F.avg(x).alias(f"m{i}") for i, x in enumerate(names)]
         # sums of products about the former centre keep their digits
         about = [F.avg((F.col(f"x{i}") - F.col(f"o{i}")) * (F.col(f"x{j}") - F.col(f"o{j}"))).alias(f"p{i}{j}") for i in range(p) for j in range(i + 1)]
@@ -138,14 +141,14 @@ def judge(measured: DataFrame, cut: float = CUT, most_steps: int = MOST_STEPS) -
         ridge = lambda i, j: F.lit((0.1 * least[i]) ** 2 if i == j else 0.0)
         cov = [(F.col(f"p{i}{j}") - F.col(f"s{i}") * F.col(f"s{j}") + ridge(i, j)).alias(f"c{i}{j}") for i in range(p) for j in range(i + 1)]
         model = materialize(new.select(*key, *(f"m{i}" for i in range(p)), *cov), "model")
-        now = _factored(model).select(*key, sum((F.log(f"l{i}{i}") for i in range(1, p)), F.log("l00")).alias("det"))
-        fall = last and last.join(now.withColumnRenamed("det", "new"), key).agg(F.max(F.col("det") - F.col("new"))).first()[0]
+        now = _factored(model).select(*key, sum((F.log(f"l{i}{i}") for i in range(1, p)), F.log("l00")).alias("det")).coalesce(1)
+        fall = last is not None and last.join(now.withColumnRenamed("det", "new"), key).agg(F.max(F.col("det") - F.col("new"))).first()[0]
         if last is not None and (fall is None or fall < 1e-4):
             break
-        last = materialize(now, "determinants")
+        last = now
     best = now.groupBy("_group").agg(F.min_by("_start", F.struct("det", "_start")).alias("_start"))
     model = materialize(model.join(best, key).drop("_start"), "model")
-    middle = _with_distance(rows, model, "_group").groupBy("_group").agg(F.count("*").alias("n"), (F.percentile_approx("distance", 0.5, 1000) / 4.351).alias("wide"))  # the median for 5 dimensions
+    middle = _with_distance(rows, hint(_factored(model)), "_group").groupBy("_group").agg(F.count("*").alias("n"), (F.percentile_approx("distance", 0.5, 1000) / 4.351).alias("wide"))  # the median for 5 dimensions
     scaled = [(F.col(f"c{i}{j}") * F.greatest("wide", F.lit(1.0)) + F.lit(least[i] ** 2 if i == j else 0.0)).alias(f"c{i}{j}") for i in range(p) for j in range(i + 1)]
     final = materialize(model.join(middle, "_group").select("_group", "n", *(f"m{i}" for i in range(p)), *scaled), "final")
     wider = _shrunk(final, final.where("_group = '*'").withColumnRenamed("_group", "_wider"), F.lit("*"))
@@ -153,7 +156,7 @@ def judge(measured: DataFrame, cut: float = CUT, most_steps: int = MOST_STEPS) -
     own = narrow_groups.join(final, "_group", "left").drop("_group")
     final = materialize(_shrunk(own, wider.withColumnRenamed("_group", "_wider"), F.col("_above")).drop("_above", "n"), "models")
     out = table.withColumns({"_lang": F.coalesce("lang", F.lit("")), "_source": F.coalesce("source", F.lit(""))})
-    out = _with_distance(out, final, ["_lang", "_source"], "left").withColumn("distance", F.when(~F.col("base_failed"), F.col("distance")))
+    out = _with_distance(out, small(_factored(final)), ["_lang", "_source"], "left").withColumn("distance", F.when(~F.col("base_failed"), F.col("distance")))
     kept = ~F.col("base_failed") & (F.coalesce("distance", zero) <= cut)
     return out.withColumn("kept", kept).drop("_lang", "_source", *names, *(f"o{i}" for i in range(p)))
 
@@ -187,13 +190,12 @@ def _factored(model: DataFrame) -> DataFrame:
 
 
 def _with_distance(rows: DataFrame, model: DataFrame, on, how: str = "inner", extra: list[str] | None = None) -> DataFrame:
-    """Adds distance, the squared Mahalanobis distance of x0.. from the group's model, and
-    the centre as o0..; the scatter's Cholesky factor is worked out for each group. extra
-    are columns of the model that the rows get too."""
+    """Adds distance, the squared Mahalanobis distance of x0.. from the group's factored
+    model, and the centre as o0... extra are columns of the model that the rows get too."""
     p = 5
     keys = [on] if isinstance(on, str) else on
-    model = _factored(model).select(*keys, *(extra or []), *(F.col(f"m{i}").alias(f"o{i}") for i in range(p)), *(f"l{i}{j}" for i in range(p) for j in range(i + 1)))
-    out = rows.join(small(model), keys, how)
+    out = rows.join(model.withColumnsRenamed({f"m{i}": f"o{i}" for i in range(p)}), keys, how)
+    out = out.drop(*(f"c{i}{j}" for i in range(p) for j in range(i + 1)), *(c for c in ("_start",) if c not in (extra or [])))
     for i in range(p):
         inner = F.col(f"x{i}") - F.col(f"o{i}")
         for k in range(i):

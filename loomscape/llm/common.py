@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomscape.operators.graph import components
@@ -15,6 +15,9 @@ from loomscape.sources.work import discard, work_path
 __all__ = ["components", "connect", "discard", "materialize", "prefix_pairs", "shared_keys", "small", "table", "work_path"]
 
 
+NARROW = 1_000_000  # rows of one long that are broadcast: 8 MB
+
+
 def small(df: DataFrame, most: int = 200_000) -> DataFrame:
     """df to be broadcast where it has at most this many (narrow) rows; beyond them the
     join deals out both sides by its keys. df is best a table of materialize(), whose
@@ -30,7 +33,7 @@ def shared_keys(member: DataFrame) -> DataFrame:
     """Of (key, id) those rows whose key several ids have."""
     shared = member.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("key")
     shared = materialize(shared, "keys")
-    out = materialize(member.join(small(shared), "key"), "members")
+    out = materialize(member.join(small(shared, NARROW), "key"), "members")
     discard(shared)
     return out
 
@@ -62,8 +65,8 @@ def connect(members: DataFrame, verified: Callable[[DataFrame], DataFrame], sett
     id that meets most others. Where members of a key stay in different components
     afterwards, further centres follow, until the pairs between components that are left
     over are at most a few for each member; those are then all checked. Or settle gets
-    those ids (id, part) after so many centres, and returns the links that are still
-    needed; rounds are bounded then.
+    those members (key, id, part) after so many centres, and returns the links that are
+    still needed; rounds are bounded then.
     Members of one component need no pair, so that nothing is lost, and no key's members
     are gathered in one task.
     """
@@ -74,7 +77,7 @@ def connect(members: DataFrame, verified: Callable[[DataFrame], DataFrame], sett
     while True:
         now = _apart(left, links)
         if settle and rounds == centres:
-            return links.unionByName(settle(now.groupBy("id").agg(F.min("part").alias("part"))))
+            return links.unionByName(settle(now))
         parts = now.groupBy("key", "part").agg(F.count("*").alias("n"))
         stat = parts.groupBy("key").agg(F.sum("n").alias("n"), F.max_by("part", F.struct("n", "part")).alias("main"))
         rest = materialize(now.join(stat, "key"), "left")
@@ -97,7 +100,7 @@ def connect(members: DataFrame, verified: Callable[[DataFrame], DataFrame], sett
         left, rounds = rest.where("id <> centre").select("key", "id"), rounds + 1
 
 
-def prefix_pairs(prefixes: DataFrame) -> DataFrame:
+def prefix_pairs(prefixes: DataFrame, near: Callable[[str, str], Column] | None = None) -> DataFrame:
     """Pairs (a, b) of ids of different parts that may be alike: the last step of a
     positional prefix join.
 
@@ -105,7 +108,8 @@ def prefix_pairs(prefixes: DataFrame) -> DataFrame:
     as many as an alike set must share one of: key, id, part, n (the set's size) and most
     (the largest set that can be alike if this is the first entry shared). The smaller set
     of a pair must leave room for one of its own size there, so that sets that have but a
-    common passage in common make no pair at all.
+    common passage in common make no pair at all. near, if given, tells of the entries'
+    column sketch, as sa and sb, and of na and nb whether a pair is worth a comparison.
     """
     rows = materialize(prefixes, "prefixes")
     mixed = rows.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.max(F.col("most") >= F.col("n")).alias("room")).where("low < high AND room").select("key")
@@ -114,9 +118,12 @@ def prefix_pairs(prefixes: DataFrame) -> DataFrame:
     main = of_part.groupBy("key").agg(F.max_by("part", F.struct("c", "part")).alias("main"))
     held = materialize(held.join(main, "key"), "prefixes")
     discard(rows)
-    low = held.where("most >= n").select("key", F.col("id").alias("a"), F.col("part").alias("pa"), F.col("n").alias("na"), F.col("most").alias("ma"), "main")
-    high = held.select("key", F.col("id").alias("b"), F.col("part").alias("pb"), F.col("n").alias("nb"), F.col("most").alias("mb"), F.col("main").alias("main_b"))
-    fits = "pa <> pb AND na <= nb AND nb <= ma AND na <= mb"
+    more = [("sketch", "s")] if near else []
+    side = lambda x: [F.col(c).alias(to + x) for c, to in (("id", ""), ("part", "p"), ("n", "n"), ("most", "m"), *more)]
+    low = held.where("most >= n").select("key", *side("a"), "main")
+    high = held.select("key", *side("b"), F.col("main").alias("main_b"))
+    fits = F.expr("pa <> pb AND na <= nb AND nb <= ma AND na <= mb")
+    fits = fits & near("a", "b") if near else fits
     one = low.where("pa <> main").join(high, "key").where(fits)
     two = low.where("pa = main").join(high.where("pb <> main_b"), "key").where(fits)
     pairs = one.select("a", "b").unionByName(two.select("a", "b"))

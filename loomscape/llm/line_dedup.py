@@ -6,11 +6,12 @@ DataFrame functions only.
 from __future__ import annotations
 
 import random
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomscape.llm.common import components, connect, discard, materialize, prefix_pairs, shared_keys, small
+from loomscape.llm.common import NARROW, components, connect, discard, materialize, prefix_pairs, shared_keys, small
 from loomscape.llm.quality import let
 
 SHINGLE = 7  # characters
@@ -18,6 +19,8 @@ PERCENT = 75
 SIDE = 4  # a signature has SIDE ** 2 least hashes, a band SIDE of them; 2, 4 or 8
 BANDS = 12  # at most SIDE * (SIDE + 1)
 BLOCK_RUNS = 4  # of a line in a row
+AGREE = 7  # least hashes of 16 that a pair must have in common to be compared
+FEW = 32  # members of a band that are paired; more meet in a prefix join
 SLOTS = 1 << 17  # counters for the order of runs
 _SPACES = " \t\n\x0b\f\r"
 _LAST = (1 << 63) - 1
@@ -62,7 +65,8 @@ def _run_list(line: str, size: int) -> Column:
 
 
 def _signed(lines: DataFrame, size: int, side: int, bands: list[list[int]]) -> DataFrame:
-    """Each distinct line with one of its rows, how often it stands, and its band keys.
+    """Each distinct line with one of its rows, how often it stands, its band keys, and the
+    low bytes of its least hashes, eight to a long of sketch.
 
     Runs are worked on in blocks that are rows of their own only inside one stage: they
     are cut, hashed and combined to least values before anything is shuffled. A least
@@ -79,7 +83,22 @@ def _signed(lines: DataFrame, size: int, side: int, bands: list[list[int]]) -> D
     near = [F.lit(draw.getrandbits(31)) for _ in range(side * side)]
     least = [F.min(F.least(*(F.col(f"r{j}").bitwiseXOR(x) for j in range(BLOCK_RUNS)))).alias(f"m{k}") for k, x in enumerate(near)]
     signed = blocks.groupBy("h1", "h2").agg(F.min("row").alias("row"), F.count("row").alias("n"), *least)
-    return signed.select("h1", "h2", "row", "n", *(F.xxhash64(F.lit(b), *(f"m{k}" for k in band)).alias(f"b{b}") for b, band in enumerate(bands)))
+    byte = [F.shiftleft(F.col(f"m{k}").cast("long").bitwiseAND(F.lit(255)), 8 * (k % 8)) for k in range(side * side)]
+    sketch = F.array(*(reduce(Column.bitwiseOR, byte[k : k + 8]) for k in range(0, len(byte), 8)))
+    return signed.select("h1", "h2", "row", "n", sketch.alias("sketch"), *(F.xxhash64(F.lit(b), *(f"m{k}" for k in band)).alias(f"b{b}") for b, band in enumerate(bands)))
+
+
+def _agreeing(x: Column, y: Column, side: int) -> Column:
+    """How many least hashes two sketches have in common, by their low bytes."""
+
+    def unlike(k: int) -> Column:
+        bits = F.get(x, F.lit(k)).bitwiseXOR(F.get(y, F.lit(k)))
+        for n in (1, 2, 4):  # a byte's lowest bit tells then whether any was set
+            bits = bits.bitwiseOR(F.shiftrightunsigned(bits, n))
+        return F.bit_count(bits.bitwiseAND(F.lit(0x0101010101010101)))
+
+    longs = -(-side * side // 8)
+    return F.lit(side * side) - reduce(Column.__add__, (unlike(k) for k in range(longs)))
 
 
 def dropped_lines(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, side: int = SIDE, bands: int = BANDS) -> DataFrame:
@@ -95,9 +114,11 @@ def dropped_lines(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT,
     plane on them, so that any two least hashes share one band at most. With 16 and 12 a
     pair at the threshold is found with a chance of 0.947, at 80 percent of 0.979, at 85
     of 0.994. Chance pairs of unlike lines fall with the side-th power of their
-    similarity. All pairs that bands suggest are confirmed on full sets of runs, but for
-    such as are in one component already: each member of a band is held against the
-    band's centre, and what is apart then meets in a prefix join; see connect().
+    similarity. Pairs that bands suggest are confirmed on full sets of runs, but for such
+    as are in one component already or have fewer than AGREE of 16 least hashes in common
+    (at the threshold 1 pair in 10,000 that bands find). Each member of a band is held
+    against the band's centre; what is apart then is paired in bands of at most FEW
+    members, and meets in a prefix join where bands are larger; see connect().
 
     Rows that share a doc_id share its places; a null doc_id comes last. Null and empty
     texts have no lines; a line of any length is one line (an executor holds a few
@@ -108,24 +129,46 @@ def dropped_lines(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT,
     classes = materialize(_signed(lines, size, side, planned).withColumn("id", F.monotonically_increasing_id()), "classes")
     members = shared_keys(classes.select(F.explode(F.array(*(f"b{b}" for b in range(len(planned))))).alias("key"), "id"))
     ids = materialize(members.select("id").distinct(), "ids")
-    wanted = materialize(classes.select("id", "row").join(small(ids), "id", "left_semi"), "wanted")
-    texts = lines.select("row", "line").join(small(wanted), "row")
-    texts = materialize(texts.select("id", "line", F.size(F.array_distinct(_run_list("line", size))).alias("n")), "texts")
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        a = texts.select(F.col("id").alias("a"), F.col("line").alias("line_a"), F.col("n").alias("na"))
-        b = texts.select(F.col("id").alias("b"), F.col("line").alias("line_b"), F.col("n").alias("nb"))
-        sized = pairs.join(a, "a").join(b, "b").where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
+    wanted = materialize(classes.select("id", "row", "sketch").join(small(ids, NARROW), "id", "left_semi"), "wanted")
+    texts = lines.select("row", "line").join(small(wanted.select("row"), NARROW), "row", "left_semi").join(small(wanted), "row")
+    texts = materialize(texts.select("id", "line", "sketch", F.size(F.array_distinct(_run_list("line", size))).alias("n")), "texts")
+    agree = -(-AGREE * side * side // 16)
+
+    def near(x: str, y: str) -> Column:
+        """Whether sizes and sketches of two lines let them be alike."""
+        sized = 100 * F.least(f"n{x}", f"n{y}") >= percent * F.greatest(f"n{x}", f"n{y}")
+        return sized & (_agreeing(F.col(f"s{x}"), F.col(f"s{y}"), side) >= agree)
+
+    def sketch(x: str) -> DataFrame:
+        return texts.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
+
+    def compared(pairs: DataFrame) -> DataFrame:
+        a = texts.select(F.col("id").alias("a"), F.col("line").alias("line_a"))
+        b = texts.select(F.col("id").alias("b"), F.col("line").alias("line_b"))
         both = F.size(F.array_intersect(_run_list("line_a", size), _run_list("line_b", size)))
         # written before it is filtered, so that no filter works the sets out again
-        counted = materialize(sized.select("a", "b", both.alias("both"), (F.col("na") + F.col("nb")).alias("n")), "links")
+        counted = materialize(pairs.join(a, "a").join(b, "b").select("a", "b", both.alias("both"), (F.col("na") + F.col("nb")).alias("n")), "links")
         return counted.where(100 * F.col("both") >= percent * (F.col("n") - F.col("both"))).select("a", "b")
 
-    def settle(ids: DataFrame) -> DataFrame:
+    def verified(pairs: DataFrame) -> DataFrame:
+        return compared(pairs.join(sketch("a"), "a").join(sketch("b"), "b").where(near("a", "b")).select("a", "b", "na", "nb"))
+
+    def settle(apart: DataFrame) -> DataFrame:
+        """Links between the parts of ids: pairs of bands of few members, whose number is
+        bounded for each member, and a positional prefix join for members of larger ones."""
+        sized = apart.join(apart.groupBy("key").agg(F.count("*").alias("m")), "key")
+        some = sized.where(F.col("m") <= FEW).select("key", "id", "part").join(sketch("id"), "id")
+        some = materialize(some, "some")
+        side_of = lambda x: some.select("key", F.col("id").alias(x), F.col("part").alias(f"p{x}"), F.col("nid").alias(f"n{x}"), F.col("sid").alias(f"s{x}"))
+        pairs = side_of("a").join(side_of("b"), "key").where((F.col("a") < F.col("b")) & (F.col("pa") != F.col("pb")) & near("a", "b"))
+        found = compared(pairs.select("a", "b", "na", "nb").distinct())
+        return found.unionByName(joined(sized.where(F.col("m") > FEW).groupBy("id").agg(F.min("part").alias("part"))))
+
+    def joined(ids: DataFrame) -> DataFrame:
         """Links between the parts of ids by a positional prefix join; runs are ordered by
         the power of two of how often their slot of a table of counters is met. The table
         has a fixed size: a letter for each slot goes back to the tasks as one string."""
-        own = texts.join(ids, "id").select("id", "part", F.array_distinct(_run_list("line", size)).alias("runs"))
+        own = texts.join(ids, "id").select("id", "part", "sketch", F.array_distinct(_run_list("line", size)).alias("runs"))
         slot = lambda h: F.pmod(h, F.lit(SLOTS)).cast("int")
         counts = own.select(F.explode("runs").alias("h")).select(slot(F.col("h")).alias("slot")).groupBy("slot").agg(F.count("*").alias("n"))
         letters = ["A"] * SLOTS
@@ -133,12 +176,12 @@ def dropped_lines(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT,
             letters[r["slot"]] = chr(ord("A") + min(int(r["n"]).bit_length(), 25))
         often = F.split(F.lit("".join(letters)), "")
         keyed = let(often, lambda c: F.transform("runs", lambda h: F.shiftleft(F.ascii(F.get(c, slot(h))).cast("long"), 44).bitwiseOR(h.bitwiseAND(F.lit((1 << 44) - 1)))))
-        ordered = own.select("id", "part", keyed.alias("runs")).select("id", "part", F.sort_array(F.array_distinct("runs")).alias("runs"))
+        ordered = own.select("id", "part", "sketch", keyed.alias("runs")).select("id", "part", "sketch", F.sort_array(F.array_distinct("runs")).alias("runs"))
         n = F.size("runs")
         many = n + 1 - F.ceil(n * percent / 100 - 1e-9).cast("int")
-        rows = ordered.select("id", "part", n.alias("n"), F.posexplode(F.slice("runs", F.lit(1), many)).alias("pos", "key"))
+        rows = ordered.select("id", "part", "sketch", n.alias("n"), F.posexplode(F.slice("runs", F.lit(1), many)).alias("pos", "key"))
         most = F.floor((F.col("n") - F.col("pos")) * (100 + percent) / percent + 1e-9).cast("int") - F.col("n")
-        return verified(prefix_pairs(rows.select("key", "id", "part", "n", most.alias("most"))))
+        return verified(prefix_pairs(rows.select("key", "id", "part", "sketch", "n", most.alias("most")), near))
 
     found = materialize(components(connect(members, verified, settle, centres=1)), "found")
     rule = classes.select("h1", "h2", "n", "id").join(small(found), "id", "left").where("n > 1 OR component IS NOT NULL")

@@ -199,9 +199,10 @@ def _links(source: DataFrame, known: DataFrame, sets: DataFrame, size: int, perc
         b = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
         return materialize(pairs.join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b").mapInArrow(_verifier(size, percent), "a long, b long"), "links")
 
-    def settle(ids: DataFrame) -> DataFrame:
+    def settle(apart: DataFrame) -> DataFrame:
         """Links between the parts of ids by a positional prefix join; shingles are
         ordered by rarity."""
+        ids = apart.groupBy("id").agg(F.min("part").alias("part"))
         own = texts.join(ids, texts.doc_id == ids.id).select("doc_id", "text", "part")
         counts = own.select("text").mapInArrow(_shingle_slots(size), "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).collect()
         often = np.zeros(_SLOTS, dtype=np.int64)

@@ -87,6 +87,24 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op11_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomscape.llm.ngram_join import jaccard_components
+
+    return jaccard_components(table(spark, sf_dir, "documents"))
+
+
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomscape.llm.conversation_trie import prefix_trie, share_openings, turn_arrays
+
+    return prefix_trie(share_openings(turn_arrays(table(spark, sf_dir, "conversations"))))
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomscape.llm.lexical_search import search_documents
+
+    return search_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_url_filter": op1_url_filter,
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
@@ -98,6 +116,9 @@ QUERIES = {
     "op8_lm_scoring": op8_lm_scoring,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_quality_rules": op10_quality_rules,
+    "op11_ngram_jaccard": op11_ngram_jaccard,
+    "op12_conversation_trie": op12_conversation_trie,
+    "op13_lexical_search": op13_lexical_search,
 }
 
 _URL_SQL = f"""
@@ -116,18 +137,23 @@ FROM p LEFT JOIN f ON f.page_id = p.page_id AND best = 1 LEFT JOIN b ON b.page_i
 
 _LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
-_DEDUP_SQL = f"""
+def _linked(size: int, percent: int) -> str:
+    """doc_id, n_shingles and component_id of documents by the similarity of word runs."""
+    return f"""
 WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({_LOW}, '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
 s AS (
-  SELECT DISTINCT doc_id, CASE WHEN len(w) < 5 THEN array_to_string(w, ' ') ELSE array_to_string(w[k : k + 4], ' ') END AS run
-  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS k FROM d WHERE len(w) > 0)),
+  SELECT DISTINCT doc_id, CASE WHEN len(w) < {size} THEN array_to_string(w, ' ') ELSE array_to_string(w[k : k + {size - 1}], ' ') END AS run
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - {size - 1}, 1) + 1)) AS k FROM d WHERE len(w) > 0)),
 n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
 p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y ON x.run = y.run AND x.doc_id < y.doc_id GROUP BY ALL),
-l AS (SELECT a, b FROM p JOIN n i ON i.doc_id = a JOIN n j ON j.doc_id = b WHERE 100 * c >= 75 * (i.n + j.n - c)),
+l AS (SELECT a, b FROM p JOIN n i ON i.doc_id = a JOIN n j ON j.doc_id = b WHERE 100 * c >= {percent} * (i.n + j.n - c)),
 e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
 r(id, other) AS (SELECT doc_id, doc_id FROM d UNION SELECT r.id, e.b FROM r JOIN e ON e.a = r.other),
 m AS (SELECT id, min(other) AS component_id FROM r GROUP BY id)
-SELECT id AS doc_id, coalesce(n.n, 0) AS n_shingles, component_id, id = component_id AS kept FROM m LEFT JOIN n ON n.doc_id = id"""
+SELECT id AS doc_id, coalesce(n.n, 0) AS n_shingles, component_id FROM m LEFT JOIN n ON n.doc_id = id"""
+
+
+_DEDUP_SQL = f"SELECT *, doc_id = component_id AS kept FROM ({_linked(5, 75)})"
 
 _WORDS = f"regexp_extract_all({_LOW}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
 _LEAK_SQL = f"""
@@ -141,8 +167,46 @@ t AS (SELECT doc_id, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids
 SELECT d.doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN p ON p.doc_id = d.doc_id LEFT JOIN t ON t.doc_id = d.doc_id"""
 
+_STEP = "lambda s, b: list_reduce(list_prepend(xor(s, b), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda x, y: xor(x >> 1, (x & 1) * 3988292384))"
+_CRC = f"xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(conv_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)), {_STEP}), 4294967295)"
+_TRIE_SQL = f"""
+WITH t AS (
+  SELECT conv_id, list({{'role': coalesce(role, ''), 'text': coalesce(text, '')}} ORDER BY turn NULLS FIRST, md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS own
+  FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+h AS (SELECT *, conv_id - conv_id % 100 AS base, {_CRC} % 6 AS h FROM (SELECT *, 0 AS x FROM t)),
+r AS (SELECT h.conv_id, list_concat(list_slice(coalesce(b.own, []), 1, h), list_slice(h.own, h + 1, len(h.own))) AS turns FROM h LEFT JOIN t b ON b.conv_id = h.base),
+m AS (SELECT conv_id, len(turns) AS n, d, list_slice(turns, 1, d) AS p FROM (SELECT *, unnest(range(0, len(turns) + 1)) AS d FROM r)),
+k AS (SELECT *, min(conv_id) OVER (PARTITION BY d, p) AS node FROM m),
+v AS (
+  SELECT node, d, count(*) AS n_convs, coalesce(max(length(p[d].text)), 0) AS chars,
+         sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE n = d), '')) AS ends
+  FROM k GROUP BY node, d),
+w AS (SELECT v.*, k.node AS parent FROM v LEFT JOIN k ON k.conv_id = v.node AND k.d = v.d - 1),
+c AS (SELECT parent AS node, d - 1 AS d, count(*) AS n FROM w WHERE d > 0 GROUP BY ALL),
+s AS (
+  SELECT k.node, k.d, count(*) FILTER (WHERE c.n IS NULL) AS n_leaves, sum((n_convs - 1) * chars) AS saved
+  FROM w LEFT JOIN c ON c.node = w.node AND c.d = w.d JOIN k ON k.conv_id = w.node AND k.d <= w.d GROUP BY k.node, k.d)
+SELECT w.node AS conv_id, w.d AS depth, parent AS parent_conv_id, n_convs, coalesce(c.n, 0) AS n_children, n_leaves, saved::BIGINT AS saved_tokens, ends AS ends_sha256
+FROM w JOIN s ON s.node = w.node AND s.d = w.d LEFT JOIN c ON c.node = w.node AND c.d = w.d"""
+
+_TERMS = f"regexp_extract_all({_LOW}, '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"
+_SEARCH_SQL = f"""
+WITH d AS (SELECT doc_id, w, len(w) AS n FROM (SELECT doc_id, {_TERMS} AS w FROM documents) WHERE len(w) > 0),
+a AS (SELECT count(*) AS docs, sum(n)::BIGINT AS words FROM d),
+q AS (SELECT item_id, term, count(*) AS often FROM (SELECT item_id, unnest({_TERMS}) AS term FROM (SELECT DISTINCT item_id, text FROM benchmark)) GROUP BY ALL),
+f AS (SELECT doc_id, n, term, count(*) AS tf FROM (SELECT doc_id, n, unnest(w) AS term FROM d) WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+g AS (SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM f, a GROUP BY term, docs),
+s AS (
+  SELECT item_id, doc_id, sum(often * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * docs) // words))))::BIGINT AS score
+  FROM q JOIN f ON f.term = q.term JOIN g ON g.term = q.term, a GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank FROM s WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 10"""
+
 ORACLE_SQL: dict[str, str] = {
     "op1_url_filter": _URL_SQL,
     "op2_minhash_near_dedup": _DEDUP_SQL,
     "op5_benchmark_decontamination": _LEAK_SQL,
+    "op11_ngram_jaccard": _linked(4, 85),
+    "op12_conversation_trie": _TRIE_SQL,
+    "op13_lexical_search": _SEARCH_SQL,
 }

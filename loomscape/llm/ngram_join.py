@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomscape.llm.common import NARROW, components, connect, discard, materialize, prefix_pairs, shared_keys, small
+from loomscape.llm.common import components, connect, discard, materialize, prefix_pairs, shared_keys
 from loomscape.llm.near_duplicates import _may_be_in, _verifier
 from loomscape.llm.words import LANES, NON_SPACE, U, mix, shingle_set, word_blocks
 
@@ -141,10 +141,11 @@ def _signer(percent: int):
 
 
 def _live(heads: DataFrame) -> DataFrame:
-    """Ids of sets of which as many low tokens stand in other sets as an alike one must have."""
+    """Ids of sets of which as many low tokens stand in other sets as an alike one must have.
+    Rows that are there twice count as two sets, which at worst keeps an id too many."""
     member = heads.select(F.explode("low").alias("key"), F.col("doc_id").alias("id"), "need")
-    shared = materialize(member.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("key"), "keys")
-    live = member.join(small(shared, NARROW), "key").groupBy("id").agg(F.count("*").alias("n"), F.min("need").alias("need")).where("n >= need").select("id")
+    shared = materialize(member.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "keys")
+    live = member.join(shared, "key").groupBy("id").agg(F.count("*").alias("n"), F.min("need").alias("need")).where("n >= need").select("id")
     out = materialize(live, "live")
     discard(shared)
     return out
@@ -154,9 +155,8 @@ def _signed(texts: DataFrame, size: int, percent: int) -> DataFrame:
     """key, id, n and most of the signatures of all texts."""
     tokens = texts.select(F.col("doc_id"), "text").mapInArrow(_all_tokens(size), "id long, set_1 long, n int, tokens array<long>")
     rows = tokens.select("id", "set_1", "n", F.explode("tokens").alias("key"))
-    counts = rows.groupBy("key").agg(F.count("*").alias("often"), F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("key", "often")
-    counts = materialize(counts, "counts")
-    held = rows.join(small(counts, NARROW), "key").groupBy("id", "set_1", "n").agg(F.collect_list(F.struct("often", "key")).alias("held"))
+    counts = materialize(rows.groupBy("key").agg(F.count("*").alias("often")).where("often > 1"), "counts")
+    held = rows.join(counts, "key").groupBy("id", "set_1", "n").agg(F.collect_list(F.struct("often", "key")).alias("held"))
     held = held.where(F.size("held") >= F.ceil(F.col("n") * percent / 100))
     out = materialize(held.select("id", "n", "held").mapInArrow(_signer(percent), "key long, id long, n int, most int"), "signatures")
     discard(counts)

@@ -61,16 +61,50 @@ def depth_rank(tiled: DataFrame, keys: list[str], ident: str = "splat_id") -> Da
     return tiled.withColumn("rank", rank.cast("long"))
 
 
-def coverage(tiled: DataFrame, width: int, height: int, size: int = TILE) -> DataFrame:
-    """A row for each pixel of a tile that the primitive covers visibly, with its alpha."""
-    steps = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    out = tiled.withColumn("x", F.col("tx") * size).withColumn("y", F.col("ty") * size)
-    out = out.withColumn("_y", steps(size)).withColumn("y", F.col("y") + F.col("_y")).where((F.col("y") < height) & (F.abs(F.col("y") - F.col("v")) <= F.col("radius")))
-    out = out.withColumn("_x", steps(size)).withColumn("x", F.col("x") + F.col("_x")).where((F.col("x") < width) & (F.abs(F.col("x") - F.col("u")) <= F.col("radius"))).drop("_x", "_y")
-    dx, dy = F.col("x") - F.col("u"), F.col("y") - F.col("v")
+def coverage(projected: DataFrame, width: int, height: int) -> DataFrame:
+    """A row for each pixel (x, y) that a primitive colours, with its alpha.
+
+    Pixels lie within the radius, rounded outwards and cut to the image, where the power of
+    the falloff is at most 0 and alpha, at most 0.99, at least 1/255. Along a row of pixels
+    the alphas that count make one span, whose ends solve a quadratic; only that span is
+    generated, and the gates are asked of each of its pixels.
+    """
+    span = lambda low, high: F.explode(F.when(low <= high, F.sequence(low.cast("int"), high.cast("int"))))
+    r, u, v = F.col("radius"), F.col("u"), F.col("v")
+    rows = projected.withColumn("y", span(F.greatest(F.floor(v - r), F.lit(0)), F.least(F.ceil(v + r), F.lit(height - 1))))
+    dy = F.col("y") - v
+    # -power <= ln(255 * opacity), as a bound on dx
+    room = (F.col("kb") * dy) ** 2 - F.col("ka") * (F.col("kc") * dy * dy - 2 * F.ln(F.col("opacity") / ALPHA_LEAST))
+    half, middle = F.sqrt(F.greatest(room, F.lit(0.0))) / F.col("ka"), u - F.col("kb") * dy / F.col("ka")
+    rows = rows.withColumns({"_room": room, "_low": middle - half - 1e-6, "_high": middle + half + 1e-6}).where("_room >= -1e-9")
+    out = rows.withColumn("x", span(F.greatest(F.floor(u - r), F.ceil("_low"), F.lit(0)), F.least(F.ceil(u + r), F.floor("_high"), F.lit(width - 1))))
+    dx = F.col("x") - u
     power = -0.5 * (F.col("ka") * dx * dx + F.col("kc") * dy * dy) - F.col("kb") * dx * dy
     out = out.withColumn("_power", power).where("_power <= 0")
-    return out.withColumn("alpha", F.least(F.lit(0.99), F.col("opacity") * F.exp("_power"))).where(F.col("alpha") >= ALPHA_LEAST).drop("_power")
+    out = out.withColumn("alpha", F.least(F.lit(0.99), F.col("opacity") * F.exp("_power"))).where(F.col("alpha") >= ALPHA_LEAST)
+    return out.drop("_power", "_room", "_low", "_high")
+
+
+def render(projected: DataFrame, width: int, height: int, colours: list[str], background: list[float], ident: str = "splat_id", slabs: int = 16) -> DataFrame:
+    """x, y, colours and what is let through, for each pixel that a primitive colours;
+    the others show the background.
+
+    Front to back by (depth, ident), until 1/255 or less is let through. Depths are cut
+    into slabs of about as many primitives each: what each slab lets through is a product
+    that is combined before the shuffle, and tells with what light the next one begins and
+    whether it is seen at all. So pixels that very many primitives cover are dealt out
+    by slab, and what is hidden is not sorted.
+    """
+    cuts = sorted(set(projected.approxQuantile("depth", [k / slabs for k in range(1, slabs)], 0.01)))
+    slab = sum(((F.col("depth") >= c).cast("int") for c in cuts), F.lit(0))
+    rows = coverage(projected, width, height).select("x", "y", slab.alias("slab"), "depth", ident, "alpha", *colours)
+    through = rows.groupBy("x", "y", "slab").agg(F.product(1 - F.col("alpha")).alias("_through"))
+    before = Window.partitionBy("x", "y").orderBy("slab").rowsBetween(Window.unboundedPreceding, -1)
+    begin = through.withColumn("_begin", F.coalesce(F.product("_through").over(before), F.lit(1.0))).where(F.col("_begin") > 1 / 255).drop("_through")
+    within = Window.partitionBy("x", "y", "slab").orderBy("depth", ident).rowsBetween(Window.unboundedPreceding, -1)
+    lit = rows.join(begin, ["x", "y", "slab"]).withColumn("_t", F.col("_begin") * F.coalesce(F.product(1 - F.col("alpha")).over(within), F.lit(1.0))).where(F.col("_t") > 1 / 255)
+    sums = lit.groupBy("x", "y").agg(*(F.sum(F.col(c) * F.col("alpha") * F.col("_t")).alias(c) for c in colours), F.min(F.col("_t") * (1 - F.col("alpha"))).alias("through"))
+    return sums.withColumns({c: F.col(c) + b * F.col("through") for c, b in zip(colours, background, strict=True)})
 
 
 def composite(rows: DataFrame, keys: list[str], order: list[str], colours: list[str], alpha: str = "alpha", background: float = 0.0) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import pytest
 from oracle import compare
 
-import loomscape.plans.scene_catalog  # noqa: F401
+import loomscape.plans.solver_catalog  # noqa: F401
 from loomscape.plans import catalog
 
 SMALL = "/root/testdata/sf0.001"

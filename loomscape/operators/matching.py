@@ -59,23 +59,6 @@ def _matrix(column: pd.Series) -> np.ndarray:
     return np.stack([np.asarray(v) for v in column]) if len(column) else np.zeros((0, 0))
 
 
-def greedy_claims(candidates: DataFrame, pair: list[str], query: str, train: str, distance: str, ratio: float = 0.95) -> DataFrame:
-    """One-to-one matches: queries in order take the nearest train row that is free, where
-    it passes the ratio test against the next free one."""
-
-    def claim(rows: pd.DataFrame) -> pd.DataFrame:
-        taken: set = set()
-        keep = []
-        for _, own in rows.sort_values([query, distance, train]).groupby(query, sort=True):
-            free = own[~own[train].isin(taken)]
-            if len(free) and (len(free) == 1 or free[distance].iloc[0] < ratio * free[distance].iloc[1]):
-                keep.append(free.index[0])
-                taken.add(free[train].iloc[0])
-        return rows.loc[keep]
-
-    return candidates.groupBy(*pair).applyInPandas(claim, candidates.schema)
-
-
 def window_pairs(frames: DataFrame, group: str, order: list[str], ident: str, reach: int) -> DataFrame:
     """Pairs of frames at most reach places apart in their group: each frame offers itself
     to the places after it, and an equi-join by place meets them."""

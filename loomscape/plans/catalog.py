@@ -286,17 +286,6 @@ def cross_check_match(spark, sf):
     return M.match_descriptors(q, t, "pair", "vec_id", "v", 0.98).select(F.col("query_id").alias("a"), F.col("train_id").alias("b"), "distance")
 
 
-_CAND = "SELECT a, b, distance FROM (SELECT a, b, distance, row_number() OVER (PARTITION BY a ORDER BY distance, b) AS rn FROM p) WHERE rn <= 6"
-
-
-@query(None)
-def guided_greedy_match(spark, sf):
-    q, t = _descriptors(spark, sf)
-    pairs = q.select("pair", F.col("vec_id").alias("a"), F.col("v").alias("va")).join(t.select("pair", F.col("vec_id").alias("b"), F.col("v").alias("vb")), "pair")
-    pairs = pairs.select("pair", "a", "b", V.squared_distance(F.col("va"), F.col("vb")).alias("distance"))
-    return M.greedy_claims(pairs, ["pair"], "a", "b", "distance").select("a", "b", "distance")
-
-
 _BAND = """WITH e AS (SELECT vec_id, label, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y, embedding[3]::DOUBLE AS c FROM embeddings)
 SELECT a.vec_id AS a, b.vec_id AS b, round(abs(a.x * b.x + a.y * b.y + a.c) / sqrt(a.x * a.x + a.y * a.y), 6) + 0.0 AS off FROM e a JOIN e b ON b.label = a.label + 1
 WHERE abs(a.x * b.x + a.y * b.y + a.c) / sqrt(a.x * a.x + a.y * a.y) < 0.05"""

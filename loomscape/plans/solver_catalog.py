@@ -4,10 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from loomscape.functions import geometry as G
+from loomscape.functions import vectors as V
 from loomscape.functions.geometry import tidy
+from loomscape.operators import focal as FO
+from loomscape.operators import guided as GM
 from loomscape.operators import splats as S
 from loomscape.plans.catalog import query
 from loomscape.plans.scene_catalog import _VIS, _visible
+from loomscape.session import load
 
 _PIXELS = f"""SELECT * FROM (SELECT *, least(0.99, opacity * exp(power)) AS alpha FROM (
 SELECT *, -0.5 * (s2 / det * (x - u) * (x - u) + s0 / det * (y - v) * (y - v)) + s1 / det * (x - u) * (y - v) AS power FROM (
@@ -29,3 +34,144 @@ def render_pixels(spark, sf):
     seen = _visible(spark, sf).withColumn("depth", F.round("depth", 6))
     out = S.render(seen, 320, 240, ["r", "g", "b"], [0.1, 0.2, 0.3])
     return out.select(F.col("x").cast("long").alias("x"), F.col("y").cast("long").alias("y"), *(tidy(F.col(c), 5).alias(c) for c in ("r", "g", "b", "through")))
+
+
+_CLAIMS = """WITH RECURSIVE e AS (SELECT vec_id, label, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y, embedding[3]::DOUBLE AS c, list_transform(embedding, lambda x: floor(x::DOUBLE * 255)::BIGINT) AS v FROM embeddings),
+p AS (SELECT b.label AS pair, a.vec_id AS a, b.vec_id AS b, list_sum(list_transform(range(1, 65), lambda i: (a.v[i] - b.v[i]) * (a.v[i] - b.v[i])))::DOUBLE AS distance
+FROM e a JOIN e b ON b.label = a.label + 1 WHERE sqrt(a.x * a.x + a.y * a.y) > 1e-12 AND abs(a.x * b.x + a.y * b.y + a.c) / sqrt(a.x * a.x + a.y * a.y) < 0.02),
+q AS (SELECT pair, a, row_number() OVER (PARTITION BY pair ORDER BY a) AS k, list({'d': distance, 'b': b} ORDER BY distance, b) AS own FROM p GROUP BY pair, a),
+r AS (SELECT DISTINCT pair, 0::BIGINT AS k, NULL::BIGINT AS a, NULL::BIGINT AS b, NULL::DOUBLE AS distance, []::BIGINT[] AS taken FROM q
+UNION ALL SELECT pair, k, a, CASE WHEN ok THEN free[1].b END, CASE WHEN ok THEN free[1].d END, CASE WHEN ok THEN list_append(taken, free[1].b) ELSE taken END FROM (
+  SELECT *, len(free) > 0 AND free[1].d <= 130000 AND (len(free) < 2 OR free[1].d < 0.9025 * free[2].d) AS ok FROM (
+    SELECT r.pair, q.k, q.a, r.taken, list_filter(q.own, lambda z: NOT list_contains(r.taken, z.b)) AS free FROM r JOIN q ON q.pair = r.pair AND q.k = r.k + 1)))
+SELECT pair, a, b, distance FROM r WHERE b IS NOT NULL"""
+
+
+@query(_CLAIMS)
+def guided_greedy_match(spark, sf):
+    e = load(spark, sf, "embeddings").select("vec_id", "label", *(F.get("embedding", F.lit(i)).cast("double").alias(n) for i, n in enumerate("xyc")), F.transform("embedding", lambda x: F.floor(x.cast("double") * 255).cast("long")).alias("v"))
+    lines = e.select((F.col("label") + 1).alias("pair"), F.col("vec_id").alias("query"), F.col("x").alias("la"), F.col("y").alias("lb"), F.col("c").alias("lc"), F.col("v").alias("va"))
+    points = e.select(F.col("label").alias("pair"), F.col("vec_id").alias("train"), "x", "y", F.col("v").alias("vb"))
+    apart = V.squared_distance(F.col("va"), F.col("vb")).cast("double")
+    out = GM.guided_matches(lines, points, "pair", apart, 0.02, 0.05, 0.9025, 130000.0)
+    return out.select("pair", F.col("query").alias("a"), F.col("train").alias("b"), "distance")
+
+
+# Two captures of suppliers as frames, parts as points: what both frames of a pair supplied is
+# seen in both, at a focal length of 0.8 times the long side of 640.
+_FRAMES = """SELECT s_suppkey AS frame, s_suppkey % 2 AS capture, a / 40e0 AS ta, (s_suppkey % 7 - 3) / 3e0 AS tx, (s_suppkey % 5 - 2) / 4e0 AS ty, (s_suppkey % 3) / 5e0 AS tz, (1 - a * a / 6400e0) / (1 + a * a / 6400e0) AS c, a / 40e0 / (1 + a * a / 6400e0) AS s
+FROM (SELECT s_suppkey, s_suppkey * 7 % 13 - 6 AS a FROM {supplier})"""
+_SEEN = """SELECT l_suppkey AS frame, l_partkey AS point, (l_partkey % 37 - 18) / 8e0 AS wx, (l_partkey % 29 - 14) / 8e0 AS wy, 4e0 + (l_partkey % 23) / 5e0 AS wz, avg(l_discount) - 0.05 AS du, avg(l_tax) - 0.04 AS dv FROM {lineitem} GROUP BY l_suppkey, l_partkey"""
+_PIX = """SELECT k.frame, capture, point, 512e0 * (c * wx + s * wz + tx) / (c * wz - s * wx + tz) + 320e0 + 8 * du AS px, 512e0 * (wy + ty) / (c * wz - s * wx + tz) + 240e0 + 8 * dv AS py
+FROM ({seen}) k JOIN ({frames}) f ON f.frame = k.frame WHERE c * wz - s * wx + tz > 0.5"""
+_TRY = """WITH p AS (SELECT capture, frame, row_number() OVER (PARTITION BY capture ORDER BY frame) - 1 AS place, count(*) OVER (PARTITION BY capture) AS n FROM ({frames}))
+SELECT x.capture, gap, x.place, x.frame AS a, y.frame AS b FROM p x, (SELECT unnest([1, 2, 3]) AS gap) g, p y
+WHERE gap < x.n AND x.place % greatest((x.n - gap) // 24, 1) = 0 AND y.capture = x.capture AND y.place = x.place + gap"""
+_MET = "SELECT t.capture, t.gap, t.place, t.a, t.b, p.point, p.px AS x1, p.py AS y1, q.px AS x2, q.py AS y2 FROM ({tries}) t JOIN ({pix}) p ON p.frame = t.a JOIN ({pix}) q ON q.frame = t.b AND q.point = p.point"
+_BASE = {"frames": _FRAMES.format(supplier="supplier"), "seen": _SEEN.format(lineitem="lineitem")}
+_PIX_SQL = _PIX.format(**_BASE)
+_MET_SQL = _MET.format(tries=_TRY.format(**_BASE), pix=_PIX_SQL)
+_TAKEN = f"""SELECT capture, gap, place, a, b, n FROM (SELECT *, row_number() OVER (PARTITION BY capture ORDER BY gap, place) AS r
+FROM (SELECT capture, gap, place, a, b, count(*) AS n FROM ({_MET_SQL}) GROUP BY ALL) WHERE n >= 16) WHERE r <= 24"""
+
+
+def _tables(spark, sf):
+    frames = spark.sql(_FRAMES, supplier=load(spark, sf, "supplier"))
+    seen = spark.sql(_SEEN, lineitem=load(spark, sf, "lineitem"))
+    # {seen} and {frames} stand in parentheses, which a table's name must not
+    pixels = spark.sql(_PIX.replace("({seen})", "{seen}").replace("({frames})", "{frames}"), seen=seen, frames=frames)
+    pairs = FO.sampled_pairs(frames, "capture", "frame", ["frame"])
+    one = pixels.select("capture", F.col("frame").alias("a"), "point", F.col("px").alias("x1"), F.col("py").alias("y1"))
+    two = pixels.select("capture", F.col("frame").alias("b"), "point", F.col("px").alias("x2"), F.col("py").alias("y2"))
+    matches = pairs.join(one, ["capture", "a"]).join(two, ["capture", "b", "point"])
+    counts = matches.groupBy("capture", "a", "b").agg(F.count("*").alias("n"))
+    return frames, matches, FO.accepted_pairs(pairs, counts, "capture")
+
+
+@query(_TAKEN)
+def focal_pair_sample(spark, sf):
+    return _tables(spark, sf)[2].select("capture", F.col("gap").cast("long").alias("gap"), F.col("place").cast("long").alias("place"), "a", "b", "n")
+
+
+def _times(a: list[str], b: list[str]) -> list[str]:
+    """A product of matrices of SQL terms."""
+    return [" + ".join(f"({a[3 * i + k]}) * ({b[3 * k + j]})" for k in range(3) if "0" not in (a[3 * i + k], b[3 * k + j])) or "0" for i in range(3) for j in range(3)]
+
+
+def _turned(a: list[str]) -> list[str]:
+    return [a[3 * j + i] for i in range(3) for j in range(3)]
+
+
+def _as(values: list[str], prefix: str) -> str:
+    return ", ".join(f"{v} AS {prefix}{i}" for i, v in enumerate(values))
+
+
+def _named(prefix: str) -> list[str]:
+    return [f"{prefix}{i}" for i in range(9)]
+
+
+def _camera_terms(focal: str) -> tuple[list[str], list[str]]:
+    return [focal, "0", "320e0", "0", focal, "240e0", "0", "0", "1e0"], [f"1 / {focal}", "0", f"-320e0 / {focal}", "0", f"1 / {focal}", f"-240e0 / {focal}", "0", "0", "1e0"]
+
+
+_MATRIX = f"SELECT t.*, {_as(_times(['g.c', '0', 'g.s', '0', '1e0', '0', '-g.s', '0', 'g.c'], _turned(['f.c', '0', 'f.s', '0', '1e0', '0', '-f.s', '0', 'f.c'])), 'r')}, f.tx AS fx, f.ty AS fy, f.tz AS fz, g.tx AS gx, g.ty AS gy, g.tz AS gz FROM ({_TAKEN}) t JOIN ({_BASE['frames']}) f ON f.frame = t.a JOIN ({_BASE['frames']}) g ON g.frame = t.b"
+_SHIFT = "SELECT *, " + ", ".join(f"g{c} - (r{3 * i} * fx + r{3 * i + 1} * fy + r{3 * i + 2} * fz) AS t{i}" for i, c in enumerate("xyz")) + f" FROM ({_MATRIX})"
+_ESS = f"SELECT *, {_as(_times(['0', '-t2', 't1', 't2', '0', '-t0', '-t1', 't0', '0'], _named('r')), 'e')} FROM ({_SHIFT})"
+_INV = _camera_terms("512e0")[1]
+_FUND = f"SELECT capture, gap, place, a, b, {_as(_times(_turned(_INV), _times(_named('e'), _INV)), 'f')} FROM ({_ESS})"
+_OFF = "pow(x2 * ({p0}) + y2 * ({p1}) + ({p2}), 2) / (pow({p0}, 2) + pow({p1}, 2) + pow({b0}, 2) + pow({b1}, 2))".format(**{f"p{i}": f"f{3 * i} * x1 + f{3 * i + 1} * y1 + f{3 * i + 2}" for i in range(3)}, **{f"b{i}": f"f{i} * x2 + f{i + 3} * y2 + f{i + 6}" for i in range(2)})
+_IN = f"SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY capture, a, b) AS m FROM (SELECT m.capture, m.a, m.b, x1, y1, x2, y2 FROM ({_MET_SQL}) m JOIN ({_FUND}) f ON f.a = m.a AND f.b = m.b WHERE {_OFF} <= 4)) WHERE m >= 12"
+_K = _camera_terms("(mult * 640)")
+_SWEEP = f"SELECT * EXCLUDE (f0, f1, f2, f3, f4, f5, f6, f7, f8), {_as(_times(_turned(_K[0]), _times(_named('f'), _K[0])), 'e')} FROM ({_FUND}), (SELECT unnest([{', '.join(f'{m}e0' for m in FO.MULTIPLIERS)}]) AS mult)"
+_TWO = f"SELECT *, a0 + a4 + a8 AS t, sqrt(greatest((pow(a0 + a4 + a8, 2) - ({' + '.join(f'a{i} * a{i}' for i in range(9))})) / 2, 0)) AS p FROM (SELECT *, {_as(_times(_named('e'), _turned(_named('e'))), 'a')} FROM ({_SWEEP}))"
+_ONE = f"SELECT *, {_as([f'((t + p) * e{i} - ({x})) / (p * sqrt(t + 2 * p))' for i, x in enumerate(_times(_named('a'), _named('e')))], 'i')} FROM ({_TWO})"
+_UNDER = f"SELECT capture, a, b, mult, t, p, {_as(_times(_turned(_K[1]), _times(_named('i'), _K[1])), 'f')} FROM ({_ONE})"
+_COSTS = f"""SELECT capture, a, b, mult, off / (mult * 640) AS cost, n FROM (SELECT *, row_number() OVER (PARTITION BY capture, a, b, mult ORDER BY off) AS r, count(*) OVER (PARTITION BY capture, a, b, mult) AS n
+FROM (SELECT m.capture, m.a, m.b, mult, {_OFF} AS off FROM ({_IN}) m JOIN ({_UNDER}) u ON u.a = m.a AND u.b = m.b)) WHERE r = n // 2 + 1"""
+_TOTALS = f"""SELECT capture, mult, sum(cost / mid) AS total, count(*) AS pairs, sum(n)::BIGINT AS support FROM (SELECT *, list_sort(list(cost) OVER (PARTITION BY capture, a, b))[11] AS mid FROM ({_COSTS})) WHERE mid > 1e-12 GROUP BY capture, mult"""
+
+
+def _epipolar(spark, sf):
+    frames, matches, pairs = _tables(spark, sf)
+    pose = lambda x: frames.select(F.col("frame").alias(x), *(F.col(c).alias(f"{x}_{c}") for c in ("c", "s", "tx", "ty", "tz")))
+    both = pairs.join(pose("a"), "a").join(pose("b"), "b")
+    zero, one = F.lit(0.0), F.lit(1.0)
+    turn = lambda x: [F.col(f"{x}_c"), zero, F.col(f"{x}_s"), zero, one, zero, -F.col(f"{x}_s"), zero, F.col(f"{x}_c")]
+    at = lambda x: [F.col(f"{x}_t{i}") for i in "xyz"]
+    both = both.withColumns({f"r{i}": c for i, c in enumerate(G.mat_mul(turn("b"), G.transpose(turn("a"))))})
+    r = [F.col(f"r{i}") for i in range(9)]
+    both = both.withColumns({f"t{i}": g - m for i, (g, m) in enumerate(zip(at("b"), G.mat_vec(r, at("a")), strict=True))})
+    t = [F.col(f"t{i}") for i in range(3)]
+    both = both.withColumns({f"e{i}": c for i, c in enumerate(G.mat_mul([zero, -t[2], t[1], t[2], zero, -t[0], -t[1], t[0], zero], r))})
+    k = [F.lit(1 / 512), zero, F.lit(-320 / 512), zero, F.lit(1 / 512), F.lit(-240 / 512), zero, zero, one]
+    f = G.mat_mul(G.transpose(k), G.mat_mul([F.col(f"e{i}") for i in range(9)], k))
+    epipolar = both.select("capture", "a", "b", *(c.alias(n) for n, c in zip(FO.EPIPOLAR, f, strict=True)))
+    return matches.select("capture", "a", "b", "x1", "y1", "x2", "y2"), epipolar
+
+
+_PAIR = ["capture", "a", "b"]
+
+
+def _totals(spark, sf):
+    matches, epipolar = _epipolar(spark, sf)
+    near = FO.epipolar_inliers(matches, epipolar, _PAIR)
+    return FO.summed_curves(FO.focal_curves(near, epipolar, _PAIR, 640.0, 320.0, 240.0), "capture", _PAIR)
+
+
+@query(f"SELECT capture, a, b, mult, round(CASE WHEN t + 2 * p > 0 THEN sqrt(greatest(t - 2 * p, 0)) / sqrt(t + 2 * p) END, 6) + 0.0 AS asymmetry FROM ({_UNDER})")
+def focal_asymmetry(spark, sf):
+    swept = _epipolar(spark, sf)[1].withColumn("mult", F.explode(F.array(*(F.lit(m) for m in FO.MULTIPLIERS))))
+    out = FO.asymmetry(swept, F.col("mult") * 640.0, F.lit(320.0), F.lit(240.0))
+    return out.select(*_PAIR, "mult", tidy(F.col("asymmetry")).alias("asymmetry"))
+
+
+@query(f"SELECT capture, mult, round(total, 5) + 0.0 AS total, pairs, support FROM ({_TOTALS})")
+def focal_curve(spark, sf):
+    return _totals(spark, sf).select("capture", "mult", tidy(F.col("total"), 5).alias("total"), "pairs", "support")
+
+
+@query(f"""SELECT capture, CASE WHEN within THEN mult END AS mult, CASE WHEN within THEN mult * 640 END AS focal, round(total / pairs, 5) + 0.0 AS error, pairs, support
+FROM (SELECT *, mult NOT IN ({FO.MULTIPLIERS[0]}e0, {FO.MULTIPLIERS[-1]}e0) AS within, row_number() OVER (PARTITION BY capture ORDER BY total, mult) AS r FROM ({_TOTALS})) WHERE r = 1""")
+def focal_estimate(spark, sf):
+    out = FO.chosen_focal(_totals(spark, sf), "capture", 640.0)
+    return out.withColumn("error", tidy(F.col("error"), 5))

@@ -24,7 +24,7 @@ def test_entry(spark):
 
 
 def test_greedy_claims_are_one_to_one(spark):
-    rows = catalog.guided_greedy_match(spark, SMALL).collect()
+    rows = catalog.QUERIES["guided_greedy_match"](spark, SMALL).collect()
     assert rows and len({r.a for r in rows}) == len(rows) == len({r.b for r in rows})
 
 

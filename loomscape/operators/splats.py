@@ -95,7 +95,7 @@ def render(projected: DataFrame, width: int, height: int, colours: list[str], ba
     whether it is seen at all. So pixels that very many primitives cover are dealt out
     by slab, and what is hidden is not sorted.
     """
-    cuts = sorted(set(projected.approxQuantile("depth", [k / slabs for k in range(1, slabs)], 0.01)))
+    cuts = sorted(set(projected.approxQuantile("depth", [k / slabs for k in range(1, slabs)], 0.01))) if slabs > 1 else []
     slab = sum(((F.col("depth") >= c).cast("int") for c in cuts), F.lit(0))
     rows = coverage(projected, width, height).select("x", "y", slab.alias("slab"), "depth", ident, "alpha", *colours)
     through = rows.groupBy("x", "y", "slab").agg(F.product(1 - F.col("alpha")).alias("_through"))

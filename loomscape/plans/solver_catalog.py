@@ -7,12 +7,14 @@ from pyspark.sql import functions as F
 from loomscape.functions import geometry as G
 from loomscape.functions import vectors as V
 from loomscape.functions.geometry import tidy
+from loomscape.operators import adjustment as AD
 from loomscape.operators import focal as FO
 from loomscape.operators import guided as GM
 from loomscape.operators import splats as S
 from loomscape.plans.catalog import query
 from loomscape.plans.scene_catalog import _VIS, _visible
 from loomscape.session import load
+from loomscape.sources.work import cut
 
 _PIXELS = f"""SELECT * FROM (SELECT *, least(0.99, opacity * exp(power)) AS alpha FROM (
 SELECT *, -0.5 * (s2 / det * (x - u) * (x - u) + s0 / det * (y - v) * (y - v)) + s1 / det * (x - u) * (y - v) AS power FROM (
@@ -175,3 +177,92 @@ FROM (SELECT *, mult NOT IN ({FO.MULTIPLIERS[0]}e0, {FO.MULTIPLIERS[-1]}e0) AS w
 def focal_estimate(spark, sf):
     out = FO.chosen_focal(_totals(spark, sf), "capture", 640.0)
     return out.withColumn("error", tidy(F.col("error"), 5))
+
+
+# Parts seen by four cameras, which turn about the vertical; the first one stays.
+_BA = """SELECT pt, cam, c * wx + s * wz + a AS tx, wy - a / 2 AS ty, c * wz - s * wx + 0.5 AS tz, c AS r0, 0e0 AS r1, s AS r2, 0e0 AS r3, 1e0 AS r4, 0e0 AS r5, -s AS r6, 0e0 AS r7, c AS r8,
+50 * (c * wx + s * wz + a) / (c * wz - s * wx + 0.5) + 320e0 + du AS u, 50 * (wy - a / 2) / (c * wz - s * wx + 0.5) + 240e0 + dv AS v
+FROM (SELECT *, (1 - a * a) / (1 + a * a) AS c, 2 * a / (1 + a * a) AS s FROM (SELECT l_partkey AS pt, l_suppkey % 4 AS cam, (l_suppkey % 4 - 2) / 16e0 AS a, (l_partkey % 37 - 18) / 6e0 AS wx, (l_partkey % 29 - 14) / 5e0 AS wy,
+6e0 + (l_partkey % 23) / 5e0 AS wz, (l_discount - 0.05) * 40 AS du, (l_tax - 0.04) * 40 AS dv FROM {lineitem}))"""
+DAMP = 0.1
+_JAC = f"""SELECT *, 50 / tz * r0 - 50 * tx / (tz * tz) * r6 AS p00, 50 / tz * r1 - 50 * tx / (tz * tz) * r7 AS p01, 50 / tz * r2 - 50 * tx / (tz * tz) * r8 AS p02,
+50 / tz * r3 - 50 * ty / (tz * tz) * r6 AS p10, 50 / tz * r4 - 50 * ty / (tz * tz) * r7 AS p11, 50 / tz * r5 - 50 * ty / (tz * tz) * r8 AS p12,
+-50 * tx * ty / (tz * tz) AS c00, 50 + 50 * tx * tx / (tz * tz) AS c01, -50 * ty / tz AS c02, 50 / tz AS c03, 0e0 AS c04, -50 * tx / (tz * tz) AS c05,
+-50 - 50 * ty * ty / (tz * tz) AS c10, 50 * tx * ty / (tz * tz) AS c11, 50 * tx / tz AS c12, 0e0 AS c13, 50 / tz AS c14, -50 * ty / (tz * tz) AS c15,
+50 * tx / tz + 320 - u AS ru, 50 * ty / tz + 240 - v AS rv FROM ({_BA.format(lineitem="lineitem")}) WHERE tz > 1e-9"""
+_U = [f"sum(c0{r} * c0{c} + c1{r} * c1{c}) AS u{r}{c}" for r in range(6) for c in range(r, 6)] + [f"sum(c0{r} * ru + c1{r} * rv) AS g{r}" for r in range(6)]
+_V = [f"sum(p0{r} * p0{c} + p1{r} * p1{c}) AS v{r}{c}" for r in range(3) for c in range(r, 3)] + [f"sum(p0{r} * ru + p1{r} * rv) AS h{r}" for r in range(3)]
+_W = [f"sum(c0{r} * p0{c} + c1{r} * p1{c}) AS w{r}{c}" for r in range(6) for c in range(3)]
+_UT = f"SELECT cam, count(*) AS n, {', '.join(_U)} FROM ({_JAC}) WHERE cam <> 0 GROUP BY cam"
+_VT = f"SELECT pt, count(*) AS n, {', '.join(_V)} FROM ({_JAC}) GROUP BY pt"
+_WT = f"SELECT pt, cam, {', '.join(_W)} FROM ({_JAC}) WHERE cam <> 0 GROUP BY pt, cam"
+_D = [f"{'1.1e0 * ' if r == c else ''}v{min(r, c)}{max(r, c)}" for r in range(3) for c in range(3)]
+_COF = [f"{_D[(j + 1) % 3 * 3 + (i + 1) % 3]} * {_D[(j + 2) % 3 * 3 + (i + 2) % 3]} - {_D[(j + 1) % 3 * 3 + (i + 2) % 3]} * {_D[(j + 2) % 3 * 3 + (i + 1) % 3]}" for i in range(3) for j in range(3)]
+_VI = f"SELECT pt, h0, h1, h2, {', '.join(f'k{k} / d AS i{k}' for k in range(9))} FROM (SELECT *, {_D[0]} * k0 + {_D[1]} * k3 + {_D[2]} * k6 AS d FROM (SELECT *, {_as(_COF, 'k')} FROM ({_VT}))) WHERE abs(d) > 1e-18"
+_A = f"SELECT w.*, h0, h1, h2, {', '.join(f'w{r}0 * i{c} + w{r}1 * i{3 + c} + w{r}2 * i{6 + c} AS a{r}{c}' for r in range(6) for c in range(3))} FROM w JOIN i ON i.pt = w.pt"
+_WITH = f"WITH u AS ({_UT}), w AS ({_WT}), i AS ({_VI}), a AS ({_A})"
+_DIGITS = 3
+
+
+def _blocks(spark, sf):
+    obs = spark.sql(_BA, lineitem=load(spark, sf, "lineitem"))
+    j = AD.jacobians(obs, 50.0, 320.0, 240.0)
+    free = AD.gauge(j, "cam", [0])
+    return AD.camera_blocks(free, "cam"), AD.point_blocks(j, "pt"), AD.couplings(free, "pt", "cam")
+
+
+def _round(names: list[str], digits: int = _DIGITS) -> str:
+    return ", ".join(f"round({n}, {digits}) + 0.0 AS {n}" for n in names)
+
+
+def _cols(names: list[str], digits: int = _DIGITS):
+    return [tidy(F.col(n), digits).alias(n) for n in names]
+
+
+_U_NAMES = [x.split()[-1] for x in _U]
+_V_NAMES = [x.split()[-1] for x in _V]
+
+
+@query(f"SELECT cam, n, {_round(_U_NAMES)} FROM ({_UT})")
+def ba_camera_blocks(spark, sf):
+    return _blocks(spark, sf)[0].select("cam", "n", *_cols(_U_NAMES))
+
+
+@query(f"SELECT pt, n, {_round(_V_NAMES)} FROM ({_VT})")
+def ba_point_blocks(spark, sf):
+    return _blocks(spark, sf)[1].select("pt", "n", *_cols(_V_NAMES))
+
+
+@query(f"SELECT pt, cam, {_round(AD.COUPLING)} FROM ({_WT})")
+def ba_couplings(spark, sf):
+    return _blocks(spark, sf)[2].select("pt", "cam", *_cols(AD.COUPLING))
+
+
+_S_NAMES = [f"s{r}{c}" for r in range(6) for c in range(6)]
+_REDUCED = f"""{_WITH}, p AS (SELECT a.cam AS cam_i, w.cam AS cam_j, {', '.join(f'sum(a{r}0 * w.w{c}0 + a{r}1 * w.w{c}1 + a{r}2 * w.w{c}2) AS s{r}{c}' for r in range(6) for c in range(6))} FROM a JOIN w ON w.pt = a.pt AND a.cam <= w.cam GROUP BY ALL)
+SELECT cam_i, cam_j, {', '.join(f"round(CASE WHEN cam_i = cam_j THEN (coalesce(u{min(r, c)}{max(r, c)}, 0) - s{r}{c}){' * 1.1e0 + 1e-12' if r == c else ''} ELSE -s{r}{c} END, 2) + 0.0 AS s{r}{c}" for r in range(6) for c in range(6))}
+FROM p LEFT JOIN u ON u.cam = cam_i AND cam_i = cam_j"""
+
+
+@query(_REDUCED)
+def ba_reduced_system(spark, sf):
+    u, v, w = _blocks(spark, sf)
+    return AD.reduced_blocks(u, w, AD.damped_inverses(v, "pt", DAMP), "pt", "cam", DAMP).select("cam_i", "cam_j", *_cols(_S_NAMES, 2))
+
+
+_RIGHT = f"{_WITH} SELECT u.cam, row, round(b, 3) + 0.0 AS b, true AS solved FROM (SELECT cam, unnest([{', '.join(f'b{r}' for r in range(6))}]) AS b, unnest(range(6)) AS row FROM (SELECT u.cam, {', '.join(f'coalesce(x{r}, 0) - g{r} AS b{r}' for r in range(6))} FROM u LEFT JOIN (SELECT cam, {', '.join(f'sum(a{r}0 * h0 + a{r}1 * h1 + a{r}2 * h2) AS x{r}' for r in range(6))} FROM a GROUP BY cam) x ON x.cam = u.cam)) u"
+
+
+@query(_RIGHT)
+def ba_camera_step(spark, sf):
+    """The right side, and whether the blocks of the reduced system times the step are that."""
+    u, v, w = (cut(x, "blocks") for x in _blocks(spark, sf))
+    inverses = AD.damped_inverses(v, "pt", DAMP)
+    step = AD.camera_step(u, w, inverses, "pt", "cam", DAMP)
+    half = AD.reduced_blocks(u, w, inverses, "pt", "cam", DAMP)
+    turned = half.where("cam_i < cam_j").select(F.col("cam_j").alias("cam_i"), F.col("cam_i").alias("cam_j"), *(F.col(f"s{c}{r}").alias(f"s{r}{c}") for r in range(6) for c in range(6)))
+    met = half.unionByName(turned).join(step.withColumnRenamed("cam", "cam_j"), "cam_j").groupBy(F.col("cam_i").alias("cam"))
+    reached = met.agg(*(F.sum(G.dot([F.col(f"s{r}{c}") for c in range(6)], [F.col(f"d{c}") for c in range(6)])).alias(f"z{r}") for r in range(6)))
+    both = reached.join(AD.right_side(u, w, inverses, "pt", "cam"), "cam")
+    rows = both.select("cam", F.posexplode(F.array(*(F.struct(F.col(f"b{r}").alias("b"), F.col(f"z{r}").alias("z")) for r in range(6)))).alias("row", "x"))
+    return rows.select("cam", F.col("row").cast("long").alias("row"), tidy(F.col("x.b"), 3).alias("b"), (F.abs(F.col("x.z") - F.col("x.b")) <= 1e-6 * (1 + F.abs(F.col("x.b")))).alias("solved"))

@@ -241,8 +241,10 @@ def test_html_repeats_within_articles(spark):
     shared = " ".join(f"s{k}" for k in range(20))  # in articles only: a text, no boilerplate
     rows = [(i, "http://one.org/x", f"<div class=cookie>{note}</div><article><p>{own[i]}</p><p>{shared}</p></article>") for i in range(4)]
     rows += [(4, "http://one.org/y", f"<article><p>{note}</p><p>{own[4]}</p></article>"), (5, "http://two.org/", f"<main><p>{note}</p><p>{own[5]}</p></main>")]
+    rows += [(6, "http://one.org/z", f"<main><p>{note}</p><p>Short.</p><p>{own[5]}</p></main>"), (7, "http://one.org/z", f"<div><p>{note}</p><p>Short.</p><p>{own[5]}</p></div>")]
     table = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
-    want = {i: f"{own[i]}\n{shared}" for i in range(4)} | {4: own[4], 5: f"{note}\n{own[5]}"}
+    # a marked article is whole, even where it says what stands beside others
+    want = {i: f"{own[i]}\n{shared}" for i in range(4)} | {4: f"{note}\n{own[4]}", 5: f"{note}\n{own[5]}", 6: f"Short.\n{own[5]}", 7: f"Short.\n{own[5]}"}
     for most in (2_000_000, 0):  # by broadcast, by join
         assert {r.page_id: r.text for r in extract_text(table, most_runs=most).collect()} == want
 
@@ -259,36 +261,60 @@ def test_html_longest_repeats_brute_force(spark):
         pages[i] = (f"http://h{i % 2}.org/{i}", [blocks[j] for j in rng.permutation(len(blocks))])
     want = {}
     for i, (url, blocks) in pages.items():
-        words = " ".join(blocks).split()
-        hosts = [" ".join(b).split() for u, b in pages.values() if u[:13] == url[:13]]
-        covered = set()
-        for s in range(len(words)):  # the longest substring from here that stands on enough pages
-            best = 0
-            for n in range(RUN, len(words) - s + 1):
-                if sum(any(w[k : k + n] == words[s : s + n] for k in range(len(w) - n + 1)) for w in hosts) < MIN_PAGES:
-                    break
-                best = n
-            covered.update(range(s, s + best))
-        at, left = 0, []
+        hosts = [[x.split() for x in b] for u, b in pages.values() if u[:13] == url[:13]]
+        left = []
         for b in blocks:
-            n = len(b.split())
-            if 2 * sum(k in covered for k in range(at, at + n)) < n:
+            words, covered = b.split(), set()
+            for s in range(len(words)):  # the longest substring of the block from here that stands on enough pages
+                best = 0
+                for n in range(RUN, len(words) - s + 1):
+                    if sum(any(w[k : k + n] == words[s : s + n] for w in h for k in range(len(w) - n + 1)) for h in hosts) < MIN_PAGES:
+                        break
+                    best = n
+                covered.update(range(s, s + best))
+            if 2 * len(covered) < len(words):
                 left.append(b)
-            at += n
         want[i] = "\n".join(left)
     table = spark.createDataFrame([(i, u, "".join(f"<div>{b}</div>" for b in bs)) for i, (u, bs) in pages.items()], "page_id long, url string, html string").repartition(5)
     assert {r.page_id: r.text for r in extract_text(table).collect()} == want
 
 
-def test_html_pages(spark):
+WRAPPED = [
+    "<aside>{}</aside>", "<nav>{}</nav>", "<div hidden>{}</div>", "<div class='related'>{}</div>", "<div class='advert'>{}</div>", "<section class='post-comments'>{}</section>",
+    "<div class='comment-respond'>{}</div>", "<ol class='commentlist'>{}</ol>", "<div class='newsletter-form'>{}</div>", "<div class='cookie-policy'>{}</div>", "<div class='site-header'>{}</div>",
+    "<div class='site-footer'>{}</div>", "<ul class='main-nav'>{}</ul>", "<aside data-u=/x/>{}</aside>", "<article class='advert'>{}</article>",
+]
+
+
+@pytest.mark.parametrize("wrapper", WRAPPED)
+def test_html_wrappers_win_over_what_they_hold(wrapper):
+    from loomscape.llm.html_text import BOILERPLATE, page_blocks
+
+    teaser = wrapper.format("<article><h3>teaser</h3><p>of another</p></article>")
+    for page in (f"<article><p>main text</p></article>{teaser}", f"<article><p>main text</p>{teaser}</article>", f"{teaser}<article><p>main text</p></article>"):
+        found = page_blocks(page)
+        assert [t for k, t in found if k == 0] == ["main text"] and {k for k, t in found if t != "main text"} == {BOILERPLATE}
+
+
+def test_html_kept_parts():
+    from loomscape.llm.html_text import page_blocks
+
+    page = "<form id=aspnetForm><input><article><div class='post-header'><h1>T</h1></div><p>let <math><mi>x</mi><mo>&lt;</mo><mn>2</mn></math> hold</p><xmp>a &amp; <b></xmp><p>end</p></article><button>Go</button></form>"
+    assert [t for k, t in page_blocks(page) if k == 0] == ["T", "let x<2 hold", "a &amp; <b>", "end"]
+    long = "<article>" + "<p>word &amp; word</p>" * 100_000 + "</article>"
+    assert page_blocks(long) == [(0, "word & word")] * 100_000
+
+
+@pytest.mark.parametrize("sf_dir", [SF, "/root/testdata/sf0.1"])
+def test_html_pages(spark, sf_dir):
     import html
 
     want = {}
-    for r in pq.read_table(f"{SF}/pages.parquet").to_pylist():
+    for r in pq.read_table(f"{sf_dir}/pages.parquet").to_pylist():
         body = re.search(r"<article>(.*?)</article>", r["html"], re.S)[1]
         parts = (" ".join(html.unescape(re.sub("</?b>", "", x).replace("<br>", " ")).split()) for x in re.split(r"</?(?:p|h1)>", body))
         want[r["page_id"]] = "\n".join(x for x in parts if x)
-    assert {r.page_id: r.text for r in Q.op4_html_text(spark, SF).collect()} == want
+    assert {r.page_id: r.text for r in Q.op4_html_text(spark, sf_dir).collect()} == want
 
 
 def test_suffix_classes():

@@ -95,6 +95,28 @@ def select_frames(frames: DataFrame, session: str, order: Sequence[str], blur: s
     return budget(collapse_duplicates(sharp, session, order, blur, distance, signature, least), session, order, blur, target)
 
 
+def selection_verdicts(frames: DataFrame, session: str, ident: str, order: Sequence[str], blur: str, signature: str, distance: Column | None = None, factor: float = 0.4, least: float = 0.01, target: int = 150) -> DataFrame:
+    """session, ident and verdict of every frame: blurry, duplicate, over budget or selected.
+
+    Each stage tells what it lets through; the last stage that did so is the verdict, by
+    one aggregation over the stages' ids.
+    """
+    sharp = reject_blurry(frames, session, blur, factor)
+    runs = collapse_duplicates(sharp, session, order, blur, distance, signature, least)
+    stages = [frames, sharp, runs, budget(runs, session, order, blur, target)]
+    passed = [df.select(session, ident, F.lit(k).alias("_stage")) for k, df in enumerate(stages)]
+    every = passed[0].unionByName(passed[1]).unionByName(passed[2]).unionByName(passed[3])
+    last = every.groupBy(session, ident).agg(F.max("_stage").alias("_stage"))
+    names = F.array(*(F.lit(x) for x in ("blurry", "duplicate", "over budget", "selected")))
+    return last.select(session, ident, F.get(names, F.col("_stage")).alias("verdict"))
+
+
+def reject_counters(verdicts: DataFrame, session: str) -> DataFrame:
+    """Each session's frames, those selected, and those rejected by reason."""
+    count = lambda v: F.count_if(F.col("verdict") == v)
+    return verdicts.groupBy(session).agg(F.count("*").alias("total"), count("selected").alias("selected"), count("blurry").alias("rejected_blurry"), count("duplicate").alias("rejected_duplicate"), count("over budget").alias("rejected_over_budget"))
+
+
 def natural_key(name: Column) -> Column:
     """Sorts digits in names as numbers: img_2 before img_10. Runs of digits are padded."""
     parts = F.regexp_extract_all(F.lower(name), F.lit(r"([0-9]+|[^0-9]+)"), F.lit(1))

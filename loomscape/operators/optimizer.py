@@ -58,3 +58,8 @@ def reset_opacity(logit: Column, value: float = 0.01) -> Column:
     import math
 
     return F.least(logit, F.lit(math.log(value / (1 - value))))
+
+
+def reset_opacities(splats: DataFrame, name: str = "logit", value: float = 0.01) -> DataFrame:
+    """splats of an opacity of at most value, whose moments begin anew."""
+    return splats.withColumns({name: reset_opacity(F.col(name), value), f"m_{name}": F.lit(0.0), f"v_{name}": F.lit(0.0)})

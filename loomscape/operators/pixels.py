@@ -112,3 +112,15 @@ def area_downsample(pixels: DataFrame, values: list[str], height: int, width: in
     ny = F.floor(((F.col("y") + 1) * new_height - 1) / height).cast("int")
     nx = F.floor(((F.col("x") + 1) * new_width - 1) / width).cast("int")
     return pixels.groupBy("image", ny.alias("ny"), nx.alias("nx")).agg(*(F.avg(v).alias(v) for v in values))
+
+
+def overlay(keypoints: DataFrame, image: str, width: int, every: int = 40, most: int = 6) -> DataFrame:
+    """Circles to draw over the first most images whose number every divides: place, radius,
+    line width, and a colour from blue (weak) to red, by the response over the image's
+    strongest; 0 where that is not above 0."""
+    chosen = keypoints.where(F.col(image) % every == 0).select(image).distinct().orderBy(image).limit(most)
+    rows = keypoints.join(F.broadcast(chosen), image)  # most rows at the most
+    top = F.max("response").over(Window.partitionBy(image))
+    s = F.when(top > 0, F.col("response") / top).otherwise(0.0)
+    rows = rows.withColumn("_s", s)
+    return rows.select(image, "x", "y", F.lit(max(4.0, width / 260)).alias("radius"), F.lit(max(2.0, width / 700)).alias("line"), (0.2 + 0.8 * F.col("_s")).alias("red"), (0.9 - 0.7 * F.col("_s")).alias("green"), (1.0 - 0.9 * F.col("_s")).alias("blue"))

@@ -138,6 +138,33 @@ def blend_gradients(rows: DataFrame, keys: list[str], order: list[str], colour:
     return out.withColumns({"d_colour": F.col(upstream) * F.col(alpha) * F.col("t"), "d_alpha": d_alpha}).drop("front", "total", "mine")
 
 
+def image_gradients(projected: DataFrame, target: DataFrame, pixels: int, width: int, height: int, colours: list[str], background: list[float], ident: str = "splat_id") -> DataFrame:
+    """ident, d_ of each colour and of logit, loss and seen: how the mean absolute difference
+    from the target (x, y and colours t_*) over pixels times channels changes.
+
+    One ordered window over each pixel's primitives gives what each lets through and what
+    stands before it; what stands behind is the pixel's total less both, the background
+    among it. Gradients are combined before the shuffle. loss is a primitive's part of the
+    summed difference of the pixels that it is the first to colour, so that the parts of
+    all primitives add up to that of the pixels that any colours.
+    """
+    order = Window.partitionBy("x", "y").orderBy("depth", ident)
+    before, whole = order.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy("x", "y")
+    rows = coverage(projected, width, height).select("x", "y", "depth", ident, "alpha", "opacity", *colours)
+    rows = rows.withColumn("_t", F.coalesce(F.product(1 - F.col("alpha")).over(before), F.lit(1.0))).where(F.col("_t") > 1 / 255)
+    rows = rows.withColumns({f"_m_{c}": F.col(c) * F.col("alpha") * F.col("_t") for c in colours})
+    rows = rows.withColumns({"_end": F.min(F.col("_t") * (1 - F.col("alpha"))).over(whole), "_first": F.row_number().over(order) == 1})
+    rows = rows.withColumns({f"_f_{c}": F.coalesce(F.sum(f"_m_{c}").over(before), F.lit(0.0)) for c in colours} | {f"_a_{c}": F.sum(f"_m_{c}").over(whole) + b * F.col("_end") for c, b in zip(colours, background, strict=True)})
+    met = rows.join(target.select("x", "y", *(F.col(f"t_{c}") for c in colours)), ["x", "y"])
+    part = 1.0 / (pixels * len(colours))
+    up = {c: F.signum(F.col(f"_a_{c}") - F.col(f"t_{c}")) * part for c in colours}
+    terms = [up[c] * (F.col(c) * F.col("_t") - (F.col(f"_a_{c}") - F.col(f"_f_{c}") - F.col(f"_m_{c}")) / (1 - F.col("alpha"))) for c in colours]
+    d_alpha = sum(terms[1:], terms[0])
+    off = [F.abs(F.col(f"_a_{c}") - F.col(f"t_{c}")) * part for c in colours]
+    out = met.withColumns({f"_d_{c}": up[c] * F.col("alpha") * F.col("_t") for c in colours} | {"_d_logit": F.when(F.col("alpha") < 0.99, d_alpha * F.col("alpha") * (1 - F.col("opacity"))).otherwise(0.0), "_loss": F.when(F.col("_first"), sum(off[1:], off[0])).otherwise(0.0)})
+    return out.groupBy(ident).agg(*(F.sum(f"_d_{c}").alias(f"d_{c}") for c in [*colours, "logit"]), F.sum("_loss").alias("loss"), F.count("*").alias("seen"))
+
+
 def nearest_radius(points: DataFrame, ident: str, names: list[str], cell: float, count: int = 3) -> DataFrame:
     """Mean distance to the nearest `count` other points (fewer where there are fewer).
 

@@ -9,10 +9,13 @@ from loomscape.functions import vectors as V
 from loomscape.functions.geometry import tidy
 from loomscape.operators import adjustment as AD
 from loomscape.operators import focal as FO
+from loomscape.operators import frames as FR
 from loomscape.operators import guided as GM
+from loomscape.operators import optimizer as O  # noqa: E741
+from loomscape.operators import pixels as P
 from loomscape.operators import splats as S
-from loomscape.plans.catalog import query
-from loomscape.plans.scene_catalog import _VIS, _visible
+from loomscape.plans.catalog import _BLUR, ORACLE_SQL, ORDER, QUERIES, _anchor_sql, _budget_sql, query
+from loomscape.plans.scene_catalog import _SPLATS, _VIS, _sql, _table, _visible
 from loomscape.session import load
 from loomscape.sources.work import cut
 
@@ -266,3 +269,46 @@ def ba_camera_step(spark, sf):
     both = reached.join(AD.right_side(u, w, inverses, "pt", "cam"), "cam")
     rows = both.select("cam", F.posexplode(F.array(*(F.struct(F.col(f"b{r}").alias("b"), F.col(f"z{r}").alias("z")) for r in range(6)))).alias("row", "x"))
     return rows.select("cam", F.col("row").cast("long").alias("row"), tidy(F.col("x.b"), 3).alias("b"), (F.abs(F.col("x.z") - F.col("x.b")) <= 1e-6 * (1 + F.abs(F.col("x.b")))).alias("solved"))
+
+
+_TARGET = f"SELECT x, y, g AS t_r, b AS t_g, r AS t_b FROM ({ORACLE_SQL['render_pixels']})"
+_BEHIND = " + ".join(f"sign(t{c} - t_{c}) / 230400e0 * ({c} * t - (t{c} - f{c} - m{c}) / (1 - alpha))" for c in "rgb")
+_GRADIENT = f"""WITH p AS (SELECT *, coalesce(exp(sum(ln(1 - alpha)) OVER w), 1) AS t FROM ({_PIXELS}) WINDOW w AS (PARTITION BY x, y ORDER BY depth, splat_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+m AS (SELECT *, {', '.join(f'{c} * alpha * t AS m{c}' for c in 'rgb')}, min(t * (1 - alpha)) OVER (PARTITION BY x, y) AS last, row_number() OVER (PARTITION BY x, y ORDER BY depth, splat_id) AS k FROM p WHERE t > 1 / 255e0),
+a AS (SELECT *, {', '.join(f'coalesce(sum(m{c}) OVER w, 0) AS f{c}, sum(m{c}) OVER (PARTITION BY x, y) + {b} * last AS t{c}' for c, b in zip('rgb', ('0.1', '0.2', '0.3'), strict=True))} FROM m WINDOW w AS (PARTITION BY x, y ORDER BY depth, splat_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+SELECT splat_id, {', '.join(f'round(sum(sign(t{c} - t_{c}) / 230400e0 * alpha * t) * 1000, 5) + 0.0 AS d_{c}' for c in 'rgb')}, round(sum(CASE WHEN alpha < 0.99 THEN ({_BEHIND}) * alpha * (1 - opacity) ELSE 0 END) * 1000, 5) + 0.0 AS d_logit,
+round(sum(CASE WHEN k = 1 THEN (abs(tr - t_r) + abs(tg - t_g) + abs(tb - t_b)) / 230400e0 ELSE 0 END) * 1000, 5) + 0.0 AS loss, count(*) AS seen FROM a JOIN ({_TARGET}) q USING (x, y) GROUP BY splat_id"""
+
+
+@query(_GRADIENT)
+def image_gradients(spark, sf):
+    """Of the picture from the same one with its channels exchanged, in thousandths."""
+    seen = _visible(spark, sf).withColumn("depth", F.round("depth", 6))
+    target = render_pixels(spark, sf).select("x", "y", F.col("g").alias("t_r"), F.col("b").alias("t_g"), F.col("r").alias("t_b"))
+    out = S.image_gradients(seen, target, 320 * 240, 320, 240, ["r", "g", "b"], [0.1, 0.2, 0.3])
+    return out.select("splat_id", *(tidy(F.col(c) * 1000, 5).alias(c) for c in ("d_r", "d_g", "d_b", "d_logit", "loss")), "seen")
+
+
+@query(f"SELECT splat_id, round(least(logit, ln(0.01 / 0.99)), 6) + 0.0 AS logit, 0e0 AS m_logit, 0e0 AS v_logit FROM ({_sql(_SPLATS)})")
+def opacity_reset_moments(spark, sf):
+    state = _table(spark, sf, _SPLATS).join(load(spark, sf, "part").select(F.col("p_partkey").alias("splat_id"), (F.col("p_size") / 50 - 0.5).alias("m_logit"), (F.col("p_size") / 900).alias("v_logit")), "splat_id")
+    return O.reset_opacities(state).select("splat_id", tidy(F.col("logit")).alias("logit"), "m_logit", "v_logit")
+
+
+_RUNS = _anchor_sql(_BLUR, 15)
+
+
+@query(f"""SELECT e.user_id, count(*) AS total, count(s.event_id) AS selected, count(*) - count(b.event_id) AS rejected_blurry, count(b.event_id) - count(d.event_id) AS rejected_duplicate, count(d.event_id) - count(s.event_id) AS rejected_over_budget
+FROM events e LEFT JOIN (SELECT event_id FROM ({_BLUR})) b ON b.event_id = e.event_id LEFT JOIN (SELECT event_id FROM ({_RUNS})) d ON d.event_id = e.event_id
+LEFT JOIN (SELECT event_id FROM ({_budget_sql(_RUNS, 10)})) s ON s.event_id = e.event_id GROUP BY e.user_id""")
+def selection_rejects(spark, sf):
+    frames = load(spark, sf, "events").select("event_id", "user_id", "ts", "value")
+    verdicts = FR.selection_verdicts(frames, "user_id", "event_id", ORDER, "value", "value", F.lit(True), 0.4, 15, 10)
+    return FR.reject_counters(verdicts, "user_id")
+
+
+@query(f"""WITH k AS ({ORACLE_SQL['nms_keypoints']}), c AS (SELECT DISTINCT image FROM k WHERE image % 40 = 0 ORDER BY image LIMIT 6), s AS (SELECT *, CASE WHEN max(response) OVER (PARTITION BY image) > 0 THEN response / max(response) OVER (PARTITION BY image) ELSE 0 END AS s FROM k JOIN c USING (image))
+SELECT image, x, y, 1600 / 260e0 AS radius, 1600 / 700e0 AS line, round(0.2 + 0.8 * s, 6) + 0.0 AS red, round(0.9 - 0.7 * s, 6) + 0.0 AS green, round(1.0 - 0.9 * s, 6) + 0.0 AS blue FROM s""")
+def feature_overlay(spark, sf):
+    out = P.overlay(QUERIES["nms_keypoints"](spark, sf), "image", 1600)
+    return out.select("image", "x", "y", "radius", "line", *(tidy(F.col(c)).alias(c) for c in ("red", "green", "blue")))

@@ -23,8 +23,9 @@ class Cascade:
     universe that all levels before let through. A key of the universe is listed if the
     first level that lets it fail is odd, or if all let it through and their number is odd."""
 
-    def __init__(self, levels: list[tuple[int, int, np.ndarray]]):
+    def __init__(self, levels: list[tuple[int, int, np.ndarray]], clashes: frozenset[str] = frozenset()):
         self.levels = levels  # (bits, hashes, bytes)
+        self.clashes = clashes  # other keys of the universe whose hash a listed key has
 
     @staticmethod
     def places(keys: np.ndarray, level: int, bits: int, hashes: int) -> np.ndarray:
@@ -89,7 +90,8 @@ def build_cascade(universe: DataFrame, listed: DataFrame) -> Cascade:
 
     The first level's rate is about the ratio of listed to other keys, those after it
     halve; so that all levels together take some bits for each listed key. Only the
-    first level reads the universe.
+    first level reads the universe. No level can tell keys of one hash apart: those that
+    aren't listed are kept by name (with 64 bits, none is to be expected).
     """
     spark = universe.sparkSession
     n, total = listed.count(), universe.count()
@@ -98,10 +100,13 @@ def build_cascade(universe: DataFrame, listed: DataFrame) -> Cascade:
         return Cascade(levels)
     _add_level(levels, listed.select("h"), n, min(0.5, max(1e-6, math.sqrt(0.5) * n / max(total, 1))))
     own, other = listed.select("key", "h"), materialize(_through(spark, levels, universe).join(listed.select("key"), "key", "left_anti"), "false")
+    clashes = frozenset(r["key"] for r in other.join(listed.select("h"), "h", "left_semi").collect())
+    if clashes:
+        other = other.where(~F.col("key").isin(*clashes))
     while True:
         count = other.count()
         if not count:
-            return Cascade(levels)
+            return Cascade(levels, clashes)
         _add_level(levels, other.select("h"), count, 0.5)
         passed = _through(spark, levels, own)  # of the other kind, let through wrongly
         own, other = other, passed
@@ -114,11 +119,10 @@ def url_parts(url: Column) -> tuple[Column, Column]:
     return F.coalesce(host, F.lit("")), F.coalesce(path, F.lit(""))
 
 
-def _candidates(host: Column, path: Column, lengths: Sequence[int]) -> Column:
-    """Keys that could be listed: host endings at dots, with the path's beginnings of the
-    rules' lengths, longest first; then host endings alone."""
-    labels = F.split(host, r"\.")
-    ends = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+def _candidates(host: Column, path: Column, lengths: Sequence[int], labels: int) -> Column:
+    """Keys that could be listed: host endings at dots, of as many labels as a listed host
+    has at most, with the path's beginnings of the rules' lengths; then host endings alone."""
+    ends = F.array_distinct(F.array(*(F.substring_index(host, ".", -i) for i in range(labels, 0, -1))))
     starts = F.array_compact(F.array(*(F.when(F.length(path) >= n, F.substring(path, 1, n)) for n in sorted(lengths, reverse=True))))
     rules = F.flatten(F.transform(ends, lambda e: F.transform(starts, lambda p: F.concat(F.lit("r"), e, p))))
     hosts = F.transform(ends, lambda e: F.concat(F.lit("h"), e))
@@ -142,7 +146,7 @@ def filter_urls(pages: DataFrame, rules: Sequence[Rule], blocked_hosts: Sequence
     verdicts = {f"r{h}{p}": v for h, p, v in rules} | {f"h{h}": "block" for h in blocked_hosts}
     host, path = url_parts(F.col(url))
     rest = pages.drop("host", "path", "rule", "verdict").withColumns({"host": host, "path": path})
-    keyed = rest.withColumn("_keys", _candidates(F.col("host"), F.col("path"), sorted({len(p) for _, p, _ in rules}) or [0]))
+    keyed = rest.withColumn("_keys", _candidates(F.col("host"), F.col("path"), sorted({len(p) for _, p, _ in rules}) or [0], max(h.count(".") + 1 for h in (*(r[0] for r in rules), *blocked_hosts, ""))))
     if verdicts:
         listed = materialize(spark.createDataFrame(list(verdicts.items()), "key string, verdict string").withColumn("h", F.xxhash64("key")), "listed")
         universe = materialize(keyed.select(F.explode("_keys").alias("key")).distinct().withColumn("h", F.xxhash64("key")), "keys")
@@ -151,10 +155,10 @@ def filter_urls(pages: DataFrame, rules: Sequence[Rule], blocked_hosts: Sequence
         discard(universe)
     else:
         member = blocked = Cascade([])
-    shared = spark.sparkContext.broadcast((member.levels, blocked.levels))
+    shared = spark.sparkContext.broadcast((member, blocked))
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        member, blocked = map(Cascade, shared.value)
+        member, blocked = shared.value
         for batch in batches:
             lists, hashes = batch.column("_keys"), batch.column("_h")
             keys = lists.flatten()
@@ -163,11 +167,14 @@ def filter_urls(pages: DataFrame, rules: Sequence[Rule], blocked_hosts: Sequence
             found = np.flatnonzero(member.listed(h))
             row = np.searchsorted(at, found, side="right") - 1
             names = keys.take(pa.array(found)).to_pylist()
-            block = blocked.listed(h[found])
+            block = blocked.listed(h[found]).tolist()
             rule: list[str | None] = [None] * batch.num_rows
             verdict = ["allow"] * batch.num_rows
             best: dict[int, tuple[int, int]] = {}
-            for r, name, no in zip(row.tolist(), names, block.tolist(), strict=True):
+            for r, name, no in zip(row.tolist(), names, block, strict=True):
+                if name in member.clashes:
+                    continue
+                no = no and name not in blocked.clashes
                 rank = (len(name), len(name.split("/", 1)[0])) if name[0] == "r" else (0, 0)
                 if r not in best or rank > best[r]:
                     best[r] = rank

@@ -79,6 +79,29 @@ def test_url_filter_edges(spark):
     assert filter_urls(rows.where("false"), Q.URL_RULES).count() == 0
 
 
+def test_url_filter_long_and_repeated(spark):
+    import time
+
+    from loomscape.llm.url_filter import filter_urls
+
+    urls = ["http://" + "a." * 100_000 + "spam.org/x", "http://spam.org/" + "en/" * 200_000, "http://" + "." * 50_000, "http://a.spam.org.", "http://b.com/" + "?" * 9] * 2
+    rows = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id int, url string")
+    begin = time.time()
+    got = {r.page_id: (r.rule, r.verdict) for r in filter_urls(rows, Q.URL_RULES, ["spam.org"]).collect()}
+    assert got == {i: (("com/", "allow") if i % 5 == 4 else (None, "block" if i % 5 < 2 else "allow")) for i in range(10)}
+    assert time.time() - begin < 120
+
+
+def test_cascade_ends_where_hashes_clash(spark):
+    from loomscape.llm.url_filter import build_cascade
+
+    universe = spark.createDataFrame([(f"k{i}", i // 2) for i in range(400)], "key string, h long")
+    cascade = build_cascade(universe, universe.where("key IN ('k0', 'k7', 'k10', 'k11')"))
+    assert cascade.clashes == {"k1", "k6"}
+    found = cascade.listed(np.array([i // 2 for i in range(400)], np.uint64))
+    assert {f"k{i}" for i in np.flatnonzero(found).tolist()} - cascade.clashes == {"k0", "k7", "k10", "k11"}
+
+
 def test_near_duplicates_brute_force(spark, docs):
     sets = {}
     for r in docs:

@@ -334,15 +334,20 @@ def seed_pool(spark, sf):
     return M.seed_pool(_wide(spark, sf), "gap", "score", 30)
 
 
-# each order of a customer is linked with the next one
-_EDGES = "SELECT o_orderkey AS a, next AS b FROM (SELECT o_orderkey, lead(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS next FROM orders) WHERE next IS NOT NULL"
-_TRACK = f"""WITH RECURSIVE e AS ({_EDGES}), s AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+# every line of lineitem is a keypoint: linked with the first and with the last one before it of
+# its part and supplier, and with the last one before it of its order and quantity
+_EDGES = """SELECT id AS a, unnest([hub, before, beside]) AS b FROM (SELECT id, first(id) OVER w AS hub, lag(id) OVER w AS before, lag(id) OVER (PARTITION BY l_orderkey, l_quantity ORDER BY id) AS beside
+FROM (SELECT *, l_orderkey * 8 + l_linenumber AS id FROM lineitem) WINDOW w AS (PARTITION BY l_partkey, l_suppkey ORDER BY id))"""
+_TRACK = f"""WITH RECURSIVE e AS (SELECT a, b FROM ({_EDGES}) WHERE a <> b), s AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
 reach(id, other) AS (SELECT a, a FROM s UNION SELECT r.id, s.b FROM reach r JOIN s ON s.a = r.other)
 SELECT id, min(other) AS track FROM reach GROUP BY id"""
 
 
 def _tracks(spark, sf):
-    return M.tracks(M.window_pairs(load(spark, sf, "orders"), "o_custkey", ["o_orderdate", "o_orderkey"], "o_orderkey", 1))
+    lines = load(spark, sf, "lineitem").withColumn("id", F.col("l_orderkey") * 8 + F.col("l_linenumber"))
+    own, order = Window.partitionBy("l_partkey", "l_suppkey").orderBy("id"), Window.partitionBy("l_orderkey", "l_quantity").orderBy("id")
+    links = lines.select(F.col("id").alias("a"), F.first("id").over(own).alias("hub"), F.lag("id").over(own).alias("before"), F.lag("id").over(order).alias("beside"))
+    return M.tracks(links.select("a", F.explode(F.array("hub", "before", "beside")).alias("b")))
 
 
 @query(_TRACK)

@@ -111,7 +111,7 @@ def camera_step(cameras: DataFrame, w: DataFrame, inverses: DataFrame, point: st
 
     The system is never formed: it meets a vector as U x - W (V^-1 (W' x)), two joins and
     sums over the couplings. Vectors are tables of a row for each camera, broadcast while
-    they are at most FEW; the driver sees three numbers a round. Ends where the residual's
+    they are at most FEW; the driver sees two numbers a round. Ends where the residual's
     norm, weighed by the preconditioner, has fallen by tolerance, or after most rounds.
     No cameras give an empty table.
     """
@@ -136,11 +136,12 @@ def camera_step(cameras: DataFrame, w: DataFrame, inverses: DataFrame, point: st
         # (1 + damping) * the diagonal of S, S itself elsewhere
         s = {f"s{r}": row(r) - F.coalesce(F.col(f"_q{r}"), F.lit(0.0)) + (F.col(f"m{r}") - (F.col(f"m{r}") - 1e-12) / full) * F.col(f"x{r}") for r in SIX}
         met = cut(met.select(*state.columns, *(e.alias(n) for n, e in s.items())), "step")
-        sums = met.agg(F.sum(total(lambda r: F.col(f"x{r}") * F.col(f"s{r}"))).alias("xs"), F.sum(total(lambda r: F.col(f"e{r}") * F.col(f"s{r}") / F.col(f"m{r}"))).alias("es"), F.sum(total(lambda r: F.col(f"s{r}") ** 2 / F.col(f"m{r}"))).alias("ss")).first()
-        if sums["xs"] <= 0:
+        curved = met.agg(F.sum(total(lambda r: F.col(f"x{r}") * F.col(f"s{r}")))).first()[0]
+        if curved <= 0:
             break
-        alpha = rz / sums["xs"]
-        rz, before = max(rz - 2 * alpha * sums["es"] + alpha * alpha * sums["ss"], 0.0), rz
+        alpha = rz / curved
+        # from the new residual itself: a difference of sums would lose it in rounding
+        rz, before = met.agg(F.sum(total(lambda r: (F.col(f"e{r}") - alpha * F.col(f"s{r}")) ** 2 / F.col(f"m{r}")))).first()[0], rz  # noqa: B023
         beta = rz / before
         new = {f"d{r}": F.col(f"d{r}") + alpha * F.col(f"x{r}") for r in SIX} | {f"e{r}": F.col(f"e{r}") - alpha * F.col(f"s{r}") for r in SIX}
         old, state = state, met.withColumns(new)

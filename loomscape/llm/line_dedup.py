@@ -117,8 +117,8 @@ def dropped_lines(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT,
     similarity. Pairs that bands suggest are confirmed on full sets of runs, but for such
     as are in one component already or have fewer than AGREE of 16 least hashes in common
     (at the threshold 1 pair in 10,000 that bands find). Each member of a band is held
-    against the band's centre; what is apart then is paired in bands of at most FEW
-    members, and meets in a prefix join where bands are larger; see connect().
+    against the band's centre, and against another where the first leaves members apart; what
+    is apart then is paired in bands of at most FEW members, and meets in a prefix join where bands are larger; see connect().
 
     Rows that share a doc_id share its places; a null doc_id comes last. Null and empty
     texts have no lines; a line of any length is one line (an executor holds a few
@@ -183,7 +183,7 @@ def dropped_lines(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT,
         most = F.floor((F.col("n") - F.col("pos")) * (100 + percent) / percent + 1e-9).cast("int") - F.col("n")
         return verified(prefix_pairs(rows.select("key", "id", "part", "sketch", "n", most.alias("most")), near))
 
-    found = materialize(components(connect(members, verified, settle, centres=1)), "found")
+    found = materialize(components(connect(members, verified, settle)), "found")
     rule = classes.select("h1", "h2", "n", "id").join(small(found), "id", "left").where("n > 1 OR component IS NOT NULL")
     rule = materialize(rule.select("h1", "h2", F.coalesce("component", "id").alias("part")), "rule")
     place = F.coalesce(F.col("doc_id"), F.lit(_LAST)).cast("decimal(38,0)") * F.lit(1 << 31) + F.col("pos")

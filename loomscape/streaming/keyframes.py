@@ -13,7 +13,7 @@ _OUT = "session long, frame_id long, blur double"
 _STATE = "anchor array<double>, best long, blur double"
 
 
-def keyframes(frames: DataFrame, least: float = 0.01) -> DataFrame:
+def keyframes(frames: DataFrame, least: float = 0.01, idle: float | None = None) -> DataFrame:
     """The sharpest frame of each run, once the run has ended.
 
     frames is a stream of (session long, frame_id long, blur double, signature
@@ -21,11 +21,16 @@ def keyframes(frames: DataFrame, least: float = 0.01) -> DataFrame:
     by frame_id. A run goes on while the mean difference of signatures from its first
     frame's stays below least; equally sharp frames go to the first. A row without a
     frame_id ends its session after the frames of its micro-batch: the last run is given
-    out, and what follows begins anew.
+    out, and what follows begins anew. A session that gets no frame for idle seconds of the
+    cluster's clock ends likewise, if idle is given; else it is kept until its end mark.
     """
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         anchor, best, blur = state.get if state.exists else (None, None, None)
+        if state.hasTimedOut:
+            state.remove()
+            yield pd.DataFrame([(key[0], best, blur)], columns=["session", "frame_id", "blur"])
+            return
         done, ended, held = [], False, []
         for batch in batches:
             ended |= bool(batch["frame_id"].isna().any())
@@ -45,6 +50,9 @@ def keyframes(frames: DataFrame, least: float = 0.01) -> DataFrame:
                 state.remove()
         elif anchor is not None:
             state.update(([float(x) for x in anchor], int(best), float(blur)))
+            if idle is not None:
+                state.setTimeoutDuration(max(1, int(idle * 1000)))
         yield pd.DataFrame(done, columns=["session", "frame_id", "blur"])
 
-    return frames.groupBy("session").applyInPandasWithState(run, _OUT, _STATE, "append", GroupStateTimeout.NoTimeout)
+    timeout = GroupStateTimeout.NoTimeout if idle is None else GroupStateTimeout.ProcessingTimeTimeout
+    return frames.groupBy("session").applyInPandasWithState(run, _OUT, _STATE, "append", timeout)

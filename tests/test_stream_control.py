@@ -64,3 +64,22 @@ def test_cancel_by_tag(spark):
 def test_tags_are_checked(spark):
     with pytest.raises(Exception), tagged(spark.sparkContext, "a,b"):
         pass
+
+
+def test_idle_sessions_give_their_last_run(spark, tmp_path):
+    from loomscape.streaming.keyframes import keyframes
+
+    schema = "session long, frame_id long, blur double, signature array<double>"
+    rows = [(1, 0, 0.2, [0.0]), (1, 1, 0.9, [0.0]), (1, 2, 0.5, [0.5]), (2, 0, 0.4, [0.1]), (3, None, None, None)]
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "in"))
+    frames = keyframes(paced_files(spark, str(tmp_path / "in"), schema), idle=2.0)
+    query = frames.writeStream.format("memory").queryName("idle_runs").option("checkpointLocation", str(tmp_path / "state")).trigger(processingTime="1 second").start()
+    try:
+        until = time.time() + 60
+        while time.time() < until and spark.table("idle_runs").count() < 3:
+            assert query.exception() is None
+            time.sleep(0.5)
+        found = sorted(tuple(r) for r in spark.table("idle_runs").collect())
+    finally:
+        query.stop()
+    assert found == [(1, 1, 0.9), (1, 2, 0.5), (2, 0, 0.4)]

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomscape.operators.runs import anchors, numbered
+
 # Extensions of photos and videos that are read.
 IMAGE_EXTENSIONS = ["bmp", "dng", "heic", "heif", "jpeg", "jpg", "png", "tif", "tiff"]
 VIDEO_EXTENSIONS = ["avi", "m2ts", "m4v", "mov", "mp4", "mts"]
@@ -38,36 +40,23 @@ def reject_blurry(frames: DataFrame, session: str, blur: str, factor: float = 0.
     return ranked.withColumn("_middle", middle).where(F.col(blur) >= factor * F.col("_middle")).drop("_rank", "_n", "_middle")
 
 
-def collapse_duplicates(frames: DataFrame, session: str, order: Sequence[str], blur: str, distance: Column | None, signature: str, least: float) -> DataFrame:
+def collapse_duplicates(frames: DataFrame, session: str, order: Sequence[str], blur: str, distance: Column | None, signature: str, least: float, bits: int = 16) -> DataFrame:
     """The sharpest frame of each run of near-equal ones.
 
     A run goes on while frames differ by less than least from its first frame, so that
-    drift adds up; the first of equally sharp frames stays. One ordered fold over each
-    session's frames; distance may be an expression of x and y (default: mean absolute
-    difference of signatures).
+    drift adds up; the first of equally sharp frames stays. Frames differ by the mean
+    absolute difference of their signatures (by 1 where lengths differ or one is null);
+    where distance is given, signatures are numbers, and a null or NaN differs from none.
+    No session is gathered: runs are found in blocks of 2 ** bits frames, and the best
+    of each run is combined before the shuffle. Null sessions are one session.
     """
-    from loomscape.functions.vectors import l1_distance
-
-    entry = F.struct(*order, F.col(blur).alias("_blur"), F.col(signature).alias("_sig"), F.struct(*frames.columns).alias("_row"))
-    rows = frames.groupBy(session).agg(F.sort_array(F.collect_list(entry)).alias("_rows"))
-    row_type = frames.schema.simpleString()
-    sig_type = dict(frames.dtypes)[signature]
-    begin = F.struct(F.lit(None).cast(sig_type).alias("anchor"), F.lit(None).cast("double").alias("blur"), F.lit(None).cast(row_type).alias("best"), F.array().cast(f"array<{row_type}>").alias("done"))
-
-    def step(acc: Column, x: Column) -> Column:
-        apart = l1_distance(acc["anchor"], x["_sig"]) if distance is None else F.abs(acc["anchor"] - x["_sig"])
-        new = acc["best"].isNull() | (apart >= least)
-        sharper = new | (x["_blur"] > acc["blur"])
-        done = F.when(new & acc["best"].isNotNull(), F.array_append(acc["done"], acc["best"])).otherwise(acc["done"])
-        return F.struct(
-            F.when(new, x["_sig"]).otherwise(acc["anchor"]).alias("anchor"),
-            F.when(sharper, x["_blur"].cast("double")).otherwise(acc["blur"]).alias("blur"),
-            F.when(sharper, x["_row"]).otherwise(acc["best"]).alias("best"),
-            done.alias("done"),
-        )
-
-    kept = F.aggregate("_rows", begin, step, lambda acc: F.when(acc["best"].isNull(), acc["done"]).otherwise(F.array_append(acc["done"], acc["best"])))
-    return rows.select(F.explode(kept).alias("_kept")).select("_kept.*")
+    sig_type = "double" if distance is not None else "array<double>"
+    rows = frames.select(F.struct(*frames.columns).alias("_f"), F.xxhash64(session).alias("_s"), F.col(session).alias("_k"), *(F.col(c).alias(f"_o{i}") for i, c in enumerate(order)), F.col(signature).cast(sig_type).alias("_sig"), F.col(blur).alias("_blur"))
+    keys = ["_k", *(f"_o{i}" for i in range(len(order)))]
+    ordered = numbered(rows, keys).drop(*keys)
+    runs = anchors(ordered, least, bits)
+    best = ordered.join(runs, "_row").groupBy("_anchor").agg(F.max_by("_f", F.struct("_blur", -F.col("_row"))).alias("_f"))
+    return best.select("_f.*")
 
 
 def budget(frames: DataFrame, session: str, order: Sequence[str], blur: str, target: int) -> DataFrame:

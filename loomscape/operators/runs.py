@@ -124,17 +124,17 @@ def anchors(ordered: DataFrame, least: float, bits: int = 16) -> DataFrame:
         ends = runs.groupBy(by).agg(F.min_by("_used", "_row").alias("used"), F.min_by("_s", "_row").alias("s"), F.max_by("_s", "_row").alias("last"), F.max_by("_anchor", "_row").alias("exit"))
         w = Window.orderBy("_block")  # a row a block
         right = F.when(F.lag("last").over(w) == F.col("s"), F.lag("exit").over(w)).otherwise(NONE)
-        blocks = cut(ends.select("_block", "used", right.alias("right")), "blocks")
-        wrong = blocks.where("used <> right").select(F.shiftright("_block", 1).alias("_block")).distinct()
-        if wrong.isEmpty():
-            discard(blocks)
+        # pairs of blocks of which one went wrong, and where the first of the two is entered
+        pairs = ends.select("_block", "used", right.alias("right")).groupBy(F.shiftright("_block", 1).alias("_block")).agg(F.bool_or(F.col("used") != F.col("right")).alias("wrong"), F.min_by("right", "_block").alias("_entry"))
+        entries = cut(pairs.where("wrong").select("_block", "_entry"), "entries")
+        if entries.isEmpty():
+            discard(entries)
             return runs.select("_row", "_anchor")
         bits += 1
-        entries = wrong.join(blocks.where("_block % 2 = 0").select(F.shiftright("_block", 1).alias("_block"), F.col("right").alias("_entry")), "_block")
         known = frames.select(F.col("_row").alias("_entry"), F.col("_sig").alias("_entry_sig"))
-        entries = cut(entries.join(known, "_entry", "left").withColumn("_entry", F.when(F.col("_entry") >= 0, F.col("_entry"))), "entries")
+        met = entries.join(known, "_entry", "left").withColumn("_entry", F.when(F.col("_entry") >= 0, F.col("_entry")))
         by = F.shiftright("_row", bits)
-        again = walked(frames.withColumn("_block", by).join(entries, "_block"))
+        again = walked(frames.withColumn("_block", by).join(met, "_block"))
         kept = runs.withColumn("_block", by).join(entries.select("_block"), "_block", "left_anti").drop("_block")
         before, runs = runs, cut(kept.unionByName(again), "runs")
-        discard(before, blocks, entries)
+        discard(before, entries)

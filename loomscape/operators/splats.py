@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomscape.functions import geometry as G
+from loomscape.sources.work import cut, discard
 
 TILE = 16
 ALPHA_LEAST = 1 / 255
@@ -165,37 +166,74 @@ def image_gradients(projected: DataFrame, target: DataFrame, pixels: int, width:
     return out.groupBy(ident).agg(*(F.sum(f"_d_{c}").alias(f"d_{c}") for c in [*colours, "logit"]), F.sum("_loss").alias("loss"), F.count("*").alias("seen"))
 
 
+def _cells(names: list[str], cell: float) -> dict[str, Column]:
+    return {f"_c{i}": F.floor(F.col(n) / cell) for i, n in enumerate(names)}
+
+
+def _nearest(pairs: DataFrame, names: list[str], need: int) -> DataFrame:
+    """id, radius, far and n of the nearest others among pairs of points."""
+    d2 = sum(((F.col(n) - F.col(f"o_{n}")) ** 2 for n in names[1:]), (F.col(names[0]) - F.col(f"o_{names[0]}")) ** 2)
+    ranked = pairs.where("id <> other").withColumn("d", F.sqrt(d2)).withColumn("r", F.row_number().over(Window.partitionBy("id").orderBy("d", "other")))
+    return ranked.where(F.col("r") <= need).groupBy("id").agg(F.avg("d").alias("radius"), F.max("d").alias("far"), F.count("*").alias("n"))
+
+
+def _descend(todo: DataFrame, every: DataFrame, names: list[str], cell: float, need: int) -> DataFrame:
+    """The nearest others of points whose neighbours stand cells away, through grids each
+    eight times as coarse as the next.
+
+    A cell has its number of points and their box. On each grid a point keeps the cells
+    that may hold a neighbour: those no farther than the distance within which cells that
+    are wholly nearer hold enough points. Only their cells on the next grid are looked at.
+    """
+    keys = [f"_c{i}" for i in range(len(names))]
+    box = [f"{e}{i}" for i in range(len(names)) for e in ("lo", "hi")]
+    ends = [f(f"{e}{i}").alias(f"{e}{i}") for i in range(len(names)) for e, f in (("lo", F.min), ("hi", F.max))]
+    first = every.withColumns({f"{e}{i}": F.col(f"o_{n}") for i, n in enumerate(names) for e in ("lo", "hi")}).groupBy(*keys)
+    grids = [cut(first.agg(F.count("*").alias("n"), *ends), "grid")]
+    while grids[-1].limit(65).count() > 64:  # ends: at last a cell or two are left along each axis
+        grids.append(cut(grids[-1].groupBy(*(F.shiftright(k, 3).alias(k) for k in keys)).agg(F.sum("n").alias("n"), *ends), "grid"))
+    top = F.array(*(F.struct(*(F.lit(r[c]).alias(c) for c in [*keys, "n", *box])) for r in grids[-1].collect()))
+    own = todo.withColumns({f"_own{i}": c for i, c in enumerate(_cells(names, cell).values())})
+    at = own.withColumn("_cell", F.explode(top)).select(*own.columns, "_cell.*")
+    for level in range(len(grids) - 1, -1, -1):
+        if level < len(grids) - 1:
+            parts = grids[level].withColumns({f"_up{i}": F.shiftright(k, 3) for i, k in enumerate(keys)})
+            up = at.select(*own.columns, *(F.col(k).alias(f"_up{i}") for i, k in enumerate(keys)))
+            at = up.join(parts, [f"_up{i}" for i in range(len(keys))]).select(*own.columns, *keys, "n", *box)
+        zero = F.lit(0.0)
+        off = [(F.greatest(F.col(f"lo{i}") - F.col(n), F.col(n) - F.col(f"hi{i}"), zero), F.greatest(F.abs(F.col(f"lo{i}") - F.col(n)), F.abs(F.col(f"hi{i}") - F.col(n)))) for i, n in enumerate(names)]
+        mine = F.lit(True)
+        for i, k in enumerate(keys):
+            mine = mine & (F.shiftright(f"_own{i}", 3 * level) == F.col(k))
+        at = at.withColumns({"_near": sum((x * x for x, _ in off), zero), "_far": sum((x * x for _, x in off), zero), "_others": F.col("n") - mine.cast("long")})
+        at = at.withColumn("_sum", F.sum("_others").over(Window.partitionBy("id").orderBy("_far")))
+        at = at.withColumn("_bound", F.min(F.when(F.col("_sum") >= need, F.col("_far"))).over(Window.partitionBy("id")))
+        at = at.where(F.col("_near") <= F.col("_bound") * (1 + 1e-9)).drop("_near", "_far", "_others", "_sum", "_bound")
+    out = cut(_nearest(at.select("id", *names, *keys).join(every, keys), names, need).select("id", "radius"), "nearest")
+    discard(*grids)
+    return out
+
+
 def nearest_radius(points: DataFrame, ident: str, names: list[str], cell: float, count: int = 3) -> DataFrame:
     """Mean distance to the nearest `count` other points (fewer where there are fewer).
 
     Points meet within blocks of cells of the given size: the neighbours found in the
-    27 cells around are right as soon as the last is nearer than a cell; points where
-    that fails are tried again with cells of twice the size.
+    cells around are right as soon as the last is nearer than a cell. Points where that
+    fails, as they stand apart, search a pyramid of grids from its top: see _descend.
     """
-    done: DataFrame | None = None
     todo = points.select(F.col(ident).alias("id"), *names)
     every = todo.select(F.col("id").alias("other"), *(F.col(n).alias(f"o_{n}") for n in names))
-    total = points.count()
-    need = min(count, max(0, total - 1))
-    while need:
-        cells = {f"_c{i}": F.floor(F.col(n) / cell) for i, n in enumerate(names)}
-        own = todo.withColumns(cells)
-        spread = every.withColumns({f"_c{i}": F.floor(F.col(f"o_{n}") / cell) for i, n in enumerate(names)})
-        for k in cells:
-            spread = spread.withColumn(k, F.explode(F.array(*(F.col(k) + d for d in (-1, 0, 1)))))
-        d2 = sum(((F.col(n) - F.col(f"o_{n}")) ** 2 for n in names[1:]), (F.col(names[0]) - F.col(f"o_{names[0]}")) ** 2)
-        met = own.join(spread, list(cells)).where("id <> other").withColumn("d", F.sqrt(d2))
-        ranked = met.withColumn("r", F.row_number().over(Window.partitionBy("id").orderBy("d", "other"))).where(F.col("r") <= need)
-        near = ranked.groupBy("id").agg(F.avg("d").alias("radius"), F.max("d").alias("far"), F.count("*").alias("n"))
-        sure = near.where((F.col("n") == need) & (F.col("far") <= cell)).select("id", "radius")
-        done = sure if done is None else done.unionByName(sure)
-        todo = todo.join(sure, "id", "left_anti")
-        if todo.isEmpty():
-            break
-        cell *= 2
-    if done is None:
-        return points.select(F.col(ident).alias("id"), F.lit(0.0).alias("radius"))
-    return done
+    every = every.withColumns({k: F.floor(F.col(f"o_{n}") / cell) for k, n in zip(_cells(names, cell), names, strict=True)})
+    need = min(count, max(0, todo.count() - 1))
+    if not need:
+        return todo.select("id", F.lit(0.0).alias("radius"))
+    around = todo.withColumns(_cells(names, cell))
+    for k in _cells(names, cell):
+        around = around.withColumn(k, F.explode(F.array(*(F.col(k) + d for d in (-1, 0, 1)))))
+    near = _nearest(around.join(every, list(_cells(names, cell))), names, need)
+    sure = cut(near.where((F.col("n") == need) & (F.col("far") <= cell)).select("id", "radius"), "nearest")
+    left = todo.join(sure, "id", "left_anti")
+    return sure if left.isEmpty() else sure.unionByName(_descend(left, every, names, cell, need))
 
 
 def scene_extent(points: DataFrame, names: list[str]) -> DataFrame:

@@ -220,8 +220,11 @@ def nearest_radius(points: DataFrame, ident: str, names: list[str], cell: float,
     Points meet within blocks of cells of the given size: the neighbours found in the
     cells around are right as soon as the last is nearer than a cell. Points where that
     fails, as they stand apart, search a pyramid of grids from its top: see _descend.
+    Points without all coordinates have no row and are nobody's neighbours.
     """
     todo = points.select(F.col(ident).alias("id"), *names)
+    for n in names:
+        todo = todo.where(F.col(n).isNotNull() & ~F.isnan(n))
     every = todo.select(F.col("id").alias("other"), *(F.col(n).alias(f"o_{n}") for n in names))
     every = every.withColumns({k: F.floor(F.col(f"o_{n}") / cell) for k, n in zip(_cells(names, cell), names, strict=True)})
     need = min(count, max(0, todo.count() - 1))

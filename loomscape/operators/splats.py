@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomscape.functions import geometry as G
+from loomscape.functions.tiles_np import SHAPE, blender, differentiator
 from loomscape.sources.work import cut, discard
 
 TILE = 16
@@ -86,26 +87,67 @@ def coverage(projected: DataFrame, width: int, height: int) -> DataFrame:
     return out.drop("_power", "_room", "_low", "_high")
 
 
+def _queues(projected: DataFrame, width: int, height: int, columns: list[str], ident: str, size: int = TILE) -> DataFrame:
+    """A row for each tile with a pixel that a primitive may colour: within its radius,
+    rounded outwards, and where alpha may reach 1/255."""
+    room, det = 2 * F.ln(F.col("opacity") / ALPHA_LEAST), F.col("ka") * F.col("kc") - F.col("kb") * F.col("kb")
+
+    def reach(other: str) -> Column:
+        whole = F.col("radius") + 1
+        return F.when(det > 0, F.least(whole, F.sqrt(F.greatest(room, F.lit(0.0)) * F.col(other) / det) * (1 + 1e-6) + 1e-3)).otherwise(whole)
+
+    def span(centre: str, far: str, cells: int) -> Column:
+        low = F.greatest(F.floor((F.col(centre) - F.col(far)) / size), F.lit(0))
+        high = F.least(F.floor((F.col(centre) + F.col(far)) / size), F.lit(cells - 1))
+        return F.explode(F.when(low <= high, F.sequence(low.cast("int"), high.cast("int"))))
+
+    rows = projected.select(ident, "depth", *SHAPE, *columns).withColumns({"_rx": reach("kc"), "_ry": reach("ka"), "_room": room}).where("_room >= -1e-9")
+    out = rows.withColumn("ty", span("v", "_ry", -(-height // size))).withColumn("tx", span("u", "_rx", -(-width // size)))
+    return out.select("tx", "ty", F.lit(1).alias("kind"), "depth", ident, *SHAPE, *columns)
+
+
+def _by_tile(queues: DataFrame, own: DataFrame | None, ident: str) -> DataFrame:
+    """Each tile's own row and then its queue from front to back, in one partition."""
+    rows = queues if own is None else queues.unionByName(own.withColumn("kind", F.lit(0)), allowMissingColumns=True)
+    # a number, so that tiles of little data are still dealt out
+    return rows.repartition(2 * rows.sparkSession.sparkContext.defaultParallelism, "tx", "ty").sortWithinPartitions("tx", "ty", "kind", "depth", ident)
+
+
+def _picture(projected: DataFrame, width: int, height: int, colours: list[str], ident: str, slabs: int) -> tuple[DataFrame, DataFrame]:
+    """All primitives' queues, and tx, ty, light, last and the colours' sums of each tile."""
+    queues = _queues(projected, width, height, colours, ident)
+    blend = blender(TILE, width, height, colours)
+    schema = "tx int, ty int, light array<double>, last double, " + ", ".join(f"`{c}` array<double>" for c in colours)
+    begun = ["tx", "ty", "light", "last", *(F.col(c).alias(f"s_{c}") for c in colours)]
+    none = queues.sparkSession.createDataFrame([], schema).select(*begun)
+    first = projected.approxQuantile("depth", [1 / slabs], 0.01) if slabs > 1 else []
+    if not first:
+        return queues, cut(_by_tile(queues, none, ident).mapInArrow(blend, schema), "tiles")
+    front = cut(_by_tile(queues.where(F.col("depth") <= first[0]), none, ident).mapInArrow(blend, schema), "tiles")
+    seen = F.exists("light", lambda x: x > ALPHA_LEAST)
+    shut = front.where(~seen)
+    # tiles that the front closes look at nothing behind it
+    rest = queues.where(F.col("depth") > first[0]).join(F.broadcast(shut.select("tx", "ty")), ["tx", "ty"], "left_anti")
+    whole = cut(_by_tile(rest, front.where(seen).select(*begun), ident).mapInArrow(blend, schema).unionByName(shut), "tiles")
+    discard(front)
+    return queues, whole
+
+
 def render(projected: DataFrame, width: int, height: int, colours: list[str], background: list[float], ident: str = "splat_id", slabs: int = 16) -> DataFrame:
     """x, y, colours and what is let through, for each pixel that a primitive colours;
     the others show the background.
 
-    Front to back by (depth, ident), until 1/255 or less is let through. Depths are cut
-    into slabs of about as many primitives each: what each slab lets through is a product
-    that is combined before the shuffle, and tells with what light the next one begins and
-    whether it is seen at all. So pixels that very many primitives cover are dealt out
-    by slab, and what is hidden is not sorted.
+    Front to back by (depth, ident), until 1/255 or less is let through. Primitives queue
+    at the tiles that they may colour, and a tile's queue is held against its open pixels
+    until there are none: memory is one tile's, and work follows what is seen, not the
+    pixels that primitives cover. The nearest of slabs parts of the primitives goes
+    first; the rest queues at tiles that are still open then.
     """
-    cuts = sorted(set(projected.approxQuantile("depth", [k / slabs for k in range(1, slabs)], 0.01))) if slabs > 1 else []
-    slab = sum(((F.col("depth") >= c).cast("int") for c in cuts), F.lit(0))
-    rows = coverage(projected, width, height).select("x", "y", slab.alias("slab"), "depth", ident, "alpha", *colours)
-    through = rows.groupBy("x", "y", "slab").agg(F.product(1 - F.col("alpha")).alias("_through"))
-    before = Window.partitionBy("x", "y").orderBy("slab").rowsBetween(Window.unboundedPreceding, -1)
-    begin = through.withColumn("_begin", F.coalesce(F.product("_through").over(before), F.lit(1.0))).where(F.col("_begin") > 1 / 255).drop("_through")
-    within = Window.partitionBy("x", "y", "slab").orderBy("depth", ident).rowsBetween(Window.unboundedPreceding, -1)
-    lit = rows.join(begin, ["x", "y", "slab"]).withColumn("_t", F.col("_begin") * F.coalesce(F.product(1 - F.col("alpha")).over(within), F.lit(1.0))).where(F.col("_t") > 1 / 255)
-    sums = lit.groupBy("x", "y").agg(*(F.sum(F.col(c) * F.col("alpha") * F.col("_t")).alias(c) for c in colours), F.min(F.col("_t") * (1 - F.col("alpha"))).alias("through"))
-    return sums.withColumns({c: F.col(c) + b * F.col("through") for c, b in zip(colours, background, strict=True)})
+    _, tiles = _picture(projected, width, height, colours, ident, slabs)
+    pixels = tiles.select("tx", "ty", F.posexplode(F.arrays_zip("light", *colours)).alias("_at", "_p"))
+    x, y = F.col("tx") * TILE + F.col("_at") % TILE, F.col("ty") * TILE + F.floor(F.col("_at") / TILE).cast("int")
+    out = pixels.where("_p.light < 1").select(x.alias("x"), y.alias("y"), *(F.col(f"_p.{c}").alias(c) for c in colours), F.col("_p.light").alias("through"))
+    return out.withColumns({c: F.col(c) + b * F.col("through") for c, b in zip(colours, background, strict=True)})
 
 
 def composite(rows: DataFrame, keys: list[str], order: list[str], colours: list[str], alpha: str = "alpha", background: float = 0.0) -> DataFrame:
@@ -139,31 +181,33 @@ def blend_gradients(rows: DataFrame, keys: list[str], order: list[str], colour:
     return out.withColumns({"d_colour": F.col(upstream) * F.col(alpha) * F.col("t"), "d_alpha": d_alpha}).drop("front", "total", "mine")
 
 
-def image_gradients(projected: DataFrame, target: DataFrame, pixels: int, width: int, height: int, colours: list[str], background: list[float], ident: str = "splat_id") -> DataFrame:
+def image_gradients(projected: DataFrame, target: DataFrame, pixels: int, width: int, height: int, colours: list[str], background: list[float], ident: str = "splat_id", slabs: int = 16) -> DataFrame:
     """ident, d_ of each colour and of logit, loss and seen: how the mean absolute difference
-    from the target (x, y and colours t_*) over pixels times channels changes.
-
-    One ordered window over each pixel's primitives gives what each lets through and what
-    stands before it; what stands behind is the pixel's total less both, the background
-    among it. Gradients are combined before the shuffle. loss is a primitive's part of the
-    summed difference of the pixels that it is the first to colour, so that the parts of
-    all primitives add up to that of the pixels that any colours.
+    from the target (x, y and colours t_*, a row for each pixel) over pixels times channels
+    changes.
+
+    The picture is made first, tile by tile: see render(). Queues then go by once more, as
+    far as anything is seen: what stands behind a primitive is the pixel's total less what
+    stands before it and itself, the background among it. Gradients are summed by tile
+    before the shuffle. loss is a primitive's part of the summed difference of the pixels
+    that it is the first to colour, so that the parts of all primitives add up to that of
+    the pixels that any colours.
     """
-    order = Window.partitionBy("x", "y").orderBy("depth", ident)
-    before, whole = order.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy("x", "y")
-    rows = coverage(projected, width, height).select("x", "y", "depth", ident, "alpha", "opacity", *colours)
-    rows = rows.withColumn("_t", F.coalesce(F.product(1 - F.col("alpha")).over(before), F.lit(1.0))).where(F.col("_t") > 1 / 255)
-    rows = rows.withColumns({f"_m_{c}": F.col(c) * F.col("alpha") * F.col("_t") for c in colours})
-    rows = rows.withColumns({"_end": F.min(F.col("_t") * (1 - F.col("alpha"))).over(whole), "_first": F.row_number().over(order) == 1})
-    rows = rows.withColumns({f"_f_{c}": F.coalesce(F.sum(f"_m_{c}").over(before), F.lit(0.0)) for c in colours} | {f"_a_{c}": F.sum(f"_m_{c}").over(whole) + b * F.col("_end") for c, b in zip(colours, background, strict=True)})
-    met = rows.join(target.select("x", "y", *(F.col(f"t_{c}") for c in colours)), ["x", "y"])
-    part = 1.0 / (pixels * len(colours))
-    up = {c: F.signum(F.col(f"_a_{c}") - F.col(f"t_{c}")) * part for c in colours}
-    terms = [up[c] * (F.col(c) * F.col("_t") - (F.col(f"_a_{c}") - F.col(f"_f_{c}") - F.col(f"_m_{c}")) / (1 - F.col("alpha"))) for c in colours]
-    d_alpha = sum(terms[1:], terms[0])
-    off = [F.abs(F.col(f"_a_{c}") - F.col(f"t_{c}")) * part for c in colours]
-    out = met.withColumns({f"_d_{c}": up[c] * F.col("alpha") * F.col("_t") for c in colours} | {"_d_logit": F.when(F.col("alpha") < 0.99, d_alpha * F.col("alpha") * (1 - F.col("opacity"))).otherwise(0.0), "_loss": F.when(F.col("_first"), sum(off[1:], off[0])).otherwise(0.0)})
-    return out.groupBy(ident).agg(*(F.sum(f"_d_{c}").alias(f"d_{c}") for c in [*colours, "logit"]), F.sum("_loss").alias("loss"), F.count("*").alias("seen"))
+    queues, tiles = _picture(projected, width, height, colours, ident, slabs)
+    total = lambda c, b: F.zip_with(c, "light", lambda s, t: s + b * t).alias(f"s_{c}")
+    picture = tiles.where(F.col("last").isNotNull()).select("tx", "ty", "last", *(total(c, b) for c, b in zip(colours, background, strict=True)))
+    place = (F.col("y") % TILE * TILE + F.col("x") % TILE).cast("int")
+    dealt = target.select(F.floor(F.col("x") / TILE).cast("int").alias("tx"), F.floor(F.col("y") / TILE).cast("int").alias("ty"), place.alias("_at"), *(f"t_{c}" for c in colours))
+    # a tile has no more pixels than this
+    goals = dealt.groupBy("tx", "ty").agg(*(F.map_from_entries(F.collect_list(F.struct("_at", F.col(f"t_{c}").cast("double")))).alias(f"t_{c}") for c in colours))
+    every = F.sequence(F.lit(0), F.lit(TILE * TILE - 1))
+    filled = {f"t_{c}": F.transform(every, lambda i: F.coalesce(F.col(f"t_{c}")[i], F.lit(float("nan")))) for c in colours}  # noqa: B023
+    own = picture.join(goals.withColumns(filled), ["tx", "ty"])
+    near = queues.join(F.broadcast(own.select("tx", "ty", "last")), ["tx", "ty"]).where("depth <= last").drop("last")
+    kinds = dict(projected.dtypes)
+    schema = f"`{ident}` {kinds[ident]}, " + ", ".join(f"`d_{c}` double" for c in [*colours, "logit"]) + ", loss double, seen long"
+    parts = _by_tile(near, own.drop("last"), ident).mapInArrow(differentiator(TILE, width, height, colours, ident, 1.0 / (pixels * len(colours))), schema)
+    return parts.groupBy(ident).agg(*(F.sum(c).alias(c) for c in parts.columns[1:]))
 
 
 def _cells(names: list[str], cell: float) -> dict[str, Column]:

@@ -134,7 +134,10 @@ def anchors(ordered: DataFrame, least: float, bits: int = 16) -> DataFrame:
         known = frames.select(F.col("_row").alias("_entry"), F.col("_sig").alias("_entry_sig"))
         met = entries.join(known, "_entry", "left").withColumn("_entry", F.when(F.col("_entry") >= 0, F.col("_entry")))
         by = F.shiftright("_row", bits)
-        again = walked(frames.withColumn("_block", by).join(met, "_block"))
+        # broadcast, a row a block: after a join by _block the repartition in walked() would be
+        # taken for done, and a join that turns into a broadcast one reads by mapper then,
+        # which splits a block over tasks
+        again = walked(frames.withColumn("_block", by).join(F.broadcast(met), "_block"))
         kept = runs.withColumn("_block", by).join(entries.select("_block"), "_block", "left_anti").drop("_block")
         before, runs = runs, cut(kept.unionByName(again), "runs")
         discard(before, entries)

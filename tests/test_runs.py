@@ -83,3 +83,19 @@ def test_a_session_of_a_million_frames_ends(spark):
     got = FR.collapse_duplicates(df, "s", ["i"], "b", F.lit(True), "v", 12.45).agg(F.count("*"), F.min("i"), F.max("i")).first()
     # the first of a run is 100 frames after that of the one before: drift over 12.45
     assert got[0] == n // 2 // 100 + 1 and time.time() - begin < 120
+
+
+def test_a_block_is_walked_in_one_piece_by_whatever_join(spark):
+    """Values that come in long plateaus, in sessions that begin and end within blocks."""
+    rng = random.Random(7)
+    rows = [(f"s{i // 4100}", i, float(rng.randrange(50)), v) for i, v in enumerate(v for _ in range(12_000) for v in [rng.expovariate(0.1)] * 10)]
+    df = spark.createDataFrame(rows, "s string, i int, b double, v double").repartition(16)
+    late = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "10485760"}  # joins turn when they run
+    for k, v in late.items():
+        spark.conf.set(k, v)
+    try:
+        got = FR.collapse_duplicates(df, "s", ["i"], "b", F.lit(True), "v", 15.0, 14).collect()
+    finally:
+        for k in late:
+            spark.conf.unset(k)
+    assert sorted(repr(tuple(r)) for r in got) == by_hand(rows, 15.0, lambda a, b: abs(a - b))

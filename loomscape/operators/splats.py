@@ -306,7 +306,8 @@ def framing(points: DataFrame, names: list[str], fov: float) -> DataFrame:
     place = min(centre["n"] - 1, int(0.9 * centre["n"]))
     ordered = points.select(F.sqrt(off).alias("d")).repartitionByRange("d").sortWithinPartitions("d").withColumn("_at", F.monotonically_increasing_id())
     part, at = F.shiftright("_at", 33), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
-    ordered = ordered.select("d", part.alias("part"), at.alias("at"))
+    # written, as another run of the range sort would sample other bounds
+    ordered = cut(ordered.select("d", part.alias("part"), at.alias("at")), "ranked")
     for r in sorted(ordered.groupBy("part").agg(F.count("*").alias("n")).collect()):
         if place < r["n"]:
             break

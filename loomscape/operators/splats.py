@@ -217,7 +217,7 @@ def _cells(names: list[str], cell: float) -> dict[str, Column]:
 def _nearest(pairs: DataFrame, names: list[str], need: int) -> DataFrame:
     """id, radius, far and n of the nearest others among pairs of points."""
     d2 = sum(((F.col(n) - F.col(f"o_{n}")) ** 2 for n in names[1:]), (F.col(names[0]) - F.col(f"o_{names[0]}")) ** 2)
-    ranked = pairs.where("id <> other").withColumn("d", F.sqrt(d2)).withColumn("r", F.row_number().over(Window.partitionBy("id").orderBy("d", "other")))
+    ranked = pairs.where(~F.col("id").eqNullSafe(F.col("other"))).withColumn("d", F.sqrt(d2)).withColumn("r", F.row_number().over(Window.partitionBy("id").orderBy("d", "other")))
     return ranked.where(F.col("r") <= need).groupBy("id").agg(F.avg("d").alias("radius"), F.max("d").alias("far"), F.count("*").alias("n"))
 
 
@@ -261,26 +261,41 @@ def _descend(todo: DataFrame, every: DataFrame, names: list[str], cell: float, n
 def nearest_radius(points: DataFrame, ident: str, names: list[str], cell: float, count: int = 3) -> DataFrame:
     """Mean distance to the nearest `count` other points (fewer where there are fewer).
 
-    Points meet within blocks of cells of the given size: the neighbours found in the
-    cells around are right as soon as the last is nearer than a cell. Points where that
-    fails, as they stand apart, search a pyramid of grids from its top: see _descend.
-    Points without all coordinates have no row and are nobody's neighbours.
+    Points meet within blocks of cells, of the given size or, where cells hold many points,
+    a part of it: the neighbours found in the cells around are right as soon as the last
+    is nearer than a cell. Points where that fails, as they stand apart, search a pyramid
+    of grids from its top: see _descend. More than `count` points in one place have
+    radius 0, and stand for `count` neighbours of others. Points without all coordinates
+    have no row and are nobody's neighbours.
     """
     todo = points.select(F.col(ident).alias("id"), *names)
     for n in names:
         todo = todo.where(F.col(n).isNotNull() & ~F.isnan(n))
-    every = todo.select(F.col("id").alias("other"), *(F.col(n).alias(f"o_{n}") for n in names))
-    every = every.withColumns({k: F.floor(F.col(f"o_{n}") / cell) for k, n in zip(_cells(names, cell), names, strict=True)})
-    need = min(count, max(0, todo.count() - 1))
+    total = todo.count()
+    need = min(count, max(0, total - 1))
     if not need:
         return todo.select("id", F.lit(0.0).alias("radius"))
+    heaps = cut(todo.groupBy(*names).agg(F.count("*").alias("_n")).where(F.col("_n") > need).select(*names), "heaps")
+    heaped = todo.join(heaps, names, "left_semi").select("id", F.lit(0.0).alias("radius"))
+    todo = cut(todo.join(heaps, names, "left_anti").select("id", *names), "points")
+    if todo.isEmpty():
+        return heaped
+    some = heaps.withColumn("_k", F.explode(F.sequence(F.lit(1), F.lit(need)))).select(F.lit(None).cast(dict(todo.dtypes)["id"]).alias("id"), *names)
+    every = todo.unionByName(some).select(F.col("id").alias("other"), *(F.col(n).alias(f"o_{n}") for n in names))
+    met = lambda size: every.groupBy(*_cells([f"o_{n}" for n in names], size).values()).agg(F.count("*").alias("n")).agg(F.sum(F.col("n") * F.col("n"))).first()[0]
+    for _ in range(16):  # a quarter of the size each time, while points have more than some 64 others in their cell
+        if met(cell) <= 64 * total:
+            break
+        cell /= 4
+    every = every.withColumns({k: F.floor(F.col(f"o_{n}") / cell) for k, n in zip(_cells(names, cell), names, strict=True)})
     around = todo.withColumns(_cells(names, cell))
     for k in _cells(names, cell):
         around = around.withColumn(k, F.explode(F.array(*(F.col(k) + d for d in (-1, 0, 1)))))
     near = _nearest(around.join(every, list(_cells(names, cell))), names, need)
     sure = cut(near.where((F.col("n") == need) & (F.col("far") <= cell)).select("id", "radius"), "nearest")
     left = todo.join(sure, "id", "left_anti")
-    return sure if left.isEmpty() else sure.unionByName(_descend(left, every, names, cell, need))
+    out = heaped.unionByName(sure)
+    return out if left.isEmpty() else out.unionByName(_descend(left, every, names, cell, need))
 
 
 def scene_extent(points: DataFrame, names: list[str]) -> DataFrame:

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import math
 import random
+import time
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -53,3 +55,16 @@ def test_an_outlier_does_not_meet_every_point(spark):
     df = df.unionByName(spark.createDataFrame([(-1, 1e6, 10.0)], "id long, x double, y double"))
     got = S.nearest_radius(df, "id", ["x", "y"], 1.5).where("id = -1").first().radius
     assert got == pytest.approx((2 * math.hypot(1e6 - 399, 1) + 1e6 - 399) / 3, rel=1e-12)
+
+
+def test_cells_of_very_many_points(spark):
+    """40,000 points in one cell, some of them in one place, are not all compared."""
+    points = {i: ((i * 7919 % 40_000) / 4e4, (i * 104_729 % 39_989) / 4e4) for i in range(40_000)} | {40_000 + i: (0.5, 0.25 + (i % 2) / 4) for i in range(20_000)}
+    df = spark.createDataFrame([(i, *p) for i, p in points.items()], "pt int, x double, y double")
+    began = time.time()
+    got = {r.id: r.radius for r in S.nearest_radius(df, "pt", ["x", "y"], 8.0).collect()}
+    assert time.time() - began < 60 and got.keys() == points.keys() and not any(got[i] for i in range(40_000, 60_000))
+    xy = np.array(list(points.values()))
+    for i in range(0, 40_000, 997):
+        d = np.sort(np.hypot(*(xy - xy[i]).T))[1:4]
+        assert got[i] == pytest.approx(d.mean(), rel=1e-9)

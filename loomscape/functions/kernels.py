@@ -4,14 +4,12 @@ from __future__ import annotations
 
 import numpy as np
 
-_ONES = np.array([bin(i).count("1") for i in range(256)], dtype=np.int64)
-
 
 def distances(a: np.ndarray, b: np.ndarray, bits: bool = False) -> np.ndarray:
     """Squared Euclidean distances, exact for integers; or Hamming distances of bytes."""
     if bits:
-        return _ONES[a[:, None, :].astype(np.uint8) ^ b[None, :, :].astype(np.uint8)].sum(axis=2)
-    if np.issubdtype(a.dtype, np.integer) and np.issubdtype(b.dtype, np.integer):
+        a, b = (np.unpackbits(x.astype(np.uint8), axis=1).astype(np.float64) for x in (a, b))
+    elif np.issubdtype(a.dtype, np.integer) and np.issubdtype(b.dtype, np.integer):
         a, b = a.astype(np.int64), b.astype(np.int64)
         low = max(abs(int(a.min(initial=0))), abs(int(a.max(initial=0))), abs(int(b.min(initial=0))), abs(int(b.max(initial=0))))
         if low < 1 << 20:  # products and sums stay exact in float64

@@ -253,13 +253,10 @@ FROM d a JOIN d b ON b.label = a.label + 1),
 r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY distance, b) AS rn, lead(distance) OVER (PARTITION BY a ORDER BY distance, b) AS second FROM p)
 SELECT a, b, distance::BIGINT AS distance FROM r WHERE rn = 1 AND (second IS NULL OR distance < 0.95 * second)""")
 def hamming_match(spark, sf):
-    bit = lambda k: F.aggregate(F.sequence(F.lit(0), F.lit(15)), F.lit(0).cast("long"), lambda s, i: s + F.when(F.get("embedding", i + 16 * k) > 0, F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(0))
-    d = load(spark, sf, "embeddings").select("vec_id", "label", *(bit(k).alias(f"d{k}") for k in range(4)))
-    a = d.select(F.col("vec_id").alias("a"), (F.col("label") + 1).alias("pair"), *(F.col(f"d{k}").alias(f"a{k}") for k in range(4)))
-    b = d.select(F.col("vec_id").alias("b"), F.col("label").alias("pair"), *(f"d{k}" for k in range(4)))
-    apart = V.hamming([F.col(f"a{k}") for k in range(4)], [F.col(f"d{k}") for k in range(4)])
-    pairs = a.join(b, "pair").select("a", "b", apart.alias("distance"))
-    return M.ratio_test(M.nearest_two(pairs, ["a"], "b", "distance"), "distance", 0.95).select("a", "b", "distance")
+    # squared distances of sign bits are the numbers of bits that differ
+    d = load(spark, sf, "embeddings").select("vec_id", "label", F.transform(F.slice("embedding", 1, 64), lambda x: F.when(x > 0, 1).otherwise(0).cast("long")).alias("v"))
+    out = M.match_descriptors(d.withColumn("pair", F.col("label") + 1), d.withColumn("pair", F.col("label")), "pair", "vec_id", "v", 0.95, cross_check=False)
+    return out.select(F.col("query_id").alias("a"), F.col("train_id").alias("b"), F.col("distance").cast("long").alias("distance"))
 
 
 _L2 = """WITH e AS (SELECT vec_id, label, list_transform(embedding, lambda x: floor(x::DOUBLE * 255)::BIGINT) AS v FROM embeddings),

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,6 +44,34 @@ def band_candidates(lines: DataFrame, points: DataFrame, pair: str, reach: float
     return own.join(placed, [pair, "_cx", "_cy"]).withColumn("off", off).where(F.col("off") < reach).drop("_cx", "_cy", "_norm")
 
 
+def _walker(pair: str, query: str, train: str, distance: str, ratio: float, ceiling: float):
+    """The claims of candidates in order of pair, query, distance and train."""
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own, free, taken = None, [], set()  # the query that goes on, and its two nearest free ones
+
+        def claims() -> bool:
+            return bool(free) and free[0][1] <= ceiling and (len(free) < 2 or free[0][1] < ratio * free[1][1])
+
+        for rows in batches:
+            out = []
+            for at in zip(*(rows[c].tolist() for c in (pair, query, train, distance)), strict=True):
+                if at[:2] != own:
+                    if own and claims():
+                        out.append((*own, *free[0]))
+                        taken.add(free[0][0])
+                    if not own or at[0] != own[0]:
+                        taken = set()
+                    own, free = at[:2], []
+                if len(free) < 2 and at[2] not in taken:
+                    free.append(at[2:])
+            yield pd.DataFrame(out, columns=[pair, query, train, distance])
+        if own and claims():
+            yield pd.DataFrame([(*own, *free[0])], columns=[pair, query, train, distance])
+
+    return walk
+
+
 def claim_in_order(candidates: DataFrame, pair: str, query: str, train: str, distance: str, ratio: float, ceiling: float = float("inf")) -> DataFrame:
     """One-to-one matches (pair, query, train, distance) of candidates of those columns.
 
@@ -48,17 +79,21 @@ def claim_in_order(candidates: DataFrame, pair: str, query: str, train: str, dis
     train rows that none has claimed, and claims the nearest (the smaller of equal ones) if
     that is within the ceiling and nearer than ratio times the next, should there be one.
 
-    Done in rounds over all pairs at once. A query's outcome is settled as soon as no
-    earlier unsettled one has either of its two nearest free train rows among its
-    candidates: nobody else can change them. All such queries are settled in one round, and
-    leave with what they claimed; the first query left of a pair is always among them, and
-    rounds follow the longest chain of queries that wait for each other, not their number.
-    No pair's candidates are gathered; an empty table has no matches.
+    Queries without a candidate within the ceiling claim nothing and go. Then rounds over
+    all pairs at once: a query's outcome is settled as soon as no earlier unsettled one has
+    either of its two nearest free train rows among its candidates, as nobody else can
+    change them. All such queries leave in one round with what they claimed. As soon as a
+    round settles less than half of the candidates left, which chains of queries that
+    wait for each other bring about, the rest of each pair is walked in order, in a task
+    that keeps the claimed train rows and one query. An empty table has no matches.
     """
     key = [pair, query]
-    left = cut(candidates.select(*key, train, distance).where(F.col(distance) <= ceiling / ratio), "claims")
+    near = Window.partitionBy(*key)
+    left = candidates.select(*key, train, distance).where(F.col(distance) <= ceiling / ratio)
+    left = cut(left.withColumn("_least", F.min(distance).over(near)).where(F.col("_least") <= ceiling).drop("_least"), "claims")
     done: list[DataFrame] = []
-    while not left.isEmpty():
+    count, shrinks = left.count(), True
+    while count and shrinks:
         head = left.groupBy(pair, train).agg(F.min(query).alias("_head"))
         near = Window.partitionBy(*key).orderBy(distance, train)
         two = left.withColumn("_rank", F.row_number().over(near)).where("_rank <= 2").join(head, [pair, train])
@@ -71,12 +106,14 @@ def claim_in_order(candidates: DataFrame, pair: str, query: str, train: str, dis
         rest = left.join(settled.select(*key), key, "left_anti").join(settled.where("_claims").select(pair, train), [pair, train], "left_anti")
         before, left = left, cut(rest, "claims")
         discard(before)
-    if not done:
-        return left
-    out = done[0]
-    for more in done[1:]:
-        out = out.unionByName(more)
-    return out.where("_claims").drop("_claims")
+        had, count = count, left.count()
+        shrinks = 2 * count <= had
+    ordered = left.repartition(pair).sortWithinPartitions(*key, distance, train)
+    out = ordered.mapInPandas(_walker(pair, query, train, distance, ratio, ceiling), left.schema)
+    out = cut(out, "claims") if count else left
+    for more in done:
+        out = out.unionByName(more.where("_claims").drop("_claims"))
+    return out.select(*key, train, distance)
 
 
 def guided_matches(lines: DataFrame, points: DataFrame, pair: str, distance: Column, reach: float, cell: float, ratio: float = 0.95, ceiling: float = float("inf")) -> DataFrame:

@@ -6,6 +6,7 @@ DataFrame functions only.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -93,7 +94,8 @@ def judge(measured: DataFrame, cut: float = CUT, most_steps: int = MOST_STEPS) -
     language and source exceeds cut. Centre and scatter minimise the covariance
     determinant over half of the group, (n + p + 1) / 2 of n: from medians, with quartiles
     and with the least scales, each step takes the half that is nearest and its mean and
-    covariance until the determinant falls no more; the start with the smaller one counts.
+    covariance. A group's start is done, and its rows take no further step, as soon as its
+    determinant falls no more; the least one of all steps and both starts counts.
     Scatter is scaled by the median
     distance, and no direction is narrower than the statistics' least scales, so that
     groups of equal documents reject nothing for trifles. Estimates are made for each
@@ -125,10 +127,12 @@ def judge(measured: DataFrame, cut: float = CUT, most_steps: int = MOST_STEPS) -
     narrow = {f"c{i}{j}": F.lit(least[i] ** 2 if i == j else 0.0) for i in range(p) for j in range(i + 1)}
     starts = [quart.select("_group", F.lit(k).alias("_start"), *(c.alias(n) for n, c in (centre | own).items())) for k, own in enumerate((spread, narrow))]
     model = materialize(starts[0].unionByName(starts[1]), "model")
-    last, key = None, ["_group", "_start"]
+    key = ["_group", "_start"]
+    cells = [*(f"m{i}" for i in range(p)), *(f"c{i}{j}" for i in range(p) for j in range(i + 1))]
     shares = [k / 100 for k in range(50, 101)]
+    model, steps = model.withColumn("det", F.lit(None).cast("double")), []
     for _ in range(most_steps):
-        far = _with_distance(rows, hint(_factored(model)), "_group", extra=["_start"])
+        far = _with_distance(rows, hint(_factored(model.withColumnRenamed("det", "was"))), "_group", extra=["_start"])
         bound = far.groupBy(*key).agg(F.count("*").alias("n"), F.percentile_approx("distance", shares, 1000).alias("b"))
         share = F.ceil(100 * F.least((F.col("n") + p + 1) / (2 * F.col("n")), F.lit(1.0)) - 1e-9).cast("int")
         bound = materialize(bound.select(*key, F.get("b", share - 50).alias("bound")), "bounds")
@@ -137,17 +141,20 @@ def judge(measured: DataFrame, cut: float = CUT, most_steps: int = MOST_STEPS) -
         # sums of products about the former centre keep their digits
         about = [F.avg((F.col(f"x{i}") - F.col(f"o{i}")) * (F.col(f"x{j}") - F.col(f"o{j}"))).alias(f"p{i}{j}") for i in range(p) for j in range(i + 1)]
         shift = [F.avg(F.col(f"x{i}") - F.col(f"o{i}")).alias(f"s{i}") for i in range(p)]
-        new = near.groupBy(*key).agg(*means, *about, *shift)
+        new = near.groupBy(*key).agg(*means, *about, *shift, F.min("was").alias("was"))
         ridge = lambda i, j: F.lit((0.1 * least[i]) ** 2 if i == j else 0.0)
         cov = [(F.col(f"p{i}{j}") - F.col(f"s{i}") * F.col(f"s{j}") + ridge(i, j)).alias(f"c{i}{j}") for i in range(p) for j in range(i + 1)]
-        model = materialize(new.select(*key, *(f"m{i}" for i in range(p)), *cov), "model")
-        now = _factored(model).select(*key, sum((F.log(f"l{i}{i}") for i in range(1, p)), F.log("l00")).alias("det")).coalesce(1)
-        fall = last is not None and last.join(now.withColumnRenamed("det", "new"), key).agg(F.max(F.col("det") - F.col("new"))).first()[0]
-        if last is not None and (fall is None or fall < 1e-4):
+        new = _factored(new.select(*key, *(f"m{i}" for i in range(p)), *cov, "was"))
+        det = sum((F.log(f"l{i}{i}") for i in range(1, p)), F.log("l00"))
+        found = materialize(new.select(*key, *cells, det.alias("det"), "was").coalesce(1), "model")
+        steps.append(found.select(*key, *cells, "det"))
+        # approximate bounds may let a determinant swing for good: what fell no more is done
+        model = found.where("was IS NULL OR was - det >= 1e-4").select(*steps[-1].columns)
+        if model.isEmpty():
             break
-        last = now
-    best = now.groupBy("_group").agg(F.min_by("_start", F.struct("det", "_start")).alias("_start"))
-    model = materialize(model.join(best, key).drop("_start"), "model")
+    every = reduce(DataFrame.unionByName, steps)
+    model = every.groupBy("_group").agg(F.min_by(F.struct(*cells), F.struct("det", "_start")).alias("_best"))
+    model = materialize(model.select("_group", "_best.*"), "model")
     middle = _with_distance(rows, hint(_factored(model)), "_group").groupBy("_group").agg(F.count("*").alias("n"), (F.percentile_approx("distance", 0.5, 1000) / 4.351).alias("wide"))  # the median for 5 dimensions
     scaled = [(F.col(f"c{i}{j}") * F.greatest("wide", F.lit(1.0)) + F.lit(least[i] ** 2 if i == j else 0.0)).alias(f"c{i}{j}") for i in range(p) for j in range(i + 1)]
     final = materialize(model.join(middle, "_group").select("_group", "n", *(f"m{i}" for i in range(p)), *scaled), "final")

@@ -681,6 +681,31 @@ def test_quality_outliers_do_not_mask(spark):
     assert all(got[i] for i in range(120)) and not any(got[i] for i in range(120, 200))
 
 
+def test_quality_steps_end_by_group(spark, monkeypatch):
+    """A group whose determinant falls no more takes no further step, though approximate
+    bounds would let determinants swing for good."""
+    from pyspark.sql import functions as F
+
+    from loomscape.llm import quality
+
+    draw = lambda seed: F.floor(F.rand(seed) * 400 + F.rand(seed + 9) * 400).cast("long")
+    counts = {"n_words": F.lit(400).cast("long") + draw(1), "word_chars": 3000 + 9 * draw(2), "n_symbols": draw(3), "n_dup_lines": draw(4) % 40, "n_repeat_words": draw(5) % 90, "n_lines": 40 + draw(6), "n_capitals": draw(7)}
+    rows = spark.range(60000).select("id", F.concat(F.lit("l"), F.col("id") % 3).alias("lang"), F.concat(F.lit("s"), F.col("id") % 7).alias("source"), F.struct(*(c.alias(n) for n, c in counts.items())).alias("_m"))
+    steps = []
+    materialize = quality.materialize
+
+    def counted(df, name="cut"):
+        out = materialize(df, name)
+        if name == "bounds":
+            steps.append(out.count())
+        return out
+
+    monkeypatch.setattr(quality, "materialize", counted)
+    assert quality.judge(rows).where("distance IS NULL").count() == 0
+    assert steps[0] == 2 * (21 + 3 + 1)
+    assert len(steps) < 20 and steps[-1] < steps[0]
+
+
 def test_quality_awkward(spark, awkward):
     from loomscape.llm.quality import keep_good, quality_rules
 

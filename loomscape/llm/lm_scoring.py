@@ -78,9 +78,10 @@ class Network:
         return out
 
     def hidden(self, neighbours: np.ndarray) -> np.ndarray:
-        total = self.shift + self.seen[0][neighbours[0]]
+        total = self.seen[0].take(neighbours[0], axis=0)
+        total += self.shift
         for k in range(1, len(_OFFSETS)):
-            total += self.seen[k][neighbours[k]]
+            total += self.seen[k].take(neighbours[k], axis=0)
         return np.tanh(total, out=total)
 
     def grouped(self, target: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
@@ -104,7 +105,7 @@ class Network:
             own = target[i : i + BATCH]
             order, runs = self.grouped(own)
             own, every = own[order], np.arange(len(own))
-            hidden = self.hidden(neighbours[:, i : i + BATCH])[order]
+            hidden = self.hidden(neighbours[:, i : i + BATCH].take(order, axis=1))
             total = np.zeros(len(own))
             for logits, k in ((hidden @ self.top + self.top_bias, own // self.size), (self.lower(hidden, runs), own % self.size)):
                 chosen = logits[every, k]
@@ -162,14 +163,16 @@ def train(net: Network, blocks: Iterator[tuple[np.ndarray, np.ndarray]], rate: f
         logits[np.arange(len(right)), right] -= 1 / every
         return logits
 
+    ones = np.ones(BATCH, np.float32)
+
     def down(values: np.ndarray) -> np.ndarray:
-        return np.ones(len(values), np.float32) @ values
+        return ones[: len(values)] @ values
 
     for neighbours, target in blocks:
         for i in range(0, len(target), BATCH):
             near, own = neighbours[:, i : i + BATCH], target[i : i + BATCH]
             order, runs = net.grouped(own)
-            near, own = near[:, order], own[order]
+            near, own = near.take(order, axis=1), own[order]
             hidden = net.hidden(near)
             above = wrongs(hidden @ net.top + net.top_bias, own // net.size)
             below = wrongs(net.lower(hidden, runs), own % net.size)
@@ -187,9 +190,13 @@ def train(net: Network, blocks: Iterator[tuple[np.ndarray, np.ndarray]], rate: f
                 place = _ordered(near[k])
                 which = near[k][place]
                 first = np.flatnonzero(np.diff(which, prepend=-1))
-                which, g = which[first], np.add.reduceat(back[place], first, axis=0)
-                sums[0][k][which] += g * g
-                net.seen[k][which] -= rate * g / np.sqrt(sums[0][k][which])
+                which, g = which[first], np.add.reduceat(back.take(place, axis=0), first, axis=0)
+                s = sums[0][k].take(which, axis=0)
+                s += g * g
+                sums[0][k][which] = s
+                g *= rate
+                g /= np.sqrt(s, out=s)
+                net.seen[k][which] -= g
             for p, s, g in list(zip(net.parameters(), sums, slopes, strict=True))[1:]:
                 s += g * g
                 p -= rate * g / np.sqrt(s)

@@ -9,13 +9,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomscape.functions import geometry as G
-from loomscape.sources.work import cut, discard
+from loomscape.sources.work import cut, cut_by, discard
 
 SIX, THREE = range(6), range(3)
 POINT_J = [f"p{r}{c}" for r in (0, 1) for c in THREE]
 CAMERA_J = [f"c{r}{c}" for r in (0, 1) for c in SIX]
 COUPLING = [f"w{r}{c}" for r in SIX for c in THREE]
 FEW = 100_000  # cameras whose vectors are broadcast: some 10 MB
+BUCKET = 50_000  # couplings to a bucket: some 15 MB
 
 
 def jacobians(obs: DataFrame, focal: float, cx: float, cy: float) -> DataFrame:
@@ -111,11 +112,14 @@ def camera_step(cameras: DataFrame, w: DataFrame, inverses: DataFrame, point: st
 
     The system is never formed: it meets a vector as U x - W (V^-1 (W' x)), two joins and
     sums over the couplings. Vectors are tables of a row for each camera, broadcast while
-    they are at most FEW; the driver sees two numbers a round. Ends where the residual's
+    they are at most FEW; the driver sees two numbers a round. Couplings are written in
+    buckets of points once, so that rounds shuffle sums by camera only; of more than FEW
+    cameras each round deals out the couplings by camera. Ends where the residual's
     norm, weighed by the preconditioner, has fallen by tolerance, or after most rounds.
     No cameras give an empty table.
     """
-    near = cut(_times_inverse(w.join(inverses, point)).select(point, camera, *(F.col(f"w{r}{c}") for r in SIX for c in THREE), *(f"a{r}{c}" for r in SIX for c in THREE)), "couplings")
+    buckets = w.count() // BUCKET + 1
+    near = cut_by(_times_inverse(w.join(inverses, point)).select(point, camera, *(F.col(f"w{r}{c}") for r in SIX for c in THREE), *(f"a{r}{c}" for r in SIX for c in THREE)), point, buckets, "couplings")
     b = right_side(cameras, w, inverses, point, camera)
     full = 1 + damping
     less = near.groupBy(camera).agg(*(F.sum(G.dot([F.col(f"a{r}{k}") for k in THREE], [F.col(f"w{r}{k}") for k in THREE])).alias(f"_l{r}") for r in SIX))

@@ -191,3 +191,17 @@ def test_steps_as_by_a_dense_solve(spark):
     moved = {r.pt: [r.d0, r.d1, r.d2] for r in AD.point_step(wt, inverses, step, "pt", "cam").collect()}
     assert np.allclose([moved[k] for k in range(25)], point.reshape(25, 3), atol=1e-5 * abs(point).max())
     assert AD.camera_step(u.where("false"), wt, inverses, "pt", "cam", damping).count() == 0
+
+
+def test_bucketed_tables_need_no_shuffle(spark):
+    """Couplings in buckets of points meet sums by point where they lie."""
+    from loomscape.sources.work import cut_by, discard
+
+    rows = cut_by(spark.range(4000).selectExpr("id % 500 AS pt", "id % 7 AS cam", "id * 1.0 AS w"), "pt", 3)
+    sums = rows.groupBy("pt").sum("w")
+    met = rows.hint("merge").join(sums, "pt")
+    assert "Exchange" not in met._jdf.queryExecution().executedPlan().toString()
+    assert met.count() == 4000
+    table = rows._cut_table
+    discard(rows)
+    assert not spark.catalog.tableExists(table)

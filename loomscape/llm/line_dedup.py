@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomscape.llm.common import NARROW, components, connect, discard, materialize, prefix_pairs, shared_keys, small
+from loomscape.llm.common import NARROW, components, connect, discard, materialize, prefix_pairs, small
 from loomscape.llm.quality import let
 
 SHINGLE = 7  # characters
@@ -46,11 +46,11 @@ def affine_bands(side: int) -> list[list[int]]:
 
 def _lines(docs: DataFrame) -> DataFrame:
     """row, doc_id, pos and line, trimmed and in lower case, of all lines that hold
-    something, and two hashes of the line."""
+    something, and 96 bits of hashes of the line."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = rows.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     rows = rows.withColumn("line", F.lower(F.btrim("line", F.lit(_SPACES)))).where("line <> ''")
-    return rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "pos", "line", F.xxhash64("line").alias("h1"), F.xxhash64("line", F.lit(1)).alias("h2"))
+    return rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "pos", "line", F.xxhash64("line").alias("h1"), F.hash("line").alias("h2"))  # of another kind: xxhash64 of the line and a number would follow from h1
 
 
 def _run_list(line: str, size: int) -> Column:
@@ -64,9 +64,8 @@ def _run_list(line: str, size: int) -> Column:
     return let(F.encode(line, "UTF-32"), of)
 
 
-def _signed(lines: DataFrame, size: int, side: int, bands: list[list[int]]) -> DataFrame:
-    """Each distinct line with one of its rows, how often it stands, its band keys, and the
-    low bytes of its least hashes, eight to a long of sketch.
+def _signed(lines: DataFrame, size: int, side: int) -> DataFrame:
+    """Each distinct line with the first of its rows as id, how often it stands, and its least hashes.
 
     Runs are worked on in blocks that are rows of their own only inside one stage: they
     are cut, hashed and combined to least values before anything is shuffled. A least
@@ -82,10 +81,25 @@ def _signed(lines: DataFrame, size: int, side: int, bands: list[list[int]]) -> D
     draw = random.Random(1)
     near = [F.lit(draw.getrandbits(31)) for _ in range(side * side)]
     least = [F.min(F.least(*(F.col(f"r{j}").bitwiseXOR(x) for j in range(BLOCK_RUNS)))).alias(f"m{k}") for k, x in enumerate(near)]
-    signed = blocks.groupBy("h1", "h2").agg(F.min("row").alias("row"), F.count("row").alias("n"), *least)
+    return blocks.groupBy("h1", "h2").agg(F.min("row").alias("id"), F.count("row").alias("n"), *least)
+
+
+def _sketch(side: int) -> Column:
+    """The low bytes of the least hashes, eight to a long."""
     byte = [F.shiftleft(F.col(f"m{k}").cast("long").bitwiseAND(F.lit(255)), 8 * (k % 8)) for k in range(side * side)]
-    sketch = F.array(*(reduce(Column.bitwiseOR, byte[k : k + 8]) for k in range(0, len(byte), 8)))
-    return signed.select("h1", "h2", "row", "n", sketch.alias("sketch"), *(F.xxhash64(F.lit(b), *(f"m{k}" for k in band)).alias(f"b{b}") for b, band in enumerate(bands)))
+    return F.array(*(reduce(Column.bitwiseOR, byte[k : k + 8]) for k in range(0, len(byte), 8)))
+
+
+def _members(classes: DataFrame, bands: list[list[int]]) -> DataFrame:
+    """key, id and m (how many ids the key has) of band keys that several classes have. Keys
+    are worked out twice from the least hashes, so that only counts of keys are shuffled;
+    a class has a key once."""
+    keys = F.array(*(F.xxhash64(F.lit(b), *(f"m{k}" for k in band)) for b, band in enumerate(bands)))
+    dealt = classes.select(F.explode(keys).alias("key"), "id")
+    shared = materialize(dealt.groupBy("key").agg(F.count("*").alias("m")).where("m > 1"), "keys")
+    out = materialize(dealt.join(small(shared, NARROW), "key"), "members")
+    discard(shared)
+    return out
 
 
 def _agreeing(x: Column, y: Column, side: int) -> Column:
@@ -116,9 +130,10 @@ def dropped_lines(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT,
     of 0.994. Chance pairs of unlike lines fall with the side-th power of their
     similarity. Pairs that bands suggest are confirmed on full sets of runs, but for such
     as are in one component already or have fewer than AGREE of 16 least hashes in common
-    (at the threshold 1 pair in 10,000 that bands find). Each member of a band is held
-    against the band's centre, and against another where the first leaves members apart; what
-    is apart then is paired in bands of at most FEW members, and meets in a prefix join where bands are larger; see connect().
+    (at the threshold 1 pair in 10,000 that bands find). Members of bands of at most FEW are
+    all paired. In larger ones each is held against the band's centre; what is apart then
+    meets in a prefix join; see connect(). Of these pairs each line's likeliest are compared
+    first, and others only where those leave them apart.
 
     Rows that share a doc_id share its places; a null doc_id comes last. Null and empty
     texts have no lines; a line of any length is one line (an executor holds a few
@@ -126,13 +141,17 @@ def dropped_lines(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT,
     """
     lines = materialize(_lines(docs), "lines")
     planned = affine_bands(side)[:bands]
-    classes = materialize(_signed(lines, size, side, planned).withColumn("id", F.monotonically_increasing_id()), "classes")
-    members = shared_keys(classes.select(F.explode(F.array(*(f"b{b}" for b in range(len(planned))))).alias("key"), "id"))
+    classes = materialize(_signed(lines, size, side), "classes")
+    members = _members(classes, planned)
     ids = materialize(members.select("id").distinct(), "ids")
-    wanted = materialize(classes.select("id", "row", "sketch").join(small(ids, NARROW), "id", "left_semi"), "wanted")
-    texts = lines.select("row", "line").join(small(wanted.select("row"), NARROW), "row", "left_semi").join(small(wanted), "row")
-    texts = materialize(texts.select("id", "line", "sketch", F.size(F.array_distinct(_run_list("line", size))).alias("n")), "texts")
+    runs = F.size(F.array_distinct(_run_list("line", size)))
+    own = lines.select(F.col("row").alias("id"), "line").join(small(ids, NARROW), "id", "left_semi")
+    texts = materialize(own.select("id", "line", runs.alias("n")), "texts")
+    sketches = classes.select("id", _sketch(side).alias("sketch")).join(small(ids, NARROW), "id", "left_semi")
+    sketches = materialize(sketches.join(texts.select("id", "n"), "id"), "sketches")
     agree = -(-AGREE * side * side // 16)
+    agreeing = _agreeing(F.col("sa"), F.col("sb"), side).alias("agree")
+    both_sizes = (F.col("na") + F.col("nb")).alias("n")
 
     def near(x: str, y: str) -> Column:
         """Whether sizes and sketches of two lines let them be alike."""
@@ -140,40 +159,59 @@ def dropped_lines(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT,
         return sized & (_agreeing(F.col(f"s{x}"), F.col(f"s{y}"), side) >= agree)
 
     def sketch(x: str) -> DataFrame:
-        return texts.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
+        return sketches.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
 
     def compared(pairs: DataFrame) -> DataFrame:
         a = texts.select(F.col("id").alias("a"), F.col("line").alias("line_a"))
         b = texts.select(F.col("id").alias("b"), F.col("line").alias("line_b"))
         both = F.size(F.array_intersect(_run_list("line_a", size), _run_list("line_b", size)))
         # written before it is filtered, so that no filter works the sets out again
-        counted = materialize(pairs.join(a, "a").join(b, "b").select("a", "b", both.alias("both"), (F.col("na") + F.col("nb")).alias("n")), "links")
+        pairs = materialize(pairs, "pairs")
+        a, b = (x.join(small(pairs.select(k).distinct(), NARROW), k, "left_semi") for x, k in ((a, "a"), (b, "b")))
+        counted = materialize(pairs.join(a, "a").join(b, "b").select("a", "b", both.alias("both"), "n"), "links")
         return counted.where(100 * F.col("both") >= percent * (F.col("n") - F.col("both"))).select("a", "b")
 
+    def in_turn(pairs: DataFrame, known: DataFrame | None = None) -> DataFrame:
+        """Links of pairs (a, b, n, agree), n being the sum of their sizes, that connect what
+        all links of theirs would, together with those that are known. Each id is compared
+        with the one that it agrees with most first; pairs that are in one component then
+        are not compared."""
+        pairs = materialize(pairs, "pairs")
+        best = pairs.groupBy("a").agg(F.max_by(F.struct("b", "n"), F.struct("agree", "b")).alias("best")).select("a", "best.*")
+        other = pairs.groupBy("b").agg(F.max_by(F.struct("a", "n"), F.struct("agree", "a")).alias("best")).select("best.a", "b", "best.n")
+        first = compared(best.unionByName(other).distinct())
+        now = materialize(components(first if known is None else first.unionByName(known)), "found")
+        side_of = lambda x: now.select(F.col("id").alias(x), F.col("component").alias(f"p{x}"))
+        others = pairs.join(side_of("a"), "a", "left").join(side_of("b"), "b", "left").where(F.coalesce("pa", "a") != F.coalesce("pb", "b"))
+        return first.unionByName(compared(others.select("a", "b", "n")))
+
     def verified(pairs: DataFrame) -> DataFrame:
-        return compared(pairs.join(sketch("a"), "a").join(sketch("b"), "b").where(near("a", "b")).select("a", "b", "na", "nb"))
+        return compared(pairs.join(sketch("a"), "a").join(sketch("b"), "b").where(near("a", "b")).select("a", "b", both_sizes))
+
+    def paired(rows: DataFrame) -> DataFrame:
+        """Links between members of one key, of which each has FEW at most."""
+        rows = materialize(rows.select("key", "id").join(sketch("id"), "id"), "some")
+        side_of = lambda x: rows.select("key", F.col("id").alias(x), F.col("nid").alias(f"n{x}"), F.col("sid").alias(f"s{x}"))
+        pairs = side_of("a").join(side_of("b"), "key").where((F.col("a") < F.col("b")) & near("a", "b"))
+        return in_turn(pairs.select("a", "b", both_sizes, agreeing).distinct())
 
     def settle(apart: DataFrame) -> DataFrame:
-        """Links between the parts of ids: pairs of bands of few members, whose number is
-        bounded for each member, and a positional prefix join for members of larger ones."""
-        sized = apart.join(apart.groupBy("key").agg(F.count("*").alias("m")), "key")
-        some = sized.where(F.col("m") <= FEW).select("key", "id", "part").join(sketch("id"), "id")
-        some = materialize(some, "some")
-        side_of = lambda x: some.select("key", F.col("id").alias(x), F.col("part").alias(f"p{x}"), F.col("nid").alias(f"n{x}"), F.col("sid").alias(f"s{x}"))
-        pairs = side_of("a").join(side_of("b"), "key").where((F.col("a") < F.col("b")) & (F.col("pa") != F.col("pb")) & near("a", "b"))
-        found = compared(pairs.select("a", "b", "na", "nb").distinct())
-        return found.unionByName(joined(sized.where(F.col("m") > FEW).groupBy("id").agg(F.min("part").alias("part"))))
+        """Links between the parts of ids by a positional prefix join."""
+        ids = materialize(apart.groupBy("id").agg(F.min("part").alias("part")), "ids")
+        return in_turn(joined(ids), ids.select(F.col("id").alias("a"), F.col("part").alias("b")))
 
     def joined(ids: DataFrame) -> DataFrame:
-        """Links between the parts of ids by a positional prefix join; runs are ordered by
+        """Pairs of different parts of ids that a positional prefix join finds; runs are ordered by
         the power of two of how often their slot of a table of counters is met. The table
         has a fixed size: a letter for each slot goes back to the tasks as one string."""
-        own = texts.join(ids, "id").select("id", "part", "sketch", F.array_distinct(_run_list("line", size)).alias("runs"))
+        known = materialize(sketches.join(small(ids), "id").select("id", "part", "sketch"), "known")
+        own = texts.select("id", "line").join(small(known), "id").select("id", "part", "sketch", F.array_distinct(_run_list("line", size)).alias("runs"))
         slot = lambda h: F.pmod(h, F.lit(SLOTS)).cast("int")
         counts = own.select(F.explode("runs").alias("h")).select(slot(F.col("h")).alias("slot")).groupBy("slot").agg(F.count("*").alias("n"))
         letters = ["A"] * SLOTS
-        for r in counts.collect():
-            letters[r["slot"]] = chr(ord("A") + min(int(r["n"]).bit_length(), 25))
+        found = counts.toArrow()  # rows of Python objects would take the driver tens of MB
+        for at, n in zip(found["slot"].to_numpy().tolist(), found["n"].to_numpy().tolist(), strict=True):
+            letters[at] = chr(ord("A") + min(n.bit_length(), 25))
         often = F.split(F.lit("".join(letters)), "")
         keyed = let(often, lambda c: F.transform("runs", lambda h: F.shiftleft(F.ascii(F.get(c, slot(h))).cast("long"), 44).bitwiseOR(h.bitwiseAND(F.lit((1 << 44) - 1)))))
         ordered = own.select("id", "part", "sketch", keyed.alias("runs")).select("id", "part", "sketch", F.sort_array(F.array_distinct("runs")).alias("runs"))
@@ -181,16 +219,20 @@ def dropped_lines(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT,
         many = n + 1 - F.ceil(n * percent / 100 - 1e-9).cast("int")
         rows = ordered.select("id", "part", "sketch", n.alias("n"), F.posexplode(F.slice("runs", F.lit(1), many)).alias("pos", "key"))
         most = F.floor((F.col("n") - F.col("pos")) * (100 + percent) / percent + 1e-9).cast("int") - F.col("n")
-        return verified(prefix_pairs(rows.select("key", "id", "part", "sketch", "n", most.alias("most")), near))
+        return prefix_pairs(rows.select("key", "id", "part", "sketch", "n", most.alias("most")), near, [both_sizes, agreeing])
 
-    found = materialize(components(connect(members, verified, settle)), "found")
+    links = paired(members.where(F.col("m") <= FEW))
+    large = materialize(members.where(F.col("m") > FEW).select("key", "id"), "large")
+    if not large.isEmpty():
+        links = connect(large, verified, settle, centres=1, known=links)
+    found = materialize(components(links), "found")
     rule = classes.select("h1", "h2", "n", "id").join(small(found), "id", "left").where("n > 1 OR component IS NOT NULL")
     rule = materialize(rule.select("h1", "h2", F.coalesce("component", "id").alias("part")), "rule")
     place = F.coalesce(F.col("doc_id"), F.lit(_LAST)).cast("decimal(38,0)") * F.lit(1 << 31) + F.col("pos")
     again = lines.select("doc_id", "pos", "h1", "h2").join(small(rule), ["h1", "h2"]).select("doc_id", "pos", "part", place.cast("decimal(38,0)").alias("place"))
     again = materialize(again, "again")
     first = materialize(again.groupBy("part").agg(F.min("place").alias("first")), "first")
-    discard(members, ids, wanted, texts, classes, found, rule, lines)
+    discard(members, large, ids, sketches, texts, classes, found, rule, lines)
     gone = again.join(small(first), "part").where("place <> first")
     return gone.groupBy("doc_id").agg(F.sort_array(F.collect_set("pos")).alias("dropped"))
 

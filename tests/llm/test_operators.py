@@ -138,6 +138,16 @@ def test_sketch_fills_and_estimates():
     assert abs(same - 0.6) < 0.15
 
 
+def test_candidate_filter_follows_its_ids(spark):
+    from loomscape.llm.near_duplicates import _may_be_in
+
+    ids = spark.range(0, 3000, 10)
+    for size in (1 << 15, 1 << 18):
+        rows = spark.range(30_000).select(F.col("id").alias("doc_id"), F.pmod(F.xxhash64("id"), F.lit(size)).alias("slot"))
+        got = {r.doc_id for r in rows.mapInArrow(_may_be_in(ids, size), "doc_id long").collect()}
+        assert set(range(0, 3000, 10)) <= got and len(got) < 300 + 2 * 30_000 * 300 / size
+
+
 def lines_to_drop(texts, size):
     """By doc_id, the numbers of lines that an exact join of all lines drops."""
     places = [(i, k, t) for i in sorted(texts) for k, x in enumerate(texts[i].split("\n")) if (t := x.strip(" \t\n\x0b\f\r").lower())]
@@ -184,6 +194,37 @@ def test_line_dedup_recall(spark):
     assert all(i % 2 for i in got) and len(got) >= 0.9 * 1500
 
 
+def test_line_dedup_compares_few(spark, monkeypatch):
+    from loomscape.llm import line_dedup
+
+    rng = np.random.default_rng(4)
+    letters = list("abcdefghijklmnopqrstuvwxyz")
+    rows = []
+    for i in range(20):  # groups of 30 lines, each two of which are alike
+        line = "".join(rng.choice(letters, 300))
+        rows += [(100 * i + k, line[: (at := int(rng.integers(0, 300)))] + "#" + line[at + 1 :]) for k in range(30)]
+    counts = []
+    cut = line_dedup.materialize
+
+    def counted(df, name="cut"):
+        out = cut(df, name)
+        counts.extend([out.count()] if name == "links" else [])
+        return out
+
+    monkeypatch.setattr(line_dedup, "materialize", counted)
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id for r in line_dedup.dropped_lines(table).collect()}
+    assert got == {d for d, _ in rows if d % 100}
+    assert sum(counts) < 2 * 20 * 29 and len(counts) <= 2  # not all 435 pairs of a group, and no rounds of centres
+
+
+def test_line_hashes_are_of_two_kinds(spark):
+    from loomscape.llm.line_dedup import _lines
+
+    rows = _lines(spark.createDataFrame([(1, "one\ntwo words")], "doc_id long, text string"))
+    assert rows.where(F.xxhash64("line", F.lit(1)) == F.col("h2")).count() == 0  # that one follows from h1
+
+
 def test_affine_bands():
     from loomscape.llm.line_dedup import affine_bands
 

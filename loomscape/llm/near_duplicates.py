@@ -16,7 +16,8 @@ BANDS, ROWS = 28, 4
 _ROUND = mix(np.arange(1, 4 * BANDS * ROWS, dtype=np.uint64))
 _LOW48 = U((1 << 48) - 1)
 _SLOTS = 1 << 18  # counters for the order of shingles
-_FILTER_BITS = 1 << 26  # of the prefilter on candidates: 8 MB
+_FILTER_BITS = 1 << 26  # of the prefilter on candidates, at most: 8 MB
+_ID_BITS = 64  # of it for each candidate
 
 
 def sketch(shingles: np.ndarray, t: int = BANDS * ROWS) -> np.ndarray:
@@ -136,14 +137,14 @@ def _prefixes(size: int, percent: int, often):
     return run
 
 
-def _may_be_in(ids: DataFrame):
-    """A filter of fixed size that lets through every id of ids and few others."""
-    slot = F.pmod(F.xxhash64("id"), F.lit(_FILTER_BITS))
-    maps = ids.select((slot + 1).alias("slot")).groupBy(F.bitmap_bucket_number("slot").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits")).collect()
-    bits = np.zeros(_FILTER_BITS // 8, dtype=np.uint8)
-    for r in maps:
-        at = (r["bucket"] - 1) * 4096
-        own = np.frombuffer(r["bits"], dtype=np.uint8)
+def _may_be_in(ids: DataFrame, size: int):
+    """A filter of size bits that lets through every id of ids and few others."""
+    slot = F.pmod(F.xxhash64("id"), F.lit(size))
+    maps = ids.select((slot + 1).alias("slot")).groupBy(F.bitmap_bucket_number("slot").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits")).toArrow()
+    bits = np.zeros(size // 8, dtype=np.uint8)
+    for bucket, own in zip(maps["bucket"], maps["bits"], strict=True):
+        at = (bucket.as_py() - 1) * 4096
+        own = np.frombuffer(own.as_py(), dtype=np.uint8)
         bits[at : at + len(own)] = own[: len(bits) - at]
     shared = ids.sparkSession.sparkContext.broadcast(bits)
 
@@ -189,9 +190,10 @@ def _links(source: DataFrame, known: DataFrame, sets: DataFrame, size: int, perc
     same = known.join(again, "doc_id").join(sets, ["set_1", "set_2", "n_shingles"]).select(F.col("doc_id").alias("a"), F.col("id").alias("b")).where("a <> b")
     heads = known.join(sets.select(F.col("id").alias("doc_id"), "set_1", "set_2"), ["doc_id", "set_1", "set_2"], "left_semi")
     members = shared_keys(heads.select(F.explode("keys").alias("key"), F.col("doc_id").alias("id")))
-    wanted = members.select("id").distinct()
-    slot = F.pmod(F.xxhash64("doc_id"), F.lit(_FILTER_BITS))
-    likely = source.where("doc_id IS NOT NULL").withColumn("slot", slot).mapInArrow(_may_be_in(wanted), "doc_id long, text string")
+    wanted = materialize(members.select("id").distinct(), "ids")
+    bits = min(_FILTER_BITS, max(1 << 15, _ID_BITS << wanted.count().bit_length()))
+    slot = F.pmod(F.xxhash64("doc_id"), F.lit(bits))
+    likely = source.where("doc_id IS NOT NULL").withColumn("slot", slot).mapInArrow(_may_be_in(wanted, bits), "doc_id long, text string")
     texts = materialize(likely.join(wanted, likely.doc_id == wanted.id, "left_semi"), "texts")
 
     def verified(pairs: DataFrame) -> DataFrame:
@@ -204,10 +206,9 @@ def _links(source: DataFrame, known: DataFrame, sets: DataFrame, size: int, perc
         ordered by rarity."""
         ids = apart.groupBy("id").agg(F.min("part").alias("part"))
         own = texts.join(ids, texts.doc_id == ids.id).select("doc_id", "text", "part")
-        counts = own.select("text").mapInArrow(_shingle_slots(size), "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).collect()
+        counts = own.select("text").mapInArrow(_shingle_slots(size), "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
         often = np.zeros(_SLOTS, dtype=np.int64)
-        for r in counts:
-            often[r["slot"]] = r["n"]
+        often[counts["slot"].to_numpy()] = counts["n"].to_numpy()
         shared = own.sparkSession.sparkContext.broadcast(often)
         return verified(prefix_pairs(own.mapInArrow(_prefixes(size, percent, shared), "key long, id long, part long, n int, most int")))
 

@@ -158,6 +158,14 @@ def _may_be_in(ids: DataFrame, size: int):
     return run
 
 
+def texts_of(source: DataFrame, ids: DataFrame) -> DataFrame:
+    """doc_id and text of the rows of source whose doc_id is among ids (id), written."""
+    bits = min(_FILTER_BITS, max(1 << 15, _ID_BITS << ids.count().bit_length()))
+    slot = F.pmod(F.xxhash64("doc_id"), F.lit(bits))
+    likely = source.where("doc_id IS NOT NULL").withColumn("slot", slot).mapInArrow(_may_be_in(ids, bits), "doc_id long, text string")
+    return materialize(likely.join(ids, likely.doc_id == ids.id, "left_semi"), "texts")
+
+
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 75, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for every row of docs (doc_id, text).
 
@@ -191,10 +199,7 @@ def _links(source: DataFrame, known: DataFrame, sets: DataFrame, size: int, perc
     heads = known.join(sets.select(F.col("id").alias("doc_id"), "set_1", "set_2"), ["doc_id", "set_1", "set_2"], "left_semi")
     members = shared_keys(heads.select(F.explode("keys").alias("key"), F.col("doc_id").alias("id")))
     wanted = materialize(members.select("id").distinct(), "ids")
-    bits = min(_FILTER_BITS, max(1 << 15, _ID_BITS << wanted.count().bit_length()))
-    slot = F.pmod(F.xxhash64("doc_id"), F.lit(bits))
-    likely = source.where("doc_id IS NOT NULL").withColumn("slot", slot).mapInArrow(_may_be_in(wanted, bits), "doc_id long, text string")
-    texts = materialize(likely.join(wanted, likely.doc_id == wanted.id, "left_semi"), "texts")
+    texts = texts_of(source, wanted)
 
     def verified(pairs: DataFrame) -> DataFrame:
         a = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))

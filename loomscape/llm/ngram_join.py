@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomscape.llm.common import components, connect, discard, materialize, prefix_pairs, shared_keys
-from loomscape.llm.near_duplicates import _may_be_in, _verifier
+from loomscape.llm.near_duplicates import _verifier, texts_of
 from loomscape.llm.words import LANES, NON_SPACE, U, mix, shingle_set, word_blocks
 
 #: Tokens in more documents than these bounds are indexed by two and by three at a time.
@@ -190,9 +190,7 @@ def jaccard_components(docs: DataFrame, size: int = 4, percent: int = 85) -> Dat
     same = known.select("doc_id", *key).join(again, "doc_id").join(sets, key).select(F.col("doc_id").alias("a"), F.col("id").alias("b")).where("a <> b")
     heads = known.join(sets.select(F.col("id").alias("doc_id"), *key), ["doc_id", *key], "left_semi")
     live = _live(heads)
-    slot = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 26))
-    likely = source.where("doc_id IS NOT NULL").withColumn("slot", slot).mapInArrow(_may_be_in(live), "doc_id long, text string")
-    texts = materialize(likely.join(live, likely.doc_id == live.id, "left_semi"), "texts")
+    texts = texts_of(source, live)
     signed = _signed(texts, size, percent)
 
     def verified(pairs: DataFrame) -> DataFrame:

@@ -122,6 +122,17 @@ def test_components_awkward(spark):
     assert jaccard_components(df.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("ids", [(-5, -9, 7), (1 << 40, 3, -(1 << 62))])
+def test_components_look_up_texts_of_any_ids(spark, ids):
+    """Near copies, so that their texts are read again behind the filter on ids."""
+    from loomscape.llm.ngram_join import jaccard_components
+
+    words = [f"w{i}" for i in range(60)]
+    rows = [(ids[0], " ".join(words)), (ids[1], " ".join(words[:-2])), (ids[2], " ".join(words[::-1])), (None, " ".join(words[:-1]))]
+    found = jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in found if r.doc_id is not None} == linked(rows[:3])
+
+
 # ---- tries
 
 

@@ -45,3 +45,59 @@ def match(query: np.ndarray, train: np.ndarray, ratio: float, ceiling: float, cr
         ok &= back[best] == np.arange(n)
     at = np.flatnonzero(ok)
     return at, best[at], near[at]
+
+
+def near_lines(lines: np.ndarray, points: np.ndarray, reach: float, step: int = 32) -> np.ndarray:
+    """Which points (x, y) are nearer than reach to which lines (a, b, c); a line without
+    direction, or what is NaN, is near nothing."""
+    x, y = np.ascontiguousarray(points[:, 0]), np.ascontiguousarray(points[:, 1])
+    out = np.zeros((len(lines), len(points)), dtype=bool)
+    with np.errstate(invalid="ignore", divide="ignore"):
+        for k in range(0, len(lines), step):  # few lines at once, which stay in the cache
+            a, b, c = (lines[k : k + step, i, None] for i in range(3))
+            norm = np.sqrt(a * a + b * b)
+            off = a * x
+            off += b * y
+            off += c
+            np.abs(off, out=off)
+            off /= norm
+            np.less(off, reach, out=out[k : k + step])
+            out[k : k + step] &= norm > 1e-12
+    return out
+
+
+def present_distances(q: np.ndarray, t: np.ndarray) -> np.ndarray:
+    """Squared distances of whole numbers; components that are NaN on a side count
+    nothing. Exact below 2 ** 53."""
+    there, other = ~np.isnan(q), ~np.isnan(t)
+    whole = there.all() and other.all()
+    q, t = np.where(there, q, 0), np.where(other, t, 0)
+    most = max(np.abs(q).max(initial=0), np.abs(t).max(initial=0))
+    kind = np.float32 if 4 * q.shape[1] * most * most < 1 << 24 else np.float64
+    q, t = q.astype(kind), t.astype(kind)
+    own, theirs = ((q * q).sum(1)[:, None], (t * t).sum(1)) if whole else ((q * q) @ other.T.astype(kind), there.astype(kind) @ (t * t).T)
+    return own + theirs - 2 * (q @ t.T)
+
+
+def least_by_row(d: np.ndarray, near: np.ndarray, limit: float, keep: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the entries of d that are near and within the limit the least of each row, the
+    earlier of equal ones first: rows one after another, as columns, entries, and for each
+    row the number of all that are near and within the limit."""
+    n = d.shape[1]
+    at = np.flatnonzero(near)
+    value = d.ravel()[at]
+    if not (within := value <= limit).all():
+        at, value = at[within], value[within]
+    row = at // n
+    many = np.bincount(row, minlength=len(d))
+    if len(at) * 8 > d.size and keep < n and (value.max(initial=0) + 2) * n < 1 << 53:  # most are no candidates for the least
+        dense = np.full(d.size, value.max(initial=0) + 1, dtype=np.float64)
+        dense[at] = value
+        dense = dense.reshape(d.shape) * n + np.arange(n)  # entry and column make one number
+        some = dense.ravel()[at] <= np.partition(dense, keep - 1, axis=1)[row, keep - 1]
+        at, value, row = at[some], value[some], row[some]
+    order = np.lexsort((value, row))
+    left = np.bincount(row, minlength=len(d))
+    rank = np.arange(len(at)) - np.repeat(np.cumsum(left) - left, left)
+    order = order[rank < keep]
+    return at[order] % n, value[order].astype(np.float64), many

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomscape.functions import kernels
 from loomscape.sources.work import cut, discard
 
 
@@ -116,10 +118,119 @@ def claim_in_order(candidates: DataFrame, pair: str, query: str, train: str, dis
     return out.select(*key, train, distance)
 
 
-def guided_matches(lines: DataFrame, points: DataFrame, pair: str, distance: Column, reach: float, cell: float, ratio: float = 0.95, ceiling: float = float("inf")) -> DataFrame:
-    """claim_in_order() of the band_candidates() of lines (pair, query) and points (pair,
-    train); distance is worked out for those only."""
-    near = band_candidates(lines, points, pair, reach, cell).select(pair, "query", "train", distance.alias("distance"))
-    return claim_in_order(near, pair, "query", "train", "distance", ratio, ceiling)
+def _nearest_of_blocks(reach: float, limit: float, keep: int, chunk: int = 256):
+    """For each query of a block its nearest train rows of another block, and how many
+    there are within the limit."""
 
+    def run(q: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(q) and len(t):
+            t = t.sort_values("id")
+            points, theirs, train, lines = t[["a", "b"]].to_numpy(float), _matrix(t["v"]), t["id"].to_numpy(), q[["a", "b", "c"]].to_numpy(float)
+            for k in range(0, len(q), chunk):
+                near = kernels.near_lines(lines[k : k + chunk], points, reach)
+                d = kernels.present_distances(_matrix(q["v"].iloc[k : k + chunk]), theirs)
+                at, least, many = kernels.least_by_row(d, near, limit, keep)
+                ids, ends = q["id"].to_numpy()[k : k + chunk], np.cumsum(np.minimum(many, keep)).tolist()
+                out += [(q["pair"].iloc[0], ids[i], train[at[e - min(n, keep) : e]], least[e - min(n, keep) : e], n) for i, (n, e) in enumerate(zip(many.tolist(), ends, strict=True)) if n]
+        return pd.DataFrame(out, columns=["pair", "query", "train", "distance", "n"])
 
+    return run
+
+
+def _matrix(column: pd.Series) -> np.ndarray:
+    return np.stack([np.asarray(v, dtype=float) for v in column])
+
+
+def _list_walker(reach: float, ratio: float, ceiling: float):
+    """The claims of queries in order of pair and query, each from its list of nearest train
+    rows. Where claims have used up a list that isn't whole, the query is held against the
+    pair's train rows that are free; these come first in a pair, and are kept."""
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own, taken, lines, lines_of = None, set(), [], None
+        parts, held, free = [], None, None  # train rows as they came, as arrays, and which are free
+
+        def free_now() -> list[tuple[float, int]]:
+            nonlocal parts, held, free
+            if held is None:
+                rows = pd.concat(parts)
+                held, parts = (rows["id"].to_numpy(), rows[["a", "b"]].to_numpy(float), _matrix(rows["v"])), []
+                free = ~np.isin(held[0], np.fromiter(taken, np.int64, len(taken)))
+            found = []
+            for line, v in lines:
+                at = np.flatnonzero(kernels.near_lines(line[None], held[1], reach)[0] & free)
+                if len(at):
+                    d = kernels.present_distances(v[None], held[2][at])
+                    near, least, _ = kernels.least_by_row(d, np.ones(d.shape, bool), np.inf, 2)
+                    found += zip(least.tolist(), held[0][at[near]].tolist(), strict=True)
+            return sorted(found)[:2]
+
+        for rows in batches:
+            out = []
+            for pair, some in rows.groupby("pair", sort=False):
+                if pair != own:
+                    own, taken, lines, lines_of, parts, held = pair, set(), [], None, [], None
+                points = some[some["kind"] == 0]
+                if len(points):
+                    parts.append(points)
+                some = some[some["kind"] > 0]
+                for kind, query, a, b, c, v, trains, distances, more in zip(*(some[x] for x in ("kind", "id", "a", "b", "c", "v", "train", "distance", "more")), strict=True):
+                    if kind == 1:
+                        lines, lines_of = lines if query == lines_of else [], query
+                        lines.append((np.array([a, b, c], float), np.asarray(v, dtype=float)))
+                        continue
+                    two = [x for x in zip(distances.tolist(), trains.tolist(), strict=True) if x[1] not in taken][:2]
+                    # what a list leaves out is no nearer than its last
+                    if more and len(two) < 2 and not (two[0][0] < ratio * distances[-1] if two else distances[-1] > ceiling):
+                        two = free_now()
+                    if two and two[0][0] <= ceiling and (len(two) < 2 or two[0][0] < ratio * two[1][0]):
+                        taken.add(two[0][1])
+                        out.append((pair, query, two[0][1], two[0][0]))
+                        if held is not None:
+                            free[np.searchsorted(held[0], two[0][1]) : np.searchsorted(held[0], two[0][1], "right")] = False
+            yield pd.DataFrame(out, columns=["pair", "query", "train", "distance"])
+
+    return walk
+
+
+def guided_matches(lines: DataFrame, points: DataFrame, pair: str, reach: float, ratio: float = 0.95, ceiling: float = float("inf"), block: int = 8192, keep: int = 8) -> DataFrame:
+    """The matches claim_in_order() has of all lines (pair, query, la, lb, lc, v) and points
+    (pair, train, x, y, v) of a pair that are nearer than reach, by the squared distance of v.
+
+    v are whole numbers, equally many in all rows; what is null on a side counts nothing.
+    Ids are whole numbers too; rows without one have no match.
+
+    Both sides of a pair are dealt into blocks of about block rows, and each block of lines
+    meets each of points in a task of its own, which returns the keep nearest of each query;
+    their pairs are all looked at, but never rows of a table. The lists of a pair are then walked in order in one task. Claims rarely
+    use a list up; where they do, that task holds the query against the pair's free points,
+    so it keeps those of one pair in memory and is quadratic if all queries come to that.
+    """
+    kinds = dict(lines.dtypes) | {"train": dict(points.dtypes)["train"]}
+    q = lines.where("query IS NOT NULL").select(F.col(pair).alias("pair"), F.col("query").cast("long").alias("id"), F.col("la").alias("a"), F.col("lb").alias("b"), F.col("lc").alias("c"), F.col("v").alias("v"))
+    t = points.where("train IS NOT NULL").select(F.col(pair).alias("pair"), F.col("train").cast("long").alias("id"), F.col("x").alias("a"), F.col("y").alias("b"), F.lit(None).cast("double").alias("c"), F.col("v").alias("v"))
+    parts = lambda df, name: df.groupBy("pair").agg(F.ceil(F.count("*") / block).cast("int").alias(name))
+    sizes = cut(parts(q, "_mine").join(parts(t, "_theirs"), "pair"), "sizes")
+    groups, pairs = sizes.agg(F.coalesce(F.sum(F.col("_mine") * F.col("_theirs")), F.lit(0)), F.count("*")).first()
+    tasks = lambda n: min(960, max(1, 3 * n))
+
+    def dealt(df: DataFrame, own: str, others: str, at: list[str]) -> DataFrame:
+        rows = df.join(sizes, "pair").withColumn(at[0], F.pmod(F.xxhash64("id"), F.col(own)).cast("int"))
+        rows = rows.withColumn(at[1], F.explode(F.sequence(F.lit(0), F.col(others) - 1))).drop("_mine", "_theirs")
+        return rows.repartition(tasks(groups), "pair", "_q", "_t").groupBy("pair", "_q", "_t")
+
+    met = dealt(q, "_mine", "_theirs", ["_q", "_t"]).cogroup(dealt(t, "_theirs", "_mine", ["_t", "_q"]))
+    met = met.applyInPandas(_nearest_of_blocks(reach, ceiling / ratio, keep), f"pair {kinds[pair]}, query long, train array<long>, distance array<double>, n long")
+    near = F.slice(F.array_sort(F.flatten(F.collect_list(F.arrays_zip("distance", "train")))), 1, keep)
+    listed = met.groupBy("pair", "query").agg(near.alias("near"), F.sum("n").alias("n")).where(F.get("near", F.lit(0))["distance"] <= ceiling)
+    listed = cut(listed.select("pair", F.col("query").alias("id"), "near.train", "near.distance", (F.col("n") > F.size("near")).alias("more")), "nearest")
+    more = listed.where("more")
+    rows = listed.withColumn("kind", F.lit(2))
+    rows = rows.unionByName(q.join(more, ["pair", "id"], "left_semi").withColumn("kind", F.lit(1)), True)
+    rows = rows.unionByName(t.join(more.select("pair").distinct(), "pair", "left_semi").withColumn("kind", F.lit(0)), True)
+    ordered = rows.repartition(tasks(pairs), "pair").sortWithinPartitions("pair", F.col("kind") > 0, "id", "kind")
+    ordered = ordered.select("pair", "kind", "id", "a", "b", "c", "v", "train", "distance", "more")
+    out = cut(ordered.mapInPandas(_list_walker(reach, ratio, ceiling), f"pair {kinds[pair]}, query long, train long, distance double"), "claims")
+    discard(sizes, listed)
+    return out.select(F.col("pair").alias(pair), *(F.col(c).cast(kinds[c]).alias(c) for c in ("query", "train")), "distance")

@@ -54,11 +54,11 @@ SELECT pair, a, b, distance FROM r WHERE b IS NOT NULL"""
 
 @query(_CLAIMS)
 def guided_greedy_match(spark, sf):
-    e = load(spark, sf, "embeddings").select("vec_id", "label", *(F.get("embedding", F.lit(i)).cast("double").alias(n) for i, n in enumerate("xyc")), F.transform("embedding", lambda x: F.floor(x.cast("double") * 255).cast("long")).alias("v"))
-    lines = e.select((F.col("label") + 1).alias("pair"), F.col("vec_id").alias("query"), F.col("x").alias("la"), F.col("y").alias("lb"), F.col("c").alias("lc"), F.col("v").alias("va"))
-    points = e.select(F.col("label").alias("pair"), F.col("vec_id").alias("train"), "x", "y", F.col("v").alias("vb"))
-    apart = V.squared_distance(F.col("va"), F.col("vb")).cast("double")
-    out = GM.guided_matches(lines, points, "pair", apart, 0.02, 0.05, 0.9025, 130000.0)
+    v = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.floor(F.get("embedding", i).cast("double") * 255).cast("long"))
+    e = load(spark, sf, "embeddings").select("vec_id", "label", *(F.get("embedding", F.lit(i)).cast("double").alias(n) for i, n in enumerate("xyc")), v.alias("v"))
+    lines = e.select((F.col("label") + 1).alias("pair"), F.col("vec_id").alias("query"), F.col("x").alias("la"), F.col("y").alias("lb"), F.col("c").alias("lc"), "v")
+    points = e.select(F.col("label").alias("pair"), F.col("vec_id").alias("train"), "x", "y", "v")
+    out = GM.guided_matches(lines, points, "pair", 0.02, 0.9025, 130000.0)
     return out.select("pair", F.col("query").alias("a"), F.col("train").alias("b"), "distance")
 
 
